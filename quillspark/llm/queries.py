@@ -7,22 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, minmax, packing, suffix_dedup
+from quillspark.llm import itq, langid, licenses, minmax, packing, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _remainder(divisor: int):
-    """crc32 of the doc_id as text, modulo divisor."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
-
-
-def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", capacity=2048)
-
-
 def op6_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(_remainder(4) != 2))
@@ -30,19 +21,30 @@ def op6_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), span=400)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_itq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_ppm_langid": op6_ppm_langid,
+    "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_itq_neardup": op9_itq_neardup,
     "op10_minmax_neardup": op10_minmax_neardup,
 }
 
