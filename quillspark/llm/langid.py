@@ -199,3 +199,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a known language: it has a letter, and some language codes it
+    in fewer bits than bytes without any order would take. Null and empty texts go; an empty table gives an empty one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in _text.batches(source):
+            letters = pc.fill_null(pc.match_substring_regex(batch.column(place), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            known = np.zeros(batch.num_rows, bool)
+            if model.languages:
+                for low, high, raw, at in _text.chunks(batch.column(place)):
+                    known[low:high] = model.predict(raw, at)[2] < np.log2(CLASSES)
+            yield batch.filter(pa.array(known & letters))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -129,7 +129,8 @@ def _squeeze(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _text.batches(source):
         raw, at = _text.texts(batch.column(2))
         packed = [pack.compress(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "th", "packed"])
+        others = [batch.column(k) for k in range(3, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), *others], names=["doc_id", "th", "packed", *batch.schema.names[3:]])
 
 
 def common(x: bytes, y: bytes, known: int = 0) -> int:
@@ -340,6 +341,7 @@ def _apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in _text.batches(source, 1_000_000):
         cols: list[list] = [[], [], [], []]
+        others = [batch.column(k) for k in range(3, batch.num_columns)]
         for packed, spans in zip(batch.column(1), batch.column(2), strict=True):
             text = unpack.decompress(packed.as_py())
             gone = union_spans(spans.as_py() or [], len(text))
@@ -353,7 +355,15 @@ def _apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols[2].append([{"low": a, "high": b} for a, b in gone])
             cols[3].append(b"".join(rest))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        names = ["doc_id", "n_bytes", "n_removed", "spans", "kept", *batch.schema.names[3:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *others], names=names)
+
+
+def as_text(kept: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first column's bytes as text; what a cut has left of a character goes. Other columns stay."""
+    for batch in kept:
+        text = pa.array([x.decode("utf-8", "ignore") for x in batch.column(0).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([text, *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
 
 
 def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
@@ -393,24 +403,25 @@ def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
     return whole.union(part)
 
 
-def remove_repeats(docs: DataFrame, span: int = 400) -> DataFrame:
-    """docs: ``doc_id`` (long), ``text``; other columns are not read.
+def remove_repeats(docs: DataFrame, span: int = 400, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs: ``doc_id`` (long), ``text``; other columns are not read, but for those named in ``carry``.
 
     Returns for every row ``doc_id``, ``n_bytes``, ``n_removed``, ``spans`` (array of low, high: maximal removed runs of
-    bytes) and ``kept`` (the remaining bytes). A byte goes if a ``span``-byte string over it also starts elsewhere in the
-    table, the same document included; all strings are judged on the input. Null counts as empty text; texts shorter than
-    ``span`` stay whole; rows that repeat a document are copies of it like any others. An empty table gives an empty one.
+    bytes), ``kept`` (the remaining bytes), and ``carried`` (struct of the columns in carry) if there are any. A byte goes if
+    a ``span``-byte string over it also starts elsewhere in the table, the same document included; all strings are judged
+    on the input. Null counts as empty text; texts shorter than ``span`` stay whole; rows that repeat a document are copies
+    of it like any others. An empty table gives an empty one.
     """
     if not GRAM < span < 2000:
         raise ValueError("span must be over 48 and under 2000")
     stage = Stage(docs.sparkSession, "suffixes")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans = repeated_spans(docs, span, stage).groupBy("doc_id", "th").agg(F.collect_set(F.struct("low", "high")).alias("found"))
+    others = [F.struct(*carry).alias("carried")] if carry else []
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
+    full = full.select("doc_id", F.xxhash64("text").alias("th"), "text", *full.columns[2:])
+    spans = repeated_spans(full.select("doc_id", "th", "text"), span, stage).groupBy("doc_id", "th").agg(F.collect_set(F.struct("low", "high")).alias("found"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found")
-    packed = docs.mapInArrow(_squeeze, "doc_id long, th long, packed binary")
+    more = f", carried {full.schema['carried'].dataType.simpleString()}" if carry else ""
+    packed = full.mapInArrow(_squeeze, "doc_id long, th long, packed binary" + more)
     both = packed.join(spans, packed["doc_id"].eqNullSafe(spans["d"]) & (packed["th"] == spans["t"]), "left")
-    return both.select("doc_id", "packed", "found").mapInArrow(
-        _apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:long,high:long>>, kept binary"
-    )
-
+    out = both.select("doc_id", "packed", "found", *full.columns[3:])
+    return out.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:long,high:long>>, kept binary" + more)
