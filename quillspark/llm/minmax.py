@@ -8,11 +8,12 @@ of one permutation depend on each other in small sets. A pair at similarity 0.8
 misses all 24 bands with probability 3e-6.
 
 1. Documents with one set of shingles collapse to a class before anything is compared.
-2. Each band bucket links its members to one of them, its centre: pairs grow with the rows, not with their square.
+2. Each band bucket links its members to one of them, its centre: pairs grow with the rows, not with their square. The
+   centre is the member that shares most buckets with others, as an original does among its edited copies.
 3. Pairs are confirmed on the full sets, and components are formed.
 4. Only buckets whose members are still in several components need more: they are cut into blocks, and each pair of
-   blocks compares signatures in one task, which emits pairs of different components whose estimate is not far below
-   the threshold. These are confirmed likewise, so no link that matters is lost.
+   blocks is compared in one task: by signatures, then, where the estimate is not far below the threshold, by sets of
+   24-bit hashes, which never miss a common shingle. What passes is confirmed likewise, so no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -93,6 +94,22 @@ def _full_sets(k: int):
     return run
 
 
+def _narrow(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as sorted distinct 24-bit hashes, three bytes each."""
+    for batch in source:
+        out = []
+        for full in batch.column(1):
+            short = np.unique((np.frombuffer(full.as_buffer(), np.uint64) >> np.uint64(40)).astype("<u4"))
+            out.append(np.ascontiguousarray(short.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "narrow"])
+
+
+def _widen(narrow: bytes) -> np.ndarray:
+    wide = np.zeros((len(narrow) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(narrow, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
 def _confirm(numerator: int, denominator: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -114,20 +131,34 @@ def _confirm(numerator: int, denominator: int):
 
 def _blocks(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
+        first, second, band = int(pdf["i"].iat[0]), int(pdf["j"].iat[0]), int(pdf["band"].iat[0])
         left = pdf[pdf["block"] == first]
         right = left if first == second else pdf[pdf["block"] == second]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        x, y = (np.vstack([np.frombuffer(s, np.uint32) for s in side["signature"]]) for side in (left, right))
+        y = np.vstack([np.frombuffer(s, np.uint32) for s in right["signature"]])
         ids, comps, sizes = (right[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        narrow = [_widen(v) for v in right["narrow"]]
         found = []
-        for sign, rep, comp, n in zip(x, left["rep"].to_numpy(), left["component"].to_numpy(), left["n_shingles"].to_numpy(), strict=True):
+        for sign, rep, comp, n, short in zip(left["signature"], left["rep"], left["component"], left["n_shingles"], left["narrow"], strict=True):
             near = (comps != comp) & (np.minimum(sizes, n) >= threshold * np.maximum(sizes, n))
-            near &= (y == sign).mean(1) >= threshold - SLACK
             if first == second:
                 near &= ids > rep
-            found += [(min(rep, o), max(rep, o)) for o in ids[near].tolist()]
+            some = np.flatnonzero(near)
+            if not len(some):
+                continue
+            same = y[some] == np.frombuffer(sign, np.uint32)
+            # a pair belongs to the first band that it shares
+            keep = (same.mean(1) >= threshold - SLACK) & (same.reshape(len(some), BANDS, ROWS).all(2).argmax(1) == band)
+            mine = _widen(short) if keep.any() else None
+            for k in some[keep].tolist():
+                other = narrow[k]
+                at = np.searchsorted(other, mine)
+                at[at == len(other)] = 0
+                # 24-bit hashes of one set that fall together take at most so many from the count
+                both = int((other[at] == mine).sum()) + max(n - len(mine), sizes[k] - len(other))
+                if both >= threshold * (n + sizes[k] - both) - 1e-6:
+                    found.append((min(rep, ids[k]), max(rep, ids[k])))
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return run
@@ -151,11 +182,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     size = 4 * ROWS
     members = classes.select(
         "rep",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("signature", F.lit(1) + j * size, F.lit(size))))).alias("bucket"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("signature", F.lit(1) + j * size, F.lit(size))))).alias("band", "bucket"),
     )
-    buckets = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket"), "rep"))["rep"].alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = stage.save(buckets, "buckets")
-    filled = stage.save(members.join(buckets, "bucket"), "filled")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stage.save(members.join(buckets, "bucket"), "shared")
+    weight = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    centres = shared.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", "rep"))["rep"].alias("centre"))
+    filled = stage.save(shared.join(centres, "bucket"), "filled")
     pairs = filled.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     pairs = stage.save(pairs, "pairs")
     sets = None
@@ -177,18 +210,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = filled.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_buckets = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     rest = named.join(open_buckets, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rest = rest.join(classes.select("rep", "signature", "n_shingles"), "rep")
+    narrow = stage.save(sets.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_narrow, "rep long, narrow binary"), "narrow")
+    rest = rest.join(classes.select("rep", "signature", "n_shingles").join(narrow, "rep"), "rep")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "signature")
+    rest = rest.select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "signature", "narrow")
     rest = stage.save(rest, "rest")
     if rest.limit(1).count():
-        # a difference of sizes rules pairs out at the exact threshold, so the join only meets what can be linked
-        more = rest.groupBy("bucket", "i", "j").applyInPandas(_blocks(percent / 100), "a long, b long").distinct()
+        more = rest.groupBy("bucket", "band", "i", "j").applyInPandas(_blocks(percent / 100), "a long, b long").distinct()
         more = stage.save(more.join(pairs, ["a", "b"], "left_anti"), "more")
         if more.limit(1).count():
             found = found.union(links(more, "more-links"))
             component = stage.save(connected_components(spark, found), "components-2")
-    stage.drop("filled", "rest", "pairs", "sets-links", "sets-more-links", "buckets")
+    stage.drop("shared", "filled", "narrow", "rest", "pairs", "sets-links", "sets-more-links")
     named = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sketch.join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
