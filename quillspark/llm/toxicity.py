@@ -5,9 +5,9 @@ other documents each word and each beginning of a word occurs; those that point
 to toxic documents form a lexicon of words and stems. The lexicon's trie and the
 automaton of one edit are intersected, lazily made deterministic: a word is read
 once, whatever the size of the lexicon. Entries under ``FUZZY_FROM`` letters
-have to match exactly. A second pass over the sample learns how much an exact match, a
-misspelt one, and one that is only quoted (quotation marks or a verb of saying
-within ``WINDOW`` words) say. Evidence of distinct entries is combined by noisy-or.
+have to match exactly. The rest of the sample, which the lexicon has not seen, says how much an exact
+match, a misspelt one, and one that is only quoted (quotation marks or a verb of saying
+within ``WINDOW`` words) are worth, and calibrates the sum of the evidence by logistic regression.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,25 +174,45 @@ def _terms(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """``weights[entry][kind]``: probability of toxicity given that match alone; ``prior`` without any match."""
+    """``weights[entry][kind]``: probability of toxicity given that match; ``slopes``: of the logistic regression on ``evidence``."""
 
-    def __init__(self, matcher: Matcher, weights: list[tuple[float, float, float]], prior: float):
-        self.matcher, self.weights, self.prior = matcher, weights, prior
+    def __init__(self, matcher: Matcher, weights: list[tuple[float, float, float]], slopes: list[float]):
+        self.matcher, self.weights, self.slopes = matcher, weights, slopes
 
-    def score(self, text: str | None) -> float:
-        left = 1.0 - self.prior
-        for entry, kind in self.matcher.hits(text or "").items():
-            left *= 1.0 - self.weights[entry][kind]
-        return 1.0 - left
+    def evidence(self, hits: list[tuple[int, int]]) -> list[float]:
+        """1, the sum of the matches' -log(1 - weight), the same up to 3, and the log of how many weigh over a half."""
+        found = [self.weights[entry][kind] for entry, kind in hits]
+        total = -sum(math.log(1.0 - min(0.999, w)) for w in found)
+        return [1.0, total, min(3.0, total), math.log1p(sum(w > 0.5 for w in found))]
+
+    def score(self, text: str | None) -> tuple[float, int]:
+        """(score, matched entries)."""
+        hits = list(self.matcher.hits(text or "").items())
+        x = sum(a * b for a, b in zip(self.slopes, self.evidence(hits), strict=True))
+        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, x)))), len(hits)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
+    """Newton steps of a logistic regression; the first column is the intercept."""
+    slopes = np.zeros(x.shape[1])
+    keep = np.full(x.shape[1], ridge)
+    keep[0] = 1e-3
+    for _ in range(25):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ slopes, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * slopes)
+        slopes += np.clip(step, -3, 3)
+    return slopes.tolist()
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """labelled: ``text``, ``toxic`` (0 or 1; rows without are left out). Without rows every score is 0."""
+    """labelled: ``text``, ``toxic`` (0 or 1; rows without are left out). Without rows every score is next to 0."""
     labelled = labelled.select(F.col("text").cast("string").alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")).where("toxic is not null")
     total = labelled.count()
     if not total:
-        return Model(Matcher([], []), [], 0.0)
-    sample = labelled.where(F.pmod(F.xxhash64("text", "toxic"), F.lit(1_000_003)) < F.lit(min(1.0, rows / total) * 1_000_003))
+        return Model(Matcher([], []), [], [-50.0, 0.0, 0.0, 0.0])
+    drawn = F.pmod(F.xxhash64("text", "toxic"), F.lit(1_000_003))
+    sample = labelled.where(drawn < F.lit(min(1.0, rows / total) * 1_000_003))
+    sample, rest = sample.where(drawn % 3 != 0), sample.where(drawn % 3 == 0)
     sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sides.get(1, 0) + 1.0, sides.get(0, 0) + 1.0
     odds = (F.col("bad") + 0.1) / bad / ((F.col("good") + 0.1) / good)
@@ -207,30 +228,32 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     words = [w for w in words if not any(w[:n] in stems for n in range(1, len(w) + 1))]
     matcher = Matcher(words, stems)
 
-    def learn(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = matcher.hits(text or "")
-                strongest = min(hits.values(), default=None)
-                if strongest is None:
-                    seen[-1, 0, toxic] += 1
-                for entry, kind in hits.items():
-                    if kind == strongest:  # weaker matches say little beside stronger ones
-                        seen[entry, kind, toxic] += 1
-        cols = list(zip(*[(*k, n) for k, n in seen.items()], strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["entry", "kind", "toxic", "n"])
-
-    found = sample.mapInArrow(learn, "entry long, kind long, toxic long, n long").groupBy("entry", "kind", "toxic").agg(F.sum("n").alias("n")).collect()
-    n = {(r["entry"], r["kind"], r["toxic"]): r["n"] for r in found}
+            hits = [sorted(matcher.hits(t or "").items()) for t in batch.column(0).to_pylist()]
+            kinds = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([[e for e, _ in h] for h in hits], kinds), pa.array([[k for _, k in h] for h in hits], kinds)], names=["toxic", "entries", "kinds"])
+
+    # bounded by the sample; most documents have no match
+    seen = [(r["toxic"], list(zip(r["entries"], r["kinds"], strict=True))) for r in rest.mapInArrow(find, "toxic int, entries array<long>, kinds array<long>").collect()]
+    n: Counter = Counter()
+    for toxic, hits in seen:
+        strongest = min((k for _, k in hits), default=None)
+        for entry, kind in hits:
+            if kind == strongest:  # weaker matches say little beside stronger ones
+                n[entry, kind, toxic] += 1
 
     def share(entry: int, kind: int, bad_prior: float, good_prior: float) -> float:
-        x, y = n.get((entry, kind, 1), 0) + bad_prior, n.get((entry, kind, 0), 0) + good_prior
+        x, y = n[entry, kind, 1] + bad_prior, n[entry, kind, 0] + good_prior
         return x / (x + y)
 
-    weights = [(share(k, EXACT, 1.0, 0.5), share(k, FUZZY, 0.5, 0.5), share(k, QUOTED, 0.1, 0.9)) for k in range(len(matcher.entries))]
-    x, y = n.get((-1, 0, 1), 0), n.get((-1, 0, 0), 0)
-    return Model(matcher, weights, min(0.25, (x + 0.01) / (x + y + 1.0)) if not math.isclose(x + y, 0) else 0.0)
+    weights = [(share(k, EXACT, 0.6, 0.4), share(k, FUZZY, 0.7, 0.3), share(k, QUOTED, 0.1, 0.9)) for k in range(len(matcher.entries))]
+    model = Model(matcher, weights, [])
+    if seen:
+        model.slopes = _logistic(np.array([model.evidence(h) for _, h in seen]), np.array([t for t, _ in seen], float))
+    else:
+        model.slopes = [-4.0, 1.0, 0.0, 0.0]
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -247,11 +270,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch in _text.batches(source):
             scores, matches = [], []
             for text in batch.column(1).to_pylist():
-                left, hits = 1.0 - model.prior, model.matcher.hits(text or "")
-                for entry, kind in hits.items():
-                    left *= 1.0 - model.weights[entry][kind]
-                scores.append(1.0 - left)
-                matches.append(len(hits))
+                value, n = model.score(text)
+                scores.append(value)
+                matches.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(matches, pa.int64())], names=["doc_id", "score", "predicted", "n_matches"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
