@@ -13,8 +13,9 @@ suffix in about 180 is enough. Consecutive windows of one anchor form a run.
    these. Receivers merge them with a loser tree whose nodes know the common prefix with the last output, so a known
    prefix is never compared again. Neighbours' common prefixes give the extension to the right of the anchor; the
    bytes before it, carried along, that to the left; together they reach ``span`` where windows are equal.
-3. A gram with more than ``GROUP`` different runs is too much for pairwise extensions: its windows' fingerprints are
-   counted instead, as rows that spread over all tasks.
+3. A gram with more than ``GROUP`` different runs is too much for pairwise extensions. Its runs are cut into blocks of
+   ``BLOCK`` windows, equal blocks collapse, and of those left the windows' fingerprints are counted, as rows that
+   spread over all tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from quillspark.llm._stage import Stage
 GRAM = 48
 #: Different runs of one gram that are extended against each other.
 GROUP = 128
+#: Windows of a block of a crowded gram's run.
+BLOCK = 16
 #: Suffixes that a receiver merges.
 MERGED = 40_000
 #: Bytes of a document worked on at once; longer ones are cut with an overlap of one window less a byte.
@@ -237,39 +240,55 @@ def _read_parts(span: int):
 
 
 def _fingerprints(span: int):
-    """For each run of a crowded gram, the fingerprint of each of its windows."""
+    """For each run of a crowded gram its blocks: fingerprint of all bytes, and of each window from ``top`` bytes before the anchor on."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in _text.batches(source, 500_000):
-            cols: list[list] = [[], [], [], [], []]
+            out: list[tuple] = []
             for packed, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 raw = np.frombuffer(unpack.decompress(packed.as_py()), np.uint8)
                 for w in wanted.as_py():
-                    low = w["anchor"] - w["far"]
-                    part = raw[low : w["anchor"] - w["near"] + span]
+                    part = raw[w["anchor"] - w["far"] : w["anchor"] - w["near"] + span]
                     prefix, back = _prefix(part), _text.powers(_INVERSE, len(part) + 1)
                     n = w["far"] - w["near"] + 1
-                    hashed = _text.mix((prefix[span : span + n] - prefix[:n]) * back[:n])
-                    cols[0].append(hashed.view(np.int64))
-                    cols[1].append(np.arange(w["far"], w["near"] - 1, -1, dtype=np.int32))
-                    for c, v in zip(cols[2:], (w["gram"], w["seen"], w["copies"]), strict=True):
-                        c.append(np.full(n, v, np.int64))
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["window", "back", "gram", "seen", "copies"])
+                    hashed = _text.mix((prefix[span : span + n] - prefix[:n]) * back[:n]).view(np.int64)
+                    top = w["far"]
+                    while top >= w["near"]:
+                        # blocks are cut at the same distances from the anchor in every run
+                        end = max(w["near"], top // BLOCK * BLOCK)
+                        a, b = w["far"] - top, w["far"] - end
+                        whole = (prefix[b + span : b + span + 1] - prefix[a : a + 1]) * back[a : a + 1]
+                        block = _text.mix(whole ^ _text.mix(np.array([top * 65536 + end], np.uint64))).view(np.int64)
+                        out.append((int(block[0]), w["gram"], w["seen"], w["copies"], top, hashed[a : b + 1].tolist()))
+                        top = end - 1
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["block", "gram", "seen", "copies", "top", "windows"])
 
     return run
 
 
+def _crowded(blocks: DataFrame, stage: Stage) -> DataFrame:
+    """blocks: as _fingerprints makes them. ``gram``, ``seen``, ``most``, ``least`` of runs that hold repeated windows."""
+    blocks = stage.save(blocks, "blocks")
+    different = blocks.groupBy("block").agg(F.sum("copies").alias("copies"), F.max("top").alias("top"), F.max("windows").alias("windows"))
+    different = stage.save(different, "different-blocks")
+    windows = different.select("block", "copies", "top", F.posexplode("windows").alias("k", "window"))
+    twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+    single = windows.where("copies = 1").join(twice, "window").groupBy("block").agg((F.max("top") - F.min("k")).alias("most"), (F.max("top") - F.max("k")).alias("least"))
+    whole = different.where("copies > 1").select("block", F.col("top").alias("most"), (F.col("top") - F.size("windows") + 1).alias("least"))
+    return blocks.select("block", "gram", "seen").join(whole.union(single), "block").groupBy("gram", "seen").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+
+
 def extend(group: list[tuple], same: list[int], span: int) -> list[tuple[int, int, int]]:
-    """(seen, largest, smallest distance of a repeated window's start before the anchor) of the members of one gram.
+    """(seen, largest, smallest distance of a repeated window's start before the anchor) of the single members of one gram.
 
     group: merged entries; same[i]: common prefix of i and i-1, the 8 bytes of the gram's hash included.
     """
     out = []
     for i, (_, left, seen, near, far, copies) in enumerate(group):
-        if copies > 1:
-            out.append((seen, far, near))
+        if copies > 1:  # wholly repeated
             continue
         most, least = -1, span
         for step in (1, -1):
@@ -369,18 +388,13 @@ def as_text(kept: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
     """docs: ``doc_id``, ``th``, ``text``. Rows of ``doc_id``, ``th``, ``low``, ``high``, which may overlap."""
     runs = stage.save(docs.mapInArrow(_find_runs(span), "doc_id long, th long, anchor long, gram long, seen long, near int, far int"), "runs")
-    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("s0"), F.max("seen").alias("s1")).where("n > 1")
-    shared = stage.save(runs.join(grams.select("gram", (F.col("s0") == F.col("s1")).alias("alike")), "gram"), "shared")
-    stage.drop("runs")
-    low, high = F.col("anchor") - F.col("far"), F.col("anchor") - F.col("near") + span
-    whole = shared.where("alike").select("doc_id", "th", low.alias("low"), high.alias("high"))
-    mixed = shared.where("not alike")
-    different = mixed.groupBy("gram", "seen", "near", "far").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "anchor")).alias("at"))
-    different = stage.save(different.select("gram", "seen", "near", "far", "copies", "at.*"), "different")
-    crowd = different.groupBy("gram").agg(F.count(F.lit(1)).alias("members"))
-    crowd = stage.save(crowd.where(F.col("members") > GROUP).select("gram"), "crowd")
+    different = runs.groupBy("gram", "seen", "near", "far").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "anchor")).alias("at"))
+    grams = different.groupBy("gram").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("members")).where("n > 1").select("gram", "members")
+    different = stage.save(different.join(grams, "gram").select("gram", "seen", "near", "far", "copies", "at.*", "members"), "different")
+    whole = different.where("copies > 1").select("gram", "seen", F.col("far").alias("most"), F.col("near").alias("least"))
+    different = different.where("members > 1")
     receivers = max(1, -(-different.count() // MERGED))
-    crowded = crowd.limit(1).count() > 0
+    usual, crowd = different.where(F.col("members") <= GROUP), different.where(F.col("members") > GROUP)
 
     def at_text(rows: DataFrame) -> DataFrame:
         wanted = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "gram", "seen", "near", "far", "copies", F.pmod("gram", F.lit(receivers)).cast("int").alias("receiver"))).alias("wanted"))
@@ -389,18 +403,15 @@ def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
         on = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["th"] == wanted["th"])
         return packed.join(wanted, on).select("packed", "wanted")
 
-    usual = different.join(crowd, "gram", "left_anti") if crowded else different
     sent = at_text(usual).mapInArrow(_read_parts(span), "receiver int, run binary")
     sent = sent.repartition(min(receivers, 4096), "receiver").sortWithinPartitions("receiver")
-    found = sent.mapInArrow(_merge(span), "gram long, seen long, most int, least int")
-    if crowded:
-        windows = stage.save(at_text(different.join(crowd, "gram")).mapInArrow(_fingerprints(span), "window long, back int, gram long, seen long, copies long"), "windows")
-        twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-        more = windows.join(twice, "window").groupBy("gram", "seen").agg(F.max("back").alias("most"), F.min("back").alias("least"))
-        found = found.union(more)
+    found = whole.union(sent.mapInArrow(_merge(span), "gram long, seen long, most int, least int"))
+    if crowd.limit(1).count():
+        blocks = at_text(crowd).mapInArrow(_fingerprints(span), "block long, gram long, seen long, copies long, top int, windows array<long>")
+        found = found.union(_crowded(blocks, stage).join(whole, ["gram", "seen"], "left_anti"))
     found = stage.save(found.distinct(), "found")
-    part = mixed.join(found, ["gram", "seen"]).select("doc_id", "th", (F.col("anchor") - F.col("most")).alias("low"), (F.col("anchor") - F.col("least") + span).alias("high"))
-    return whole.union(part)
+    spans = runs.join(found, ["gram", "seen"])
+    return spans.select("doc_id", "th", (F.col("anchor") - F.col("most")).alias("low"), (F.col("anchor") - F.col("least") + span).alias("high"))
 
 
 def remove_repeats(docs: DataFrame, span: int = 400, carry: tuple[str, ...] = ()) -> DataFrame:
