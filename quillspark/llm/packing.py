@@ -29,8 +29,8 @@ CAPACITY = 2048
 ITEMS = 20_000
 FAN_IN = 8
 ROUNDS = 3
-#: Words whose ids a worker keeps.
-KEPT = 400_000
+#: Words of a generation of the cache; a worker keeps two generations.
+KEPT = 500_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long, part long, open boolean"
@@ -55,8 +55,13 @@ class Words:
 
             path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.whole: dict[str, bytes] = {"": b""}
         self.part: dict[str, bytes] = {"": b""}
+        self.old_whole: dict[str, bytes] = {}
+        self.old_part: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -67,23 +72,43 @@ class Words:
 
     def _learn(self, words: set[str]) -> None:
         if len(self.whole) > KEPT:
-            self.whole = {"": b""}
+            self.whole, self.old_whole = {"": b""}, self.whole
         if len(self.part) > KEPT:
-            self.part = {"": b""}
+            self.part, self.old_part = {"": b""}, self.part
+        part, whole, old = self.part, self.whole, self.old_whole
         halves, other = [], []
-        for word in words.difference(self.whole):
+        for word in words.difference(whole):
+            ids = old.get(word)
+            if ids is not None:
+                whole[word] = ids
+                continue
             m = _SIMPLE.fullmatch(word)
             if m:
                 halves.append((word, m[1].lower(), m[2]))
             else:
                 other.append(word)
-        new = {x for _, a, b in halves for x in (a, b)}.difference(self.part)
-        self._ask(list(new), self.part)
-        self._ask(other, self.whole)
-        part, whole = self.part, self.whole
+        new = {a for _, a, _ in halves}.union(b for _, _, b in halves).difference(part)
+        old = self.old_part
+        part.update((x, old[x]) for x in new.intersection(old))
+        self._ask_joined(list(new.difference(part)))
+        self._ask(other, whole)
         for word, a, b in halves:
             whole[word] = part[a] + part[b]
 
+    def _ask_joined(self, words: list[str]) -> None:
+        """Ids of parts that the tokenizer doesn't cut before merging: read as one text, as the last id of each marks its end."""
+        for low in range(0, len(words), 4096):
+            some = words[low : low + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(some):
+                self._ask(some, self.part)
+                continue
+            raw, part, start = ids.tobytes(), self.part, 0
+            for word, stop in zip(some, stops.tolist(), strict=True):
+                part[word] = raw[start:stop]
+                start = stop
+
     def _ask(self, words: list[str], into: dict[str, bytes]) -> None:
         for low in range(0, len(words), 4096):
             some = words[low : low + 4096]
