@@ -499,7 +499,7 @@ def _(spark, d):
     return intervals.points_in_intervals(points, _spans(spark, d), "l_orderkey", "at", "low", "high", 16)
 
 
-_ZONES = "select l_orderkey, l_linenumber as zone_ord, l_partkey % 4 as start_row, l_partkey % 4 + 2 as end_row, l_suppkey % 4 as start_col, l_suppkey % 4 + 2 as end_col, l_partkey % 5 as fill from {_CELLS}"
+_ZONES = "select l_orderkey, l_linenumber as zone_ord, l_partkey % 4 as start_row, l_partkey % 4 + 2 as end_row, l_suppkey % 4 as start_col, l_suppkey % 4 + 2 as end_col, l_partkey % 5 as fill from " + _CELLS
 
 
 @query("j07_zone_range", f"with z as ({_ZONES}), c as (select l_orderkey, l_linenumber, l_partkey % 6 as r, l_suppkey % 6 as k from {_CELLS}) select c.l_orderkey, c.l_linenumber, (select max_by(z.fill, z.zone_ord) from z where z.fill <> 0 and z.l_orderkey = c.l_orderkey and c.r between z.start_row and z.end_row and c.k between z.start_col and z.end_col) as zone_fill from c")
@@ -592,7 +592,7 @@ _SHOWN = "l_linenumber::varchar || '|' || l_returnflag"
 
 @query(
     "r09_pipe_table",
-    "with c as (select l_orderkey, (l_linenumber - 1) // 2 as r, (l_linenumber - 1) % 2 as k, replace(" + _SHOWN + ", '|', '\\|') as t from " + _CELLS + "), s as (select l_orderkey, max(r) + 1 as n from c group by 1), g as (select s.l_orderkey, r.r as r, coalesce(a.t, ' ') as a, coalesce(b.t, ' ') as b from s, lateral (select unnest(range(n)) as r) r left join c a on a.l_orderkey = s.l_orderkey and a.r = r.r and a.k = 0 left join c b on b.l_orderkey = s.l_orderkey and b.r = r.r and b.k = 1) select l_orderkey, chr(10) || string_agg('| ' || a || ' | ' || b || ' |' || case when r = 0 then chr(10) || '|---|---|' else '' end, chr(10) order by r) || chr(10) as \"table\" from g group by l_orderkey",
+    "with c0 as (select l_orderkey, (l_linenumber - 1) // 2 as r, (l_linenumber - 1) % 2 as k, replace(" + _SHOWN + ", '|', '\\|') as t from " + _CELLS + "), s as (select l_orderkey, max(r) + 1 as n from c0 group by 1), c as (select l_orderkey, r - min(r) over (partition by l_orderkey) as r, k - min(k) over (partition by l_orderkey) as k, t from c0), g as (select s.l_orderkey, r.r as r, coalesce(a.t, ' ') as a, coalesce(b.t, ' ') as b from s, lateral (select unnest(range(n)) as r) r left join c a on a.l_orderkey = s.l_orderkey and a.r = r.r and a.k = 0 left join c b on b.l_orderkey = s.l_orderkey and b.r = r.r and b.k = 1) select l_orderkey, chr(10) || string_agg('| ' || a || ' | ' || b || ' |' || case when r = 0 then chr(10) || '|---|---|' else '' end, chr(10) order by r) || chr(10) as \"table\" from g group by l_orderkey",
 )
 def _(spark, d):
     k = F.col("l_linenumber") - 1
