@@ -2,7 +2,7 @@
 
 Test items are taken in blocks of bounded size, each compared with all
 documents. The frequency of every n-gram of the items is counted over the whole corpus;
-an item's seeds are the rarer half of its n-grams, ties included. Around the seeds that a document
+an item's seeds are the rarer half of those that occur, ties included. Around the seeds that a document
 holds, the item is aligned with the document's words: copies that were edited or paraphrased keep some seeds and
 most of the alignment. The score is the part of the item's best possible alignment that is reached.
 """
@@ -84,6 +84,7 @@ class Items:
         for k in range(len(self.ids)):
             mine = self.owners == k if len(self.ids) < 2 else slice(*np.searchsorted(self.owners, [k, k + 1]))
             some, gram = n[mine], self.grams[mine]
+            some, gram = some[some > 0], gram[some > 0]  # what occurs nowhere opens nothing
             if len(some):
                 middle = np.sort(some)[(len(some) - 1) // 2]
                 for g in gram[some <= middle].tolist():
