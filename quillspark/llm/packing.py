@@ -3,8 +3,8 @@
 Documents are tokenised once and cut into pieces of at most ``capacity`` tokens;
 from then on only lengths are handled. Pieces are dealt by a hash into
 partitions of about ``ITEMS``, each packed by best-fit decreasing. A partition
-that needs no more sequences than its lower bound is done, but for sequences
-with over a sixteenth of room. The others give up all sequences with room left;
+that needs no more sequences than its lower bound, and leaves under a hundredth
+of its tokens as room, is done. The others give up all sequences with room left;
 those of ``FAN_IN`` partitions are pooled, exchanging documents, and packed again; the better packing stays.
 """
 
@@ -195,7 +195,7 @@ def _pack(capacity: int, turn: int, last: bool):
             old, bins = np.unique(pdf["sequence_id"].to_numpy(), return_inverse=True)
             offsets = pdf["offset"].to_numpy()
             left = capacity - np.bincount(bins, sizes, len(old)).astype(np.int64)
-        again = (left > 0) & ((len(left) > bound) | (16 * left > capacity)) & (not last)
+        again = (left > 0) & ((len(left) > bound) | (100 * left.sum() > sizes.sum())) & (not last)
         return pdf.assign(sequence_id=(turn << 60) + (part << 26) + bins, offset=offsets, open=again[bins])
 
     return run
