@@ -234,7 +234,7 @@ def _(spark, d):
 # ---------------------------------------------------------------- units and colours
 
 
-@query("f40_units", "select l_orderkey, l_linenumber, v, round(v / 7200.0 * 25.4, 6) as mm, round(v / 7200.0, 6) as inches, trunc(v / 100.0 / 25.4 * 7200.0)::bigint as units, floor(v * 25.4 / 7200.0 * 100 + 0.5) / 100 as mm2 from (select l_orderkey, l_linenumber, floor(l_extendedprice)::bigint as v from lineitem)")
+@query("f40_units", "select l_orderkey, l_linenumber, v, round(v / 7200.0 * 25.4, 6) as mm, round(v / 7200.0, 6) as inches, trunc(v / 100.0 / 25.4 * 7200.0)::bigint as units, floor(v::double * 25.4::double / 7200.0::double * 100 + 0.5) / 100 as mm2 from (select l_orderkey, l_linenumber, floor(l_extendedprice)::bigint as v from lineitem)")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("v"))
     return rows.select("*", F.round(units.to_mm("v"), 6).alias("mm"), F.round(units.to_inches("v"), 6).alias("inches"), units.from_mm(F.col("v") / 100.0).alias("units"), units.round2(units.int_to_mm("v")).alias("mm2"))

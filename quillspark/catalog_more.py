@@ -151,10 +151,10 @@ def _(spark, d):
     return grid_cells(spark, d).select("l_orderkey", "l_linenumber", render.svg_line(x, F.lit(0.0), x, y, F.col("l_partkey").bitwiseAND(F.lit(65535)), units.border_width(F.lit(1))).alias("path"))
 
 
-@query("r05_page_info", "select o_orderkey, '**용지 크기**: ' || format('{:.2f}', round(o_custkey / 7200.0 * 25.4, 2)) || 'mm x ' || format('{:.2f}', round(o_orderkey / 7200.0 * 25.4, 2)) || 'mm' as size_line, '**용지 방향**: Vertical' as direction_line from orders")
+@query("r05_page_info", "select o_orderkey, '**용지 크기**: ' || format('{:.2f}', o_custkey * 1.27) || 'mm x ' || format('{:.2f}', o_orderkey * 1.27) || 'mm' as size_line, '**용지 방향**: Vertical' as direction_line from orders")
 def _(spark, d):
-    c = F.col("o_custkey")
-    info = render.page_info(F.col("o_custkey"), F.col("o_orderkey"), c, c, c, c, F.lit("Vertical"))
+    c = F.col("o_custkey") * 360
+    info = render.page_info(c, F.col("o_orderkey") * 360, c, c, c, c, F.lit("Vertical"))
     return table(spark, d, "orders").select("o_orderkey", info[0].alias("size_line"), info[1].alias("direction_line"))
 
 
