@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; one longer document is worked on alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -132,7 +132,7 @@ def shingles(raw: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[int, np.
             yield row, np.zeros(0, np.uint64)
 
 
-def batches(source: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded size, so that what is made from a slice stays small."""
     for batch in source:
         step = max(1, int(batch.num_rows * min(1.0, limit / max(1, batch.nbytes))))

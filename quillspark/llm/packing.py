@@ -29,8 +29,8 @@ CAPACITY = 2048
 ITEMS = 20_000
 FAN_IN = 8
 ROUNDS = 3
-#: Words of a generation of the cache; a worker keeps two generations.
-KEPT = 500_000
+#: Words of a generation of the cache; a worker keeps two generations during a task, one between tasks.
+KEPT = 300_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long, part long, open boolean"
@@ -70,6 +70,10 @@ class Words:
         known = self.whole.__getitem__
         return [b"".join(map(known, words)) for words in cut]
 
+    def rest(self) -> None:
+        """Gives up the older generation, as the worker may do other work next."""
+        self.old_whole, self.old_part = {}, {}
+
     def _learn(self, words: set[str]) -> None:
         if len(self.whole) > KEPT:
             self.whole, self.old_whole = {"": b""}, self.whole
@@ -131,6 +135,7 @@ def _tokenise(path: str, capacity: int):
                         c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        _workers[path].rest()
 
     return run
 

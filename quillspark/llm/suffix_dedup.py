@@ -40,7 +40,7 @@ BLOCK = 16
 #: Suffixes that a receiver merges.
 MERGED = 40_000
 #: Bytes of a document worked on at once; longer ones are cut with an overlap of one window less a byte.
-PART = 1_500_000
+PART = 1_000_000
 _BITS = 26
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
