@@ -138,13 +138,44 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", units.view_box(F.col("p_size") / 10, F.col("p_partkey") % 1000 / 100).alias("box"))
 
 
-@query("r24_line_box", f"select l_orderkey, l_linenumber, '<div class=\"hls ps' || l_linenumber || '\" style=\"line-height:' || {_num('h')} || 'mm;white-space:nowrap;left:' || {_num('l_suppkey')} || 'mm;top:' || {_num('l_partkey')} || 'mm;height:' || {_num('h')} || 'mm;width:' || {_num('h * 7')} || 'mm;\">' || l_returnflag || '</div>' as box from (select *, l_partkey % 900 as h from {_CELLS})")
+def _mm(units_360: str) -> str:
+    """SQL of lengths that are multiples of 360 units, which are exact hundredths of a millimetre."""
+    return f"format('{{{{:.2f}}}}', ({units_360}) * 1.27)"
+
+
+@query(
+    "r24_line_box",
+    f"select l_orderkey, l_linenumber, '<div class=\"hls ps' || l_linenumber || '\" style=\"line-height:' || {_mm('b')} || 'mm;white-space:nowrap;left:' || {_mm('l_suppkey')} || 'mm;top:' || {_mm('l_partkey')} || 'mm;height:' || {_mm('b + 1')} || 'mm;width:' || {_mm('l_partkey + 7')} || 'mm;' || case when l_linenumber % 2 = 0 then 'padding-left:' || {_mm('2')} || 'mm;' else '' end || '\">' || l_returnflag || '</div>' as box from (select *, l_partkey % 9 as b from {_CELLS})".replace("{{", "{").replace("}}", "}"),
+)
 def _(spark, d):
-    h = F.col("l_partkey") % 900 / 100
-    box = render.line_box(F.col("l_partkey") / 100, F.col("l_suppkey") / 100, h, F.col("l_partkey") % 900 * 7 / 100, F.col("l_linenumber"), F.col("l_returnflag"))
+    u = lambda c: c.cast("long") * 360
+    b = F.col("l_partkey") % 9
+    pad = F.when(F.col("l_linenumber") % 2 == 0, F.lit(720))
+    box = render.line_box(u(F.col("l_partkey")), u(b + 1), u(b), u(b), u(F.col("l_suppkey")), u(F.col("l_partkey") + 7), F.concat(F.lit("ps"), F.col("l_linenumber").cast("string")), F.col("l_returnflag"), indentation=pad)
     return grid_cells(spark, d).select("l_orderkey", "l_linenumber", box.alias("box"))
 
 
+_HEAD = render.HTML_HEAD.replace("\n", "' || chr(10) || '")
+_MID = render.HTML_BODY.replace("\n", "' || chr(10) || '")
+_TAIL = render.HTML_END.replace("\n", "' || chr(10) || '")
+
+
+@query(
+    "r21_html_document",
+    f"with p as (select doc_id, ord // 40 as page, string_agg('<p>' || line || '</p>', '' order by ord) as body from ({_LINES}) group by 1, 2) select doc_id, '{_HEAD}' || '.ps0 {{}}' || chr(10) || '{_MID}' || string_agg('<div class=\"hpa\" style=\"width:210mm;height:297mm;\"><div class=\"hcD\" style=\"left:20mm;top:24.99mm;\"><div class=\"hcI\">' || body || '</div></div></div>' || chr(10), '' order by page) || '{_TAIL}' as html from p group by doc_id",
+)
+def _(spark, d):
+    rows = lines(spark, d).withColumn("page", F.floor(F.col("ord") / 40)).withColumn("body", F.concat(F.lit("<p>"), "line", F.lit("</p>")))
+    return render.html_document(rows, "doc_id", "page", "ord", "body", F.lit(".ps0 {}\n"), F.lit(210.0), F.lit(297.0), F.lit(20.0), F.lit(24.99))
+
+
+@query("r22_page_numbers", "select p_partkey, case when p_size % 4 > 0 then '-' || (p_partkey + 4) || '.' end as number from part")
+def _(spark, d):
+    position = F.when(F.col("p_size") % 4 > 0, "bottom_center").otherwise("none")
+    number = render.page_number(position, F.col("p_partkey"), F.lit(5), F.lit("-\0"), F.lit(".\0"))
+    return table(spark, d, "part").select("p_partkey", number.alias("number"))
+
+
 @query("r30_svg_borders", f"select l_orderkey, l_linenumber, '<path d=\"M' || {_num('l_suppkey')} || ',0 L' || {_num('l_suppkey')} || ',' || {_num('l_partkey')} || '\" style=\"stroke:#' || format('{{:02X}}{{:02X}}{{:02X}}', l_partkey & 255, (l_partkey >> 8) & 255, 0) || ';stroke-linecap:butt;stroke-width:0.12;\"></path>' as path from {_CELLS}")
 def _(spark, d):
     x, y = F.col("l_suppkey") / 100, F.col("l_partkey") / 100

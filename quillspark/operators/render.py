@@ -140,10 +140,46 @@ def text_run(run: Column, style: Column, base_size: Column, color: Column, itali
     return F.when(style.isNotNull(), F.concat(head, inner, F.lit("</span>"))).otherwise(F.concat(F.lit('<span class="hrt">'), inner, F.lit("</span>")))
 
 
-def line_box(top: Column, left: Column, height: Column, width: Column, style: Column, body: Column) -> Column:
-    """A positioned line; lengths in mm."""
-    n = units.number_text
-    return F.concat(F.lit('<div class="hls ps'), style.cast("string"), F.lit('" style="line-height:'), n(height), F.lit("mm;white-space:nowrap;left:"), n(left), F.lit("mm;top:"), n(top), F.lit("mm;height:"), n(height), F.lit("mm;width:"), n(width), F.lit('mm;">'), body, F.lit("</div>"))
+def line_box(
+    vertical: Column, line_height: Column, text_height: Column, baseline: Column, column_start: Column, width: Column, style: Column, body: Column, line_grid: Column | None = None, indentation: Column | None = None
+) -> Column:
+    """A positioned line of text from a line segment's lengths (document units): as high as its baseline distance, or as the line
+    on a line grid, and centred in it. ``indentation`` (document units, null for none) pads the left."""
+    mm = lambda c: units.round2(units.int_to_mm(c))
+    height = mm(baseline) if line_grid is None else F.when(line_grid, mm(line_height)).otherwise(mm(baseline))
+    top = units.round2(units.int_to_mm(vertical) + (height - mm(text_height)) / 2.0)
+    pad = F.lit("") if indentation is None else F.when(indentation.isNotNull(), F.format_string("padding-left:%.2fmm;", mm(indentation))).otherwise(F.lit(""))
+    box = F.format_string("line-height:%.2fmm;white-space:nowrap;left:%.2fmm;top:%.2fmm;height:%.2fmm;width:%.2fmm;", height, mm(column_start), top, mm(line_height), mm(width))
+    return F.concat(F.lit('<div class="hls '), style, F.lit('" style="'), box, pad, F.lit('">'), body, F.lit("</div>"))
+
+
+def image_box(url: Column, left: Column, top: Column, width: Column, height: Column) -> Column:
+    """An image as the background of a box; lengths in document units."""
+    mm = lambda c: units.number_text(units.int_to_mm(c))
+    return F.concat(F.lit('<div class="hsR" style="top:'), mm(top), F.lit("mm;left:"), mm(left), F.lit("mm;width:"), mm(width), F.lit("mm;height:"), mm(height), F.lit("mm;background-repeat:no-repeat;background-size:contain;background-image:url('"), url, F.lit("');\"></div>"))
+
+
+def page_number(position: Column, page: Column, start: Column, prefix: Column, suffix: Column) -> Column:
+    """Text of a page's number, null without a place for it; NULs in prefix and suffix stand for nothing."""
+    clean = lambda c: T.no_nul(F.coalesce(c, F.lit("")))
+    return F.when(position != "none", F.concat(clean(prefix), (start + page - 1).cast("string"), clean(suffix)))
+
+
+# What stands before the styles, between them and the pages, and after these.
+HTML_HEAD = '<!DOCTYPE html>\n<html>\n<meta http-equiv="X-UA-Compatible" content="IE=edge,chrome=1">\n\n<head>\n  <title></title>\n  <meta http_quiv="content-type" content="text/html; charset=utf-8">\n  <style>\n'
+HTML_BODY = "  </style>\n</head>\n\n\n<body>\n"
+HTML_END = "</body>\n\n</html>\n"
+
+
+def html_document(rows: DataFrame, key: str, page: str, order: str, body: str, css: Column, width: Column, height: Column, left: Column, top: Column) -> DataFrame:
+    """rows: positioned lines with the page they are on. key, ``html``: a whole document of page boxes; css and the page's lengths (mm)
+    are constant within a key."""
+    rows = rows.select(key, page, order, body, css.alias("_css"), *[c.alias(n) for c, n in ((width, "_w"), (height, "_h"), (left, "_l"), (top, "_t"))])
+    line = F.transform(F.array_sort(F.collect_list(F.struct(order, body))), lambda x: x[body])
+    pages = rows.groupBy(key, page).agg(F.array_join(line, "").alias("_body"), *[F.first(n).alias(n) for n in ("_css", "_w", "_h", "_l", "_t")])
+    pages = pages.withColumn("_page", F.concat(page_box(F.col("_w"), F.col("_h"), F.col("_l"), F.col("_t"), F.col("_body")), F.lit("\n")))
+    whole = pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "_page"))), lambda x: x["_page"]), "").alias("_all"), F.first("_css").alias("_css"))
+    return whole.select(key, F.concat(F.lit(HTML_HEAD), F.col("_css"), F.lit(HTML_BODY), F.col("_all"), F.lit(HTML_END)).alias("html"))
 
 
 def page_box(width: Column, height: Column, left: Column, top: Column, body: Column) -> Column:
