@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text
+from quillspark.llm._stage import Stage
 
 #: About so many labelled rows are learned from, drawn in the order of a hash.
 TRAIN_ROWS = 20_000
@@ -210,9 +211,11 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     total = labelled.count()
     if not total:
         return Model(Matcher([], []), [], [-50.0, 0.0, 0.0, 0.0])
-    drawn = F.pmod(F.xxhash64("text", "toxic"), F.lit(1_000_003))
-    sample = labelled.where(drawn < F.lit(min(1.0, rows / total) * 1_000_003))
-    sample, rest = sample.where(drawn % 3 != 0), sample.where(drawn % 3 == 0)
+    # a hash of the text alone, so that the draw takes place below whatever join labelled is made by
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
+    sample = labelled.where(drawn < F.lit(min(1.0, rows / total) * 1_000_003)).withColumn("rest", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(3)) == 0)
+    sample = Stage(labelled.sparkSession, "toxicity").save(sample, "sample")
+    sample, rest = sample.where("not rest").drop("rest"), sample.where("rest").drop("rest")
     sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sides.get(1, 0) + 1.0, sides.get(0, 0) + 1.0
     odds = (F.col("bad") + 0.1) / bad / ((F.col("good") + 0.1) / good)
