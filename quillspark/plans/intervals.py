@@ -56,8 +56,8 @@ def last_zone(cells: DataFrame, zones: DataFrame, key: str, cell_id: list[str],
 
 
 def covered_cells(cells: DataFrame, key: str, row: str, column: str, row_span: str, column_span: str) -> DataFrame:
-    """Cells that are not hidden by the span of one before them in (row, column) order. Spans are cut into grid places, so each
-    place finds its first owner by one aggregation; a cell stays if it owns its own place, or only hidden cells claimed it before."""
+    """Cells whose own place no cell before them, in (row, column) order, claims by its span. Spans are cut into grid places, so
+    each place finds its first owner by one aggregation. Claims of hidden cells count, as spans of one table don't overlap."""
     order = F.struct(F.col(row).alias("r"), F.col(column).alias("c"))
     places = cells.select(
         key, order.alias("owner"),
