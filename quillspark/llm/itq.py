@@ -3,7 +3,8 @@
 Rotations that make sign codes balanced are learned by iterative quantisation
 on a bounded sample. Codes are cut into substrings about log2(n) bits wide, one
 hash table each: a pair of vectors at the threshold differs in few bits, so in
-some table the two substrings differ by at most two. Each vector is entered under
+some table the two substrings differ by at most two. Wider substrings differ by more, so
+there are as many rotations as keep the chance of a pair at the threshold at ``RECALL``. Each vector is entered under
 its substring and all at distance one, so such pairs share an entry. A pair is
 taken from one entry only, kept if the whole codes are near enough, and
 confirmed by the cosine of the original vectors in double precision.
@@ -12,6 +13,7 @@ confirmed by the cosine of the original vectors in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,12 @@ from quillspark.llm._stage import Stage
 
 #: Vectors that the rotations are learned from, drawn in the order of a hash.
 SAMPLE = 10_000
-#: Independent rotations, each giving 64 bits.
+#: Independent rotations at least, each giving 64 bits.
 ROTATIONS = 2
-BITS = 64 * ROTATIONS
+#: Chance of a pair at the threshold to share an entry, by the binomial law, at any number of vectors.
+RECALL = 0.999
+#: Pairs that are compared at the cost of one entry, about.
+COMPARED = 16
 ITERATIONS = 30
 
 
@@ -59,21 +64,38 @@ def _unit(column: pa.Array, n: int) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def substrings(n: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each table, about log2(n) wide; a substring stays within one 64-bit word."""
-    width = int(np.clip(round(np.log2(max(2, n))), 8, 32))
-    per_word = max(1, 64 // width)
-    width = 64 // per_word
-    return [(64 * w + width * k, width) for w in range(ROTATIONS) for k in range(per_word)]
+def flipped(threshold: float) -> float:
+    """Chance of a bit to differ between vectors at the threshold."""
+    return float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.9) -> DataFrame:
+def rotations(width: int, threshold: float) -> int:
+    """How many rotations let a pair at the threshold differ by two bits at most in some substring, but for 1 - ``RECALL``."""
+    flip = flipped(threshold)
+    miss = 1 - sum(comb(width, k) * flip**k * (1 - flip) ** (width - k) for k in range(3))
+    tables = 1 if miss <= 1 - RECALL else ceil(log(1 - RECALL) / log(miss))
+    return max(ROTATIONS, -(-tables // (64 // width)))
+
+
+def best_width(n: int, threshold: float) -> int:
+    """The width with least work: entries, and pairs at random that share one."""
+    return min(range(8, 33), key=lambda w: rotations(w, threshold) * (64 // w) * (w + 1) * (1 + (w + 1) * n / 2**w / COMPARED))
+
+
+def substrings(n: int, threshold: float, width: int | None = None) -> list[tuple[int, int]]:
+    """(first bit, width) of each table; a substring stays within one 64-bit word."""
+    width = width or best_width(n, threshold)
+    return [(64 * w + width * k, width) for w in range(rotations(width, threshold)) for k in range(64 // width)]
+
+
+def near_vectors(table: DataFrame, threshold: float = 0.9, width: int | None = None) -> DataFrame:
     """table: ``vec_id`` (long), ``embedding`` (array of float or double, one length); other columns are not read.
 
     Returns for every row ``vec_id``, ``n_links``, ``component_id``, ``kept``. Vectors are linked at a cosine of at least
     ``threshold`` in double precision. Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, as do those of another length than most. Equal vectors form one class before the search, so copies are
-    counted, not paired. Rows that repeat a vec_id count as rows; an empty table gives an empty one.
+    counted, not paired. Rows that repeat a vec_id count as rows; an empty table gives an empty one. ``width`` sets the bits of
+    a substring (8 to 32; else chosen by the number of vectors).
     """
     spark = table.sparkSession
     stage = Stage(spark, "itq")
@@ -89,20 +111,21 @@ def near_vectors(table: DataFrame, threshold: float = 0.9) -> DataFrame:
     classes = classes.where(F.size("v") == size["d"])
     sample = classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     unit = _unit(sample, len(sample))
-    projections = np.hstack([iterative_quantisation(unit, 64, seed) for seed in range(ROTATIONS)])
+    tables = substrings(size["n"], threshold, width)
+    turns = tables[-1][0] // 64 + 1
+    projections = np.hstack([iterative_quantisation(unit, 64, seed) for seed in range(turns)])
     # Bits that differ at the threshold angle follow a binomial law on average; four deviations more lose next to nothing
     # and still rule out almost all pairs at random.
-    flip = np.arccos(np.clip(threshold, -1, 1)) / np.pi
-    near = int(np.ceil(BITS * flip + 4 * np.sqrt(BITS * flip * (1 - flip))))
-    words = [f"c{k}" for k in range(ROTATIONS)]
+    flip, bits = flipped(threshold), 64 * turns
+    near = int(np.ceil(bits * flip + 4 * np.sqrt(bits * flip * (1 - flip))))
+    words = [f"c{k}" for k in range(turns)]
 
     def code(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = encode(_unit(batch.column(1), batch.num_rows), projections).view(np.int64) if batch.num_rows else np.zeros((0, ROTATIONS), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(ROTATIONS))], names=["rep", *words])
+            found = encode(_unit(batch.column(1), batch.num_rows), projections).view(np.int64) if batch.num_rows else np.zeros((0, turns), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(turns))], names=["rep", *words])
 
     codes = stage.save(classes.select("rep", "v").mapInArrow(code, "rep long, " + ", ".join(f"{w} long" for w in words)), "codes")
-    tables = substrings(size["n"])
     subs = [F.shiftrightunsigned(words[low // 64], low % 64).bitwiseAND(F.lit((1 << width) - 1)) for low, width in tables]
     entries = codes.select("rep", *words, F.posexplode(F.array(*subs)).alias("t", "sub"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(tables[0][1])])

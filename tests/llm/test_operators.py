@@ -192,6 +192,28 @@ def test_near_vectors(spark):
     assert itq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("width", [21, 32])
+def test_wide_substrings_lose_no_links(spark, width):
+    rng = np.random.default_rng(15)
+    a = rng.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((1500, 64))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    v = np.vstack([a, 0.901 * a + np.sqrt(1 - 0.901**2) * b])
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert sum(r["n_links"] for r in itq.near_vectors(table, width=width).collect()) >= 2 * 1500 * 0.99
+
+
+def test_recall_does_not_fall_with_size():
+    for n in (2, 1000, 10**5, 10**6, 10**7, 10**9):
+        tables = itq.substrings(n, 0.9)
+        flip, w = itq.flipped(0.9), tables[0][1]
+        assert all(low % 64 + w <= 64 for low, _ in tables)
+        p = sum(math.comb(w, k) * flip**k * (1 - flip) ** (w - k) for k in range(3))
+        assert 1 - (1 - p) ** len(tables) >= 0.999
+
+
 # ---------------------------------------------------------------- 1
 
 
