@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are taken in blocks of bounded size, each compared with all
-documents. The frequency of every n-gram of the items is counted over the whole corpus;
-an item's seeds are the rarer half of those that occur, ties included. Around the seeds that a document
-holds, the item is aligned with the document's words: copies that were edited or paraphrased keep some seeds and
-most of the alignment. The score is the part of the item's best possible alignment that is reached.
+documents. Every n-gram of an item is a seed, however frequent, so what one group of copies keeps does not hide
+another. Around the seeds that a document holds, the item is aligned with the document's words, unless too few of the
+item's words are there to reach the threshold (an upper bound, so nothing is lost): copies that were edited or paraphrased
+keep some seeds and most of the alignment. The score is the part of the item's best possible alignment that is reached.
 """
 
 from __future__ import annotations
@@ -73,24 +73,11 @@ class Items:
         self.ids = ids
         self.words = [hashes[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         grams = [np.unique(_text.grams(w, w, n)) if len(w) >= n else np.zeros(0, np.uint64) for w in self.words]
-        self.owners = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.keys = np.unique(self.grams)
         self.opens: dict[int, list[int]] = {}
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Keeps the rarer half of each item's grams as its seeds."""
-        n = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
-        for k in range(len(self.ids)):
-            mine = self.owners == k if len(self.ids) < 2 else slice(*np.searchsorted(self.owners, [k, k + 1]))
-            some, gram = n[mine], self.grams[mine]
-            some, gram = some[some > 0], gram[some > 0]  # what occurs nowhere opens nothing
-            if len(some):
-                middle = np.sort(some)[(len(some) - 1) // 2]
-                for g in gram[some <= middle].tolist():
-                    self.opens.setdefault(g, []).append(k)
+        for k, mine in enumerate(grams):
+            for g in mine.tolist():
+                self.opens.setdefault(g, []).append(k)
         self.keys = np.array(sorted(self.opens), np.uint64)
-        del self.grams, self.owners
 
     def found(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word hashes, rows, words that open a gram, its place among ``keys``)."""
@@ -105,21 +92,6 @@ class Items:
         return hashes, rows, hit, place[hit]
 
 
-def _count(items: Items):
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.keys), np.int64)
-        for batch in source:
-            for _, _, raw, at in _text.chunks(batch.column(1)):
-                _, rows, hit, place = items.found(raw, at)
-                if len(hit):
-                    once = np.unique(rows[hit] * np.int64(len(items.keys)) + place)
-                    total += np.bincount(once % len(items.keys), minlength=len(items.keys))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(items.keys[seen].view(np.int64)), pa.array(total[seen])], names=["gram", "n"])
-
-    return run
-
-
 def _align_all(shared, threshold: float):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -140,7 +112,9 @@ def _align_all(shared, threshold: float):
                     for now, after in zip(places, [*places[1:], 1 << 60], strict=True):
                         if after - now > reach:  # the next seed belongs to another passage
                             a, b = max(starts[row], begin - reach), min(starts[row + 1], now + reach)
-                            score, i, j = align(item, hashes[a:b])
+                            around = hashes[a:b]
+                            # a word of the item that matches adds MATCH at most; others add nothing
+                            score, i, j = align(item, around) if np.isin(item, around).sum() >= threshold * len(item) else (0, 0, 0)
                             if score > best[0]:
                                 best = (score, a + i - starts[row], a + j - starts[row])
                             begin = after
@@ -172,8 +146,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, t
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
         block = Items(rows.column(0).to_pylist(), rows.column(1).to_pylist(), seed_words)
-        counted = docs.mapInArrow(_count(block), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        block.choose(dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True)))
         found = docs.mapInArrow(_align_all(spark.sparkContext.broadcast(block), threshold), _RESULT)
         out = found if out is None else out.union(found)
     return out

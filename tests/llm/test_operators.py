@@ -430,6 +430,18 @@ def test_leaks(spark):
     assert decontamination.leaks(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "edits"), [(20, 3), (30, 5), (38, 6)])
+def test_leaks_of_a_group_with_the_same_edits(spark, n, edits):
+    words = [f"i{k}" for k in range(n)]
+    changed = list(words)
+    for k in range(edits):
+        changed[(k + 1) * n // (edits + 1)] = f"new{k}"
+    rows = [(0, " ".join(words)), *((k, f"before{k} {' '.join(changed)} after{k}") for k in range(1, 101))]
+    rows += [(200 + k, " ".join(words[: n // 2 + 4])) for k in range(30)] + [(300, " ".join(words[n // 2 - 4 :]))]
+    got = decontamination.leaks(docs(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {d for d, _ in rows}
+
+
 # ---------------------------------------------------------------- 6
 
 
