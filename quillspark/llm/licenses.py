@@ -1,7 +1,7 @@
 """Licence scan: an exact containment join of text blocks with licence templates.
 
-A block is a line of text, or two or three lines in a row, as a set of words; a
-template is found where a block holds at least ``CONTAINMENT`` of its words.
+A block is a line of text, or two or three lines in a row, or any ``WINDOW`` times as many words in a row as a template
+has, whatever the line breaks, as a set of words; a template is found where a block holds at least ``CONTAINMENT`` of its words.
 Words are ordered by their frequency in the whole corpus, rarest first. Of a
 template with m words, t of which must be there, any block that qualifies holds
 one of its m - t + 1 rarest: those words alone are looked up (prefix filter).
@@ -57,6 +57,8 @@ TEMPLATES = {
     "mpl": ["this source code form is subject to the terms of the mozilla public license"],
 }
 CONTAINMENT = 0.9
+#: Words in a row that are searched for a template, as a multiple of its own: room for a marker at each wrapped line.
+WINDOW = 2
 
 _FOLD = bytearray(range(256))
 for _b in range(128):
@@ -69,7 +71,7 @@ class Templates:
     """Templates by word order; ``prefix`` maps a word to the templates (number, place) that it opens."""
 
     def __init__(self, texts: dict[str, list[str]], containment: float, counts: dict[bytes, int]):
-        self.labels, self.words, self.need = [], [], []
+        self.labels, self.words, self.need, self.wide = [], [], [], []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for label, some in sorted(texts.items()):
             for text in some:
@@ -82,7 +84,9 @@ class Templates:
                 self.labels.append(label)
                 self.words.append(frozenset(words))
                 self.need.append(need)
+                self.wide.append(WINDOW * len(text.encode().translate(_FOLD).split()))
         self.opening = frozenset(self.prefix)
+        self.known = frozenset().union(*self.words)
 
     def search(self, lines: list[bytes]) -> dict[int, float]:
         """Best containment of each template that some block of a text reaches."""
@@ -108,6 +112,33 @@ class Templates:
                             found[number] = max(found.get(number, 0.0), held / len(self.words[number]))
         return found
 
+    def passages(self, words: list[bytes]) -> dict[int, float]:
+        """Best containment of each template that some run of ``wide`` words reaches."""
+        found: dict[int, float] = {}
+        places: dict[bytes, list[int]] = {}
+        for k, w in enumerate(words):
+            if w in self.known:
+                places.setdefault(w, []).append(k)
+        for number in self._candidates(set(places)):
+            mine = self.words[number] & places.keys()
+            if len(mine) < self.need[number]:
+                continue
+            hits = sorted((k, w) for w in mine for k in places[w])
+            inside: dict[bytes, int] = {}
+            low = most = 0
+            for k, w in hits:
+                inside[w] = inside.get(w, 0) + 1
+                while k - hits[low][0] >= self.wide[number]:
+                    first = hits[low][1]
+                    inside[first] -= 1
+                    if not inside[first]:
+                        del inside[first]
+                    low += 1
+                most = max(most, len(inside))
+            if most >= self.need[number]:
+                found[number] = most / len(self.words[number])
+        return found
+
     def _candidates(self, block: set[bytes]) -> list[int]:
         first: dict[int, int] = {}
         for w in self.opening & block:
@@ -179,7 +210,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
                         places.append(flat.count(b" ", 0, k))
                         base.add(label)
                         k = flat.find(phrase, k + 1)
-                found = known.search(text.split(b"\n")) if not known.opening.isdisjoint(words) else {}
+                found = {}
+                if not known.opening.isdisjoint(words):
+                    found = known.search(text.split(b"\n"))
+                    for number, held in known.passages(words).items():
+                        found[number] = max(found.get(number, 0.0), held)
                 labels = base | {known.labels[n] for n in found}
                 score = 1.0 if places else max(found.values(), default=0.0)
                 values = (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)

@@ -497,6 +497,36 @@ def test_containment_join_is_exact():
         assert set(known.search(lines)) == want
 
 
+def test_licences_over_many_lines(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for label, some in licenses.TEMPLATES.items():
+        for text in some:
+            for form in (textwrap.fill(text, 30), textwrap.fill(text, 40), "\n\n".join(textwrap.wrap(text, 30)), text.replace(" ", "\n"), "# " + text.replace(" ", "\n# ")):
+                rows.append((len(rows), "some words before\n" + form + "\nand after"))
+                want[len(rows) - 1] = label
+    scattered = " far ".join(w + " off" * 30 for w in licenses.TEMPLATES["mit"][1].split())
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [*rows, (9999, scattered.replace(" ", "\n"))]), phrases={}).collect()}
+    assert all(label in got[d]["labels"].split(",") and got[d]["score"] == 1 for d, label in want.items())
+    assert got[9999]["labels"] == ""
+
+
+def test_passages_are_exact():
+    rng = random.Random(16)
+    words = [f"t{k}" for k in range(40)]
+    given = {f"l{k}": [" ".join(rng.sample(words, rng.randrange(3, 12)))] for k in range(25)}
+    known = licenses.Templates(given, 0.8, {w.encode(): rng.randrange(100) for w in words})
+    for _ in range(200):
+        text = [w.encode() for w in rng.choices(words, k=rng.randrange(0, 60))]
+        want = {}
+        for n, t in enumerate(known.words):
+            best = max((len(t & set(text[a : a + known.wide[n]])) for a in range(len(text))), default=0)
+            if best >= known.need[n]:
+                want[n] = best / len(t)
+        assert known.passages(text) == want
+
+
 # ---------------------------------------------------------------- queries
 
 
