@@ -29,7 +29,6 @@ ORDER = 3
 TRAIN_BYTES = 4_000_000
 #: Contexts of order 3 that have code lengths of their own; rarer ones use order 2.
 CONTEXTS = 60_000
-MAX_LANGUAGES = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -93,15 +92,22 @@ class Model:
         short = CLASSES ** (ORDER - 1)
         self.rows = (np.arange(CLASSES**ORDER) & (short - 1)).astype(np.int32)
         self.rows[known] = short + np.arange(len(known), dtype=np.int32)
-        self.lengths = []
+        self.lengths, self.own = [], []
         for key, n in grams:
             p = np.full((1, CLASSES), 1.0 / CLASSES)
             for order in range(ORDER):
                 size = CLASSES**order
                 p = _escape(np.bincount(key & (size * CLASSES - 1), n, size * CLASSES).reshape(size, CLASSES), p if order == 0 else np.tile(p, (CLASSES, 1)))
-            deep = self.rows[key >> 6] >= short
-            place = ((self.rows[key[deep] >> 6] - short).astype(np.int64) << 6) | (key[deep] & 63)
-            top = _escape(np.bincount(place, n[deep], len(known) * CLASSES).reshape(-1, CLASSES), p[known & (short - 1)])
+            # of the known contexts those that this language has; in the others its order 2 holds
+            mine, place = np.unique(key >> 6, return_inverse=True)
+            deep = self.rows[mine] >= short
+            ours = mine[deep]
+            at = np.cumsum(deep) - 1
+            use = deep[place]
+            top = _escape(np.bincount((at[place[use]] << 6) | (key[use] & 63), n[use], len(ours) * CLASSES).reshape(-1, CLASSES), p[ours & (short - 1)])
+            own = np.concatenate([np.arange(short), known & (short - 1)]).astype(np.int32)
+            own[self.rows[ours]] = short + np.arange(len(ours), dtype=np.int32)
+            self.own.append(own)
             self.lengths.append((-np.log(np.maximum(1e-12, np.concatenate([p.ravel(), top.ravel()])))).astype(np.float32))
 
     def nats(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -110,9 +116,9 @@ class Model:
         full = np.flatnonzero(at[1:] > at[:-1])
         if len(full):
             c = contexts(self.kinds[raw], at)
-            where = (self.rows[c >> 6] << 6) | (c & 63)
-            for k, lengths in enumerate(self.lengths):
-                out[full, k] = np.add.reduceat(lengths[where], at[full], dtype=np.float64)
+            row, kind = self.rows[c >> 6], c & 63
+            for k, (own, lengths) in enumerate(zip(self.own, self.lengths, strict=True)):
+                out[full, k] = np.add.reduceat(lengths[(own[row] << 6) | kind], at[full], dtype=np.float64)
         return out
 
     def predict(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,17 +156,17 @@ def _count_grams(names: list[str]):
 def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     """docs: ``lang``, ``text`` of the rows to learn from; rows without either are left out.
 
-    Each language's texts are drawn by a hash of the text until about ``train_bytes``; with over ``MAX_LANGUAGES``
-    labels the largest are learned. Without rows the model knows no language.
+    Each language's texts are drawn by a hash of the text until about ``train_bytes``; every label is learned. Without
+    rows the model knows no language.
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     docs = docs.where("lang is not null and text is not null and text <> ''")
     sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
-    sizes = {r["lang"]: r["size"] for r in sizes.orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["size"] for r in sizes.collect()}
     if not sizes:
         return Model([], np.zeros(256, np.uint8), [])
     names = sorted(sizes)
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, train_bytes / sizes[name]))) for name in names])
+    share = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, train_bytes / max(1, sizes[name])))])[F.col("lang")]
     drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
     grams = drawn.mapInArrow(_count_grams(names), "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (grams.column(k).to_numpy() for k in ("lang", "gram", "n"))
@@ -170,7 +176,9 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     key = np.zeros(len(gram), np.int64)
     for back in range(ORDER + 1):
         key |= kinds[(gram >> (8 * back)) & 255].astype(np.int64) << (6 * back)
-    return Model(names, kinds, [(key[lang == k], n[lang == k]) for k in range(len(names))])
+    order = np.argsort(lang, kind="stable")
+    cut = np.searchsorted(lang[order], np.arange(len(names) + 1))
+    return Model(names, kinds, [(key[order[a:b]], n[order[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -464,6 +464,19 @@ def test_escapes_add_up():
     assert np.allclose(langid._escape(n, lower).sum(1), 1)
 
 
+def test_all_languages_are_learned(spark):
+    rng = random.Random(17)
+    rows = []
+    for k in range(40):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(100 * k + j, " ".join(rng.choices(own, k=30 + k)), f"l{k:02}") for j in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table.where("doc_id % 100 < 5"))
+    assert len(model.languages) == 40
+    got = langid.identify(table.where("doc_id % 100 = 5"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {100 * k + 5: f"l{k:02}" for k in range(40)}
+
+
 # ---------------------------------------------------------------- 7
 
 
