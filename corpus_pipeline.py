@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that occur more than once; n_chars follows."""
-    cut = suffix_dedup.remove_repeats(docs, span=400, carry=("lang", "source"))
+    """Texts without the passages of over 50 words, and the 400-byte strings, that occur more than once; n_chars follows."""
+    cut = suffix_dedup.remove_repeats(docs, span=400, carry=("lang", "source"), words=51)
     cut = cut.select("kept", "doc_id", "carried.lang", "carried.source")
     cut = cut.mapInArrow(suffix_dedup.as_text, "text string, doc_id long, lang string, source string")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -16,6 +16,9 @@ suffix in about 180 is enough. Consecutive windows of one anchor form a run.
 3. A gram with more than ``GROUP`` different runs is too much for pairwise extensions. Its runs are cut into blocks of
    ``BLOCK`` windows, equal blocks collapse, and of those left the windows' fingerprints are counted, as rows that
    spread over all tasks.
+
+Passages of a number of words go the same way: each word becomes a code of ``CODE`` bytes from its hash, so that as many words
+are a string of fixed length whatever their own lengths; of what repeats, whole words count.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ GRAM = 48
 GROUP = 128
 #: Windows of a block of a crowded gram's run.
 BLOCK = 16
+#: Bytes (of 7 bits) that stand for a word.
+CODE = 5
 #: Suffixes that a receiver merges.
 MERGED = 40_000
 #: Bytes of a document worked on at once; longer ones are cut with an overlap of one window less a byte.
@@ -356,6 +361,14 @@ def union_spans(spans: list[dict], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _in_bytes(spans: list[dict], text: bytes) -> list[dict]:
+    """The spans, those of words as the bytes from the first word to the end of the last."""
+    if not any(s["words"] for s in spans):
+        return spans
+    _, _, starts, ends = _text.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    return [{"low": int(starts[s["low"]]), "high": int(ends[s["high"] - 1])} if s["words"] else s for s in spans]
+
+
 def _apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in _text.batches(source, 1_000_000):
@@ -363,7 +376,7 @@ def _apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = [batch.column(k) for k in range(3, batch.num_columns)]
         for packed, spans in zip(batch.column(1), batch.column(2), strict=True):
             text = unpack.decompress(packed.as_py())
-            gone = union_spans(spans.as_py() or [], len(text))
+            gone = union_spans(_in_bytes(spans.as_py() or [], text), len(text))
             rest, at = [], 0
             for low, high in gone:
                 rest.append(text[at:low])
@@ -414,22 +427,49 @@ def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
     return spans.select("doc_id", "th", (F.col("anchor") - F.col("most")).alias("low"), (F.col("anchor") - F.col("least") + span).alias("high"))
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, carry: tuple[str, ...] = ()) -> DataFrame:
+def _code(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The third column's words as codes of ``CODE`` bytes each; the other two stay."""
+    for batch in _text.batches(source):
+        for low, high, raw, at in _text.chunks(batch.column(2)):
+            hashes, rows, _, _ = _text.words(raw, at)
+            codes = np.stack([(hashes >> np.uint64(7 * k)) & np.uint64(127) for k in range(CODE)], 1).astype(np.uint8)
+            offsets = np.searchsorted(rows, np.arange(high - low + 1)).astype(np.int64) * CODE
+            text = pa.LargeStringArray.from_buffers(high - low, pa.py_buffer(offsets), pa.py_buffer(codes.tobytes())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), text], names=["doc_id", "th", "text"])
+
+
+def repeated_words(docs: DataFrame, words: int, stage: Stage) -> DataFrame:
+    """docs: ``doc_id``, ``th``, ``text``. Rows of ``doc_id``, ``th``, ``low``, ``high`` in words, which may overlap."""
+    coded = docs.mapInArrow(_code, "doc_id long, th long, text string").where(F.octet_length("text") >= words * CODE)
+    spans = repeated_spans(coded, words * CODE, stage)
+    # windows that start between two words are of one word less
+    spans = spans.select("doc_id", "th", F.ceil(F.col("low") / CODE).alias("low"), F.floor(F.col("high") / CODE).alias("high"))
+    return spans.where(F.col("high") - F.col("low") >= words)
+
+
+def remove_repeats(docs: DataFrame, span: int = 400, carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
     """docs: ``doc_id`` (long), ``text``; other columns are not read, but for those named in ``carry``.
 
     Returns for every row ``doc_id``, ``n_bytes``, ``n_removed``, ``spans`` (array of low, high: maximal removed runs of
     bytes), ``kept`` (the remaining bytes), and ``carried`` (struct of the columns in carry) if there are any. A byte goes if
     a ``span``-byte string over it also starts elsewhere in the table, the same document included; all strings are judged
     on the input. Null counts as empty text; texts shorter than ``span`` stay whole; rows that repeat a document are copies
-    of it like any others. An empty table gives an empty one.
+    of it like any others. An empty table gives an empty one. With ``words`` a passage of so many words in a row (runs without
+    ASCII white space, A-Z lower-cased) goes too if it also starts elsewhere, however few bytes it has.
     """
     if not GRAM < span < 2000:
         raise ValueError("span must be over 48 and under 2000")
+    if words is not None and not GRAM < words * CODE < 2000:
+        raise ValueError("words must be over 9 and under 400")
     stage = Stage(docs.sparkSession, "suffixes")
     others = [F.struct(*carry).alias("carried")] if carry else []
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
     full = full.select("doc_id", F.xxhash64("text").alias("th"), "text", *full.columns[2:])
-    spans = repeated_spans(full.select("doc_id", "th", "text"), span, stage).groupBy("doc_id", "th").agg(F.collect_set(F.struct("low", "high")).alias("found"))
+    plain = full.select("doc_id", "th", "text")
+    spans = repeated_spans(plain, span, stage).select("doc_id", "th", F.col("low").cast("long"), F.col("high").cast("long"), F.lit(False).alias("words"))
+    if words is not None:
+        spans = spans.union(repeated_words(plain, words, Stage(docs.sparkSession, "word-suffixes")).withColumn("words", F.lit(True)))
+    spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("low", "high", "words")).alias("found"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found")
     more = f", carried {full.schema['carried'].dataType.simpleString()}" if carry else ""
     packed = full.mapInArrow(_squeeze, "doc_id long, th long, packed binary" + more)

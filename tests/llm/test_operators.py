@@ -171,6 +171,45 @@ def test_front_coding_and_merge():
         before = e[0]
 
 
+def test_repeated_words_in_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    count = iter(range(10**6))
+    own = lambda n: " ".join(f"u{next(count)}" for _ in range(n))
+    short = " ".join(rng.choice("abcdefghij") for _ in range(51))  # 101 bytes
+    usual = " ".join(rng.choice(["house", "garden", "of", "river"]) + str(k) for k in range(51))
+    under = " ".join(f"v{k}" for k in range(50))
+    shared = {0: short, 1: short.upper().replace(" ", "\n"), 2: usual, 3: usual, 4: under, 5: under, 6: "z" * 450, 7: "z" * 450, 8: usual + " " + under, 9: None}
+    rows = []
+    for d, x in shared.items():
+        a, b = own(20 + d), own(30)
+        rows.append((d, None if x is None else f"{a} {x} {b}", "en", "s", 1, f"{a}  {b}" if d not in (4, 5, 6, 7, 8) else f"{a} {x} {b}" if d in (4, 5) else f"{a}  {under} {b}" if d == 8 else None))
+    made = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.repeated_passages(spark, made, SF).collect()}
+    assert len(got) == len(rows) and got[9]["text"] == ""
+    for d, *_, want in rows[:9]:
+        assert "z" not in got[d]["text"] if want is None else got[d]["text"] == want, d
+        assert got[d]["n_chars"] == len(got[d]["text"])
+
+
+def repeated_words_by_brute_force(rows, n):
+    split = {d: (t or "").encode().lower().split() for d, t in rows}
+    seen = collections.Counter(tuple(w[i : i + n]) for w in split.values() for i in range(len(w) - n + 1))
+    return {d: {j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(i, i + n)} for d, w in split.items()}
+
+
+def test_repeated_words(spark):
+    from quillspark.llm._stage import Stage
+
+    rows = texts(200) + [(10_000 + k, t) for k, (_, t) in enumerate(AWKWARD)]
+    plain = docs(spark, rows).select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    got = collections.defaultdict(set)
+    for r in suffix_dedup.repeated_words(plain, 12, Stage(spark, "test-words")).collect():
+        got[r["doc_id"]].update(range(r["low"], r["high"]))
+    assert got == {d: w for d, w in repeated_words_by_brute_force(rows, 12).items() if w}
+
+
 # ---------------------------------------------------------------- 9
 
 
