@@ -3,17 +3,18 @@
 Documents are tokenised once and cut into pieces of at most ``capacity`` tokens;
 from then on only lengths are handled. Pieces are dealt by a hash into
 partitions of about ``ITEMS``, each packed by best-fit decreasing. A partition
-that needs no more sequences than its lower bound, and leaves under a hundredth
-of its tokens as room, is done. The others give up all sequences with room left;
-those of ``FAN_IN`` partitions are pooled, exchanging documents, and packed again; the better packing stays.
+that needs no more sequences than its lower bound is certified and done. The
+others give up all sequences with room left; these are dealt anew into partitions
+of about ``ITEMS``, exchanging documents, and packed again; the better packing
+stays, for ``ROUNDS`` rounds at most. ``certificate`` holds the whole result against the bound.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -27,24 +28,73 @@ from quillspark.llm._stage import Stage
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 ITEMS = 20_000
-FAN_IN = 8
 ROUNDS = 3
-#: Words of a generation of the cache; a worker keeps two generations during a task, one between tasks.
-KEPT = 300_000
+#: Parts of words whose ids a worker keeps, about 150 bytes each; beyond that it starts anew.
+KEPT = 1_000_000
+#: Bytes of text tokenised at once.
+CHUNK = 2_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long, part long, open boolean"
 
-# A word without apostrophe, letters of the first two Unicode blocks, then marks: the tokenizer cuts it at just that place.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&#$*|()+=/-]*)")
+# What a byte is to a word: letters of the first two Unicode blocks, then marks, make a word that the tokenizer cuts at just that place.
+_OTHER, _SPACE, _LETTER, _MARK = range(4)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[10, 32]] = _SPACE
+_KIND[np.r_[65:91, 97:123]] = _LETTER
+_KIND[list(b".,!?;:%&#$*|()+=/-")] = _MARK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _workers: dict[str, Words] = {}
 
 
-class Words:
-    """Ids of a text, word by word; white space ends a word in this tokenizer, so words are looked up once.
+def parts(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(parts of the texts' words, whether each is of letters or marks alone, how many parts each text has).
 
-    Words are cut at spaces and line feeds only; any other white space stays inside and is left to the tokenizer.
+    Words are cut at spaces and line feeds; any other white space stays inside and is left to the tokenizer. A word of letters
+    and then marks is lower-cased and cut between the two; any other word stays as it is.
     """
+    n = len(raw)
+    if not n:
+        return pa.array([], pa.string()), np.zeros(0, bool), np.zeros(len(at) - 1, np.int64)
+    kind = _KIND[raw]
+    low = _LOWER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    after = raw[lead + 1]
+    lead, after = lead[(after != 0x97) & (after != 0xB7)], after[(after != 0x97) & (after != 0xB7)]  # the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = _LETTER
+    upper = lead[after < 0x9F] + 1
+    low[upper] = raw[upper] + 32
+    space = kind == _SPACE
+    first = ~space
+    first[1:] &= space[:-1]
+    edge = at[1:-1]
+    edge = edge[edge < n]
+    first[edge] = ~space[edge]
+    words = np.flatnonzero(first)
+    if not len(words):
+        return pa.array([], pa.string()), np.zeros(0, bool), np.zeros(len(at) - 1, np.int64)
+    mark, letter = kind == _MARK, kind == _LETTER
+    odd = (kind == _OTHER) | (first & mark)
+    odd[1:] |= letter[1:] & mark[:-1] & ~first[1:]
+    odd = np.maximum.reduceat(odd, words)
+    cut = first.copy()
+    cut[1:] |= mark[1:] & letter[:-1]
+    size = np.diff(np.append(words, n))[odd]
+    whole = np.repeat(words[odd] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    cut[whole] = first[whole]
+    low[whole] = raw[whole]
+    starts = np.flatnonzero(cut)
+    places = np.zeros(n + 1, np.int32)
+    np.cumsum(~space, out=places[1:])
+    offsets = np.append(places[starts], places[-1]).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(low[~space]))
+    plain = ~odd[np.searchsorted(words, starts, "right") - 1]
+    return found, plain, np.diff(np.searchsorted(starts, at))
+
+
+class Words:
+    """Ids of texts by their parts: each different part of a chunk of texts is looked up once, and the tokenizer asked only for new ones."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,94 +108,104 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self.whole: dict[str, bytes] = {"": b""}
-        self.part: dict[str, bytes] = {"": b""}
-        self.old_whole: dict[str, bytes] = {}
-        self.old_part: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*cut))
-        known = self.whole.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
-
-    def rest(self) -> None:
-        """Gives up the older generation, as the worker may do other work next."""
-        self.old_whole, self.old_part = {}, {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.whole) > KEPT:
-            self.whole, self.old_whole = {"": b""}, self.whole
-        if len(self.part) > KEPT:
-            self.part, self.old_part = {"": b""}, self.part
-        part, whole, old = self.part, self.whole, self.old_whole
-        halves, other = [], []
-        for word in words.difference(whole):
-            ids = old.get(word)
-            if ids is not None:
-                whole[word] = ids
-                continue
-            m = _SIMPLE.fullmatch(word)
-            if m:
-                halves.append((word, m[1].lower(), m[2]))
-            else:
-                other.append(word)
-        new = {a for _, a, _ in halves}.union(b for _, _, b in halves).difference(part)
-        old = self.old_part
-        part.update((x, old[x]) for x in new.intersection(old))
-        self._ask_joined(list(new.difference(part)))
-        self._ask(other, whole)
-        for word, a, b in halves:
-            whole[word] = part[a] + part[b]
-
-    def _ask_joined(self, words: list[str]) -> None:
-        """Ids of parts that the tokenizer doesn't cut before merging: read as one text, as the last id of each marks its end."""
-        for low in range(0, len(words), 4096):
-            some = words[low : low + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) != len(some):
-                self._ask(some, self.part)
-                continue
-            raw, part, start = ids.tobytes(), self.part, 0
-            for word, stop in zip(some, stops.tolist(), strict=True):
-                part[word] = raw[start:stop]
-                start = stop
-
-    def _ask(self, words: list[str], into: dict[str, bytes]) -> None:
-        for low in range(0, len(words), 4096):
-            some = words[low : low + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                into[word] = np.array(found.ids, "<u4").tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        # part 0 is the end of a text
+        self.place: dict[str, int] = {}
+        self.first, self.count = np.zeros(1, np.int32), np.ones(1, np.int32)
+        self.pool = np.zeros(1, np.uint32)
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unsigned 32-bit ids of all texts, each with its end, where each text's ids end)."""
+        found, plain, counts = parts(raw, at)
+        coded = found.dictionary_encode()
+        index, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        simple = np.zeros(len(different), bool)
+        simple[index] = plain
+        place = self._places(different, simple)
+        n = len(counts)
+        ends = np.cumsum(counts) + np.arange(n)
+        all_parts = np.zeros(len(index) + n, np.int32)
+        inner = np.ones(len(all_parts), bool)
+        inner[ends] = False
+        all_parts[inner] = place[index]
+        size = self.count[all_parts]
+        stop = np.cumsum(size, dtype=np.int32)
+        ids = self.pool[np.repeat(self.first[all_parts] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
+        return ids, stop[ends].astype(np.int64)
+
+    def encode_long(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for one text, chunk by chunk."""
+        spaces, low, out = np.flatnonzero((raw == 32) | (raw == 10)), 0, []
+        while low < len(raw):
+            high = len(raw)
+            if high - low > CHUNK:
+                k = np.searchsorted(spaces, low + CHUNK)  # the chunk ends with the space that comes next
+                high = int(spaces[k]) + 1 if k < len(spaces) else high
+            out.append(self.encode(raw[low:high], np.array([0, high - low]))[0][:-1])
+            low = high
+        ids = np.concatenate([*out, np.zeros(1, np.uint32)])
+        return ids, np.array([len(ids)])
+
+    def _places(self, different: list[str], simple: np.ndarray) -> np.ndarray:
+        if len(self.place) + len(different) > KEPT:
+            self._forget()
+        place = np.fromiter(map(self.place.get, different, repeat(-1)), np.int32, len(different))
+        new = place < 0
+        for some, ask in ((new & simple, self._ask_joined), (new & ~simple, self._ask)):
+            some = np.flatnonzero(some)
+            for low in range(0, len(some), 4096):
+                names = [different[k] for k in some[low : low + 4096].tolist()]
+                ids, size = ask(names)
+                now = place[some[low : low + 4096]] = len(self.first) + np.arange(len(names))
+                self.place.update(zip(names, now.tolist(), strict=True))
+                self.first = np.append(self.first, (len(self.pool) + np.cumsum(size) - size).astype(np.int32))
+                self.count = np.append(self.count, size.astype(np.int32))
+                self.pool = np.append(self.pool, ids)
+        return place
+
+    def _ask_joined(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them are each part's) of parts that the tokenizer doesn't cut before merging: read as one text, as
+        the last id of each marks its end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(names) else self._ask(names)
+
+    def _ask(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [f.ids for f in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
 def _tokenise(path: str, capacity: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:
             _workers[path] = Words(path)
-        for batch in _text.batches(source, 2_000_000):
-            out: list[list] = [[], [], [], [], []]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), _workers[path].encode(texts), strict=True):
-                ids += b"\0\0\0\0"
-                for piece, low in enumerate(range(0, len(ids), 4 * capacity)):
-                    some = ids[low : low + 4 * capacity]
-                    for c, v in zip(out, (doc, piece, low // 4, len(some) // 4, zlib.crc32(some)), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        _workers[path].rest()
+        words = _workers[path]
+        for batch in source:
+            for low, high, raw, at in _text.chunks(batch.column(1), CHUNK):
+                ids, ends = words.encode_long(raw) if len(raw) > CHUNK else words.encode(raw, at)
+                size = np.diff(ends, prepend=0)
+                counts = -(-size // capacity)
+                owner = np.repeat(np.arange(high - low), counts)
+                piece = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+                start = piece * capacity
+                length = np.minimum(capacity, size[owner] - start)
+                view, places = memoryview(ids.astype("<u4").tobytes()), 4 * ((ends - size)[owner] + start)
+                crc = [zlib.crc32(view[a : a + b]) for a, b in zip(places.tolist(), (4 * length).tolist(), strict=True)]
+                doc = batch.column(0).take(pa.array(owner + low))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
     """No packing has fewer bins: the best of the dual feasible functions that round sizes near the ends (one for each
-    threshold) and of those that round to multiples of 1/k."""
+    threshold) and of those that round to multiples of 1/k. times: how often each size occurs, else once."""
     if not len(sizes):
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, sizes, 1 if times is None else times)
     x = np.arange(capacity + 1)
     at_least = np.cumsum(count[::-1])[::-1]
     volume = np.concatenate([[0], np.cumsum(count * x)])
@@ -200,12 +260,19 @@ def _pack(capacity: int, turn: int, last: bool):
             old, bins = np.unique(pdf["sequence_id"].to_numpy(), return_inverse=True)
             offsets = pdf["offset"].to_numpy()
             left = capacity - np.bincount(bins, sizes, len(old)).astype(np.int64)
-        again = (left > 0) & ((len(left) > bound) | (100 * left.sum() > sizes.sum())) & (not last)
+        again = (left > 0) & (len(left) > bound) & (not last)
         return pdf.assign(sequence_id=(turn << 60) + (part << 26) + bins, offset=offsets, open=again[bins])
 
     return run
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences of a packing, the lower bound of all its pieces together). The lengths are counted, at most ``capacity`` of them."""
+    lengths = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    used = packed.agg(F.count_distinct("sequence_id")).first()[0]
+    return used, lower_bound(lengths["length"].to_numpy(), capacity, lengths["n"].to_numpy())
+
+
 def tokenise(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """docs: ``doc_id`` (long), ``text`` (null: empty). One row a piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -223,7 +290,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY)
     stage = Stage(docs.sparkSession, "packing")
     pieces = stage.save(tokenise(docs, tokenizer, capacity), "pieces")
     parts = max(1, -(-pieces.count() // ITEMS))
-    rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts))).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(parts))).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     done = None
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS or parts == 1
@@ -232,6 +299,9 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY)
         done = closed if done is None else done.union(closed)
         if last:
             break
-        parts = -(-parts // FAN_IN)
-        rows = packed.where("open").drop("open").withColumn("part", F.pmod(F.col("part"), F.lit(parts)))
+        rows = packed.where("open").drop("open")
+        parts = max(1, -(-rows.count() // ITEMS))
+        # whole sequences change partitions, so that documents meet others than before
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(parts)))
+    stage.drop("pieces")
     return done.drop("part", "open")
