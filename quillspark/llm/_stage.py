@@ -26,11 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{local}"
 
 
+#: Bytes of a batch of rows on its way to or from a Python worker, so that long texts don't make batches long.
+BATCH = 2_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get by bytes, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1") == "1":
+        spark.conf.set(key, BATCH)
+
+
 class Stage:
     """Intermediate tables of one operator run; ``drop`` removes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.base = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

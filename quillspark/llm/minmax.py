@@ -10,19 +10,22 @@ misses all 24 bands with probability 3e-6.
 1. Documents with one set of shingles collapse to a class before anything is compared.
 2. Each band bucket links its members to one of them, its centre: pairs grow with the rows, not with their square. The
    centre is the member that shares most buckets with others, as an original does among its edited copies.
-3. Pairs are confirmed on the full sets, and components are formed.
-4. Only buckets whose members are still in several components need more: they are cut into blocks, and each pair of
-   blocks is compared in one task: by signatures, then, where the estimate is not far below the threshold, by sets of
-   24-bit hashes, which never miss a common shingle. What passes is confirmed likewise, so no link that matters is lost.
+3. Pairs whose signatures are not far below the threshold are confirmed on the full sets, made again from the whole texts,
+   which travel compressed; components are formed.
+4. Only buckets whose members are still in several components need more. They are cut by size of set, as sets whose sizes
+   differ too much can't be near, and into blocks of bounded length; each pair of blocks is compared in one task: by
+   signatures, then, where the estimate is not far below the threshold, by sets of 24-bit hashes, which never miss a
+   common shingle. What passes is confirmed likewise, so no link that matters is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +36,18 @@ from quillspark.llm._stage import Stage
 PERMUTATIONS = 48
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Members of a block in step 4.
-BLOCK = 512
-#: How far an estimate may be below the threshold before a pair is left out of step 4: over four standard errors.
+#: Members of a block in step 4, and the shingles of all of them together, about.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: How far an estimate may be below the threshold before a pair is left out: over four standard errors.
 SLACK = 0.18
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
 _MULTIPLY = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 
-_SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, signature binary"
+_SKETCH = "doc_id long, th long, n_shingles long, f1 long, f2 long, signature binary"
+#: Stands for a missing doc_id in keys of joins.
+_NO_ID = -(1 << 63)
 
 
 def signature(sets: list[np.ndarray]) -> np.ndarray:
@@ -59,9 +64,8 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketch(k: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.batches(source):
-            for low, high, raw, at in _text.chunks(batch.column(1)):
-                ids = batch.column(0).slice(low, high - low)
+        for batch in source:
+            for low, high, raw, at in _text.chunks(batch.column(2)):
                 sets = [s for _, s in _text.shingles(raw, at, k)]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signs = signature([sets[i] for i in full]) if full else np.zeros((0, 2 * PERMUTATIONS), np.uint32)
@@ -70,38 +74,39 @@ def _sketch(k: int):
                     found[i] = signs[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
+                        *(batch.column(c).slice(low, high - low) for c in (0, 1)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([int(s.sum().view(np.int64)) for s in sets], pa.int64()),
                         pa.array([int(_text.mix(s).sum().view(np.int64)) for s in sets], pa.int64()),
                         pa.array(found, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "f1", "f2", "signature"],
+                    names=["doc_id", "th", "n_shingles", "f1", "f2", "signature"],
                 )
 
     return run
 
 
-def _full_sets(k: int):
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.batches(source):
-            for low, high, raw, at in _text.chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array([s.tobytes() for _, s in _text.shingles(raw, at, k)], pa.binary())],
-                    names=["doc_id", "shingles"],
-                )
-
-    return run
+def _unpacked(packed: list[bytes], k: int) -> list[np.ndarray]:
+    """The shingle sets of compressed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    texts = [unpack.decompress(x) for x in packed]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    return [s for low, high in _text.pieces(at) for _, s in _text.shingles(raw[at[low] : at[high]], at[low : high + 1] - at[low], k)]
 
 
-def _narrow(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _narrow(k: int):
     """Sets as sorted distinct 24-bit hashes, three bytes each."""
-    for batch in source:
-        out = []
-        for full in batch.column(1):
-            short = np.unique((np.frombuffer(full.as_buffer(), np.uint64) >> np.uint64(40)).astype("<u4"))
-            out.append(np.ascontiguousarray(short.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "narrow"])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.batches(source, 500_000):
+            out = []
+            for full in _unpacked(batch.column(1).to_pylist(), k):
+                short = np.unique((full >> np.uint64(40)).astype("<u4"))
+                out.append(np.ascontiguousarray(short.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["cid", "narrow"])
+
+    return run
 
 
 def _widen(narrow: bytes) -> np.ndarray:
@@ -110,12 +115,32 @@ def _widen(narrow: bytes) -> np.ndarray:
     return wide.view("<u4").ravel()
 
 
-def _confirm(numerator: int, denominator: int):
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+
+
+def _estimate(threshold: float):
+    """Pairs whose sizes allow the threshold and whose signatures are not far below it."""
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
+            m, n = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = np.minimum(m, n) >= threshold * np.maximum(m, n) - 1e-6
+            if batch.num_rows:
+                keep &= (_signatures(batch.column(4)) == _signatures(batch.column(5))).mean(1) >= threshold - SLACK
+            yield batch.filter(pa.array(keep)).select([0, 1])
+
+    return run
+
+
+def _confirm(numerator: int, denominator: int, k: int):
+    """Pairs with two compressed texts; those that reach the threshold on their full sets."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.batches(source, 500_000):
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            sets = _unpacked([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()], k)
+            for i, (x, y) in enumerate(zip(sets[: batch.num_rows], sets[batch.num_rows :], strict=True)):
                 if len(x) > len(y):
                     x, y = y, x
                 if denominator * len(x) < numerator * len(y):
@@ -130,98 +155,148 @@ def _confirm(numerator: int, denominator: int):
 
 
 def _blocks(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second, band = int(pdf["i"].iat[0]), int(pdf["j"].iat[0]), int(pdf["band"].iat[0])
-        left = pdf[pdf["block"] == first]
-        right = left if first == second else pdf[pdf["block"] == second]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        y = np.vstack([np.frombuffer(s, np.uint32) for s in right["signature"]])
-        ids, comps, sizes = (right[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        narrow = [_widen(v) for v in right["narrow"]]
-        found = []
-        for sign, rep, comp, n, short in zip(left["signature"], left["rep"], left["component"], left["n_shingles"], left["narrow"], strict=True):
-            near = (comps != comp) & (np.minimum(sizes, n) >= threshold * np.maximum(sizes, n))
-            if first == second:
-                near &= ids > rep
-            some = np.flatnonzero(near)
-            if not len(some):
-                continue
-            same = y[some] == np.frombuffer(sign, np.uint32)
-            # a pair belongs to the first band that it shares
-            keep = (same.mean(1) >= threshold - SLACK) & (same.reshape(len(some), BANDS, ROWS).all(2).argmax(1) == band)
-            mine = _widen(short) if keep.any() else None
-            for k in some[keep].tolist():
-                other = narrow[k]
-                at = np.searchsorted(other, mine)
-                at[at == len(other)] = 0
-                # 24-bit hashes of one set that fall together take at most so many from the count
-                both = int((other[at] == mine).sum()) + max(n - len(mine), sizes[k] - len(other))
-                if both >= threshold * (n + sizes[k] - both) - 1e-6:
-                    found.append((min(rep, ids[k]), max(rep, ids[k])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+    """Rows sorted by bucket, level, i, j; pairs of one group that may reach the threshold and are in different components."""
 
-    return run
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _text.groups(source, 4):
+            first, second = group.column(2)[0].as_py(), group.column(3)[0].as_py()
+            band = group.column(4)[0].as_py()
+            block, guest, ids, comps, sizes = (group.column(c).to_numpy(zero_copy_only=False) for c in range(5, 10))
+            signs, narrow = _signatures(group.column(10)), group.column(11)
+            wide: dict[int, np.ndarray] = {}
+            found = []
+            right = np.flatnonzero(block == second)
+            for i in np.flatnonzero(block == first).tolist():
+                n = sizes[i]
+                near = (comps[right] != comps[i]) & (np.minimum(sizes[right], n) >= threshold * np.maximum(sizes[right], n) - 1e-6)
+                if first == second:
+                    near &= ids[right] > ids[i]
+                if guest[i]:  # two guests meet in the level that they come from
+                    near &= ~guest[right]
+                some = right[near]
+                if not len(some):
+                    continue
+                same = signs[some] == signs[i]
+                # a pair belongs to the first band that it shares
+                keep = (same.mean(1) >= threshold - SLACK) & (same.reshape(len(some), BANDS, ROWS).all(2).argmax(1) == band)
+                for k in some[keep].tolist():
+                    for x in (i, k):
+                        if x not in wide:
+                            wide[x] = _widen(narrow[x].as_py())
+                    mine, other = wide[i], wide[k]
+                    at = np.searchsorted(other, mine)
+                    at[at == len(other)] = 0
+                    # 24-bit hashes of one set that fall together take at most so many from the count
+                    both = int((other[at] == mine).sum()) + max(n - len(mine), sizes[k] - len(other))
+                    if both >= threshold * (n + sizes[k] - both) - 1e-6:
+                        found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([int(p[c]) for p in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
+    return run
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs: ``doc_id`` (long), ``text``; other columns are not read, whatever their names.
 
-    Returns ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row with a doc_id. Documents are linked when
-    100 * intersection >= percent * union of their sets of ``words``-word shingles (A-Z lower-cased, split at ASCII white
-    space); fewer words make one shingle. A null or empty text has no shingle, is linked with nothing and stays.
-    Repeated rows give repeated rows of one component; ties don't matter, as the smallest doc_id names a component.
-    Rows without a doc_id are left out; an empty table gives an empty one.
-    """
+def _classes(docs: DataFrame, words: int, percent: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """(one row a document: doc_id, th, n_shingles, f1, f2; one row a class of equal sets: n_shingles, f1, f2, component, component_id)."""
     spark = docs.sparkSession
-    stage = Stage(spark, "minmax")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     sketch = stage.save(docs.mapInArrow(_sketch(words), _SKETCH), "sketch")
     key = ["n_shingles", "f1", "f2"]
-    classes = stage.save(sketch.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    d = F.coalesce("doc_id", F.lit(_NO_ID)).alias("d")
+    classes = sketch.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min(F.struct(d, "th")).alias("at"), F.max("signature").alias("signature"))
+    classes = stage.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     size = 4 * ROWS
     members = classes.select(
-        "rep",
+        "cid",
         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("signature", F.lit(1) + j * size, F.lit(size))))).alias("band", "bucket"),
     )
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stage.save(members.join(buckets, "bucket"), "shared")
-    weight = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
-    centres = shared.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", "rep"))["rep"].alias("centre"))
+    weight = shared.groupBy("cid").agg(F.sum("members").alias("weight"))
+    centres = shared.join(weight, "cid").groupBy("bucket").agg(F.max(F.struct("weight", "cid"))["cid"].alias("centre"))
     filled = stage.save(shared.join(centres, "bucket"), "filled")
-    pairs = filled.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    pairs = stage.save(pairs, "pairs")
-    sets = None
+    pairs = stage.save(filled.where("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct(), "pairs")
+    # the texts of all classes that may be compared, compressed before they travel
+    wanted = classes.join(weight.select("cid"), "cid", "left_semi").select("cid", "at.*")
+    packed = docs.select(d, "th", "text").mapInArrow(_text.squeeze, "d long, th long, packed binary")
+    texts = packed.hint("merge").join(wanted, ["d", "th"]).groupBy("cid").agg(F.min("packed").alias("packed"))  # rows that repeat a document
+    texts = stage.save(texts, "texts")
+
+    def sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        out = pairs
+        for side in "ab":
+            out = out.join(table.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        return out.select("a", "b", *(f"{c}_{side}" for c in columns for side in "ab"))
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        nonlocal sets
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("doc_id"), "doc_id", "left_anti")
-        reps = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        new = stage.save(reps.mapInArrow(_full_sets(words), "doc_id long, shingles binary"), f"sets-{name}")
-        sets = new if sets is None else sets.union(new)
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return stage.save(both.mapInArrow(_confirm(percent, 100), "a long, b long"), name)
-
-    found = links(pairs, "links")
+        return stage.save(sides(pairs, texts, "packed").mapInArrow(_confirm(percent, 100, words), "a long, b long"), name)
+
+    threshold = percent / 100
+    near = stage.save(sides(pairs, classes, "n_shingles", "signature").mapInArrow(_estimate(threshold), "a long, b long"), "near")
+    found = links(near, "links")
     component = stage.save(connected_components(spark, found), "components")
-    named = filled.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_buckets = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = named.join(open_buckets, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    narrow = stage.save(sets.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_narrow, "rep long, narrow binary"), "narrow")
-    rest = rest.join(classes.select("rep", "signature", "n_shingles").join(narrow, "rep"), "rep")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "signature", "narrow")
-    rest = stage.save(rest, "rest")
-    if rest.limit(1).count():
-        more = rest.groupBy("bucket", "band", "i", "j").applyInPandas(_blocks(percent / 100), "a long, b long").distinct()
-        more = stage.save(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        if more.limit(1).count():
-            found = found.union(links(more, "more-links"))
-            component = stage.save(connected_components(spark, found), "components-2")
-    stage.drop("shared", "filled", "narrow", "rest", "pairs", "sets-links", "sets-more-links")
-    named = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    named = filled.select("bucket", "band", "cid").join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    several = [F.min("component").alias("low"), F.max("component").alias("high")]
+    rest = named.join(named.groupBy("bucket").agg(*several).where("low <> high").select("bucket"), "bucket")
+    # a set is a guest among those up to one over the threshold times as large
+    step = max(1 / threshold, 1.01)
+    level = F.floor(F.log("n_shingles") / log(step)).cast("long")
+    rest = rest.join(classes.select("cid", "n_shingles"), "cid").withColumn("of", F.explode(F.array(F.struct(level.alias("level"), F.lit(False).alias("guest")), F.struct((level + 1).alias("level"), F.lit(True).alias("guest")))))
+    rest = stage.save(rest.select("bucket", "band", "cid", "component", "n_shingles", "of.*"), "rest")
+    open_groups = rest.groupBy("bucket", "level").agg(F.count(F.lit(1)).alias("n"), *several, F.min("guest").alias("guests")).where("low <> high and not guests")
+    long = F.greatest(F.lit(8.0), F.least(F.lit(float(BLOCK)), BLOCK_SHINGLES / F.pow(F.lit(step), F.col("level"))))
+    rest = rest.join(open_groups.select("bucket", "level", F.ceil(F.col("n") / long).cast("int").alias("blocks")), ["bucket", "level"])
+    narrow = texts.join(rest.select("cid").distinct(), "cid", "left_semi").mapInArrow(_narrow(words), "cid long, narrow binary")
+    narrow = stage.save(narrow, "narrow")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.join(classes.select("cid", "signature").join(narrow, "cid"), "cid")
+    sorted_by = ["bucket", "level", "i", "j"]
+    rest = rest.select("bucket", "level", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "guest", "cid", "component", "n_shingles", "signature", "narrow")
+    more = rest.repartition(*sorted_by).sortWithinPartitions(*sorted_by).mapInArrow(_blocks(threshold), "a long, b long").distinct()
+    more = stage.save(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    if more.limit(1).count():
+        found = found.union(links(more, "more-links"))
+        component = stage.save(connected_components(spark, found), "components-2")
+    stage.drop("shared", "filled", "narrow", "rest", "pairs", "near", "texts")
+    names = component.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    component = component.join(names, "component").withColumnRenamed("node", "cid")
+    named = classes.join(component, "cid", "left").select(*key, F.coalesce("component", "cid").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
+    return sketch.select("doc_id", "th", *key), named
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs: ``doc_id`` (long), ``text``; other columns are not read, whatever their names.
+
+    Returns ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row. Documents are linked when
+    100 * intersection >= percent * union of their sets of ``words``-word shingles (A-Z lower-cased, split at ASCII white
+    space); fewer words make one shingle. A null or empty text has no shingle, is linked with nothing and stays.
+    Rows that repeat a doc_id are judged each by its own text; ties don't matter, as the smallest doc_id names a component.
+    A row without a doc_id takes part; its ``component_id`` is null where no row of the component has one, and it is kept only
+    then. An empty table gives an empty one.
+    """
+    rows, named = _classes(docs, words, percent, Stage(docs.sparkSession, "minmax"))
+    out = rows.join(named, ["n_shingles", "f1", "f2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without near copies: one row of each component of ``near_duplicates`` stays, that
+    with the smallest doc_id (rows without one last, of equal ones the text with the smallest hash). Rows without any word stay."""
+    stage = Stage(docs.sparkSession, "minmax")
+    rows, named = _classes(docs, words, percent, stage)
+    d = F.coalesce("doc_id", F.lit(_NO_ID)).alias("d")
+    rows = rows.join(named, ["n_shingles", "f1", "f2"]).groupBy("component", d, "th").agg(F.count(F.lit(1)).alias("n"))
+    rows = stage.save(rows, "verdicts")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.expr(f"d = {_NO_ID}").alias("last"), "d", "th")).alias("first"))
+    rows = rows.join(first, "component")
+    stays = (F.col("d") == F.col("first.d")) & (F.col("th") == F.col("first.th"))
+    lost = stage.save(rows.where(~stays).select("d", "th"), "lost")
+    again = stage.save(rows.where(stays & (F.col("n") > 1)).select("d", "th"), "again")
+    full = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    full = full.join(lost, ["d", "th"], "left_anti")
+    if again.limit(1).count():
+        once = full.join(again, ["d", "th"], "left_semi").groupBy("d", "th").agg(F.first("row").alias("row"))
+        full = full.join(again, ["d", "th"], "left_anti").select("row").union(once.select("row"))
+    return full.select("row.*")

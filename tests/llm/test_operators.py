@@ -110,11 +110,35 @@ def test_near_duplicates(spark, monkeypatch, block):
 
 
 def test_near_duplicates_awkward(spark):
-    got = minmax.near_duplicates(docs(spark, AWKWARD), words=4).collect()
-    by = {r["doc_id"]: r for r in got}
-    assert len(got) == len(AWKWARD) - 1 and by[1]["n_shingles"] == 0 and by[2]["kept"]
-    assert by[6]["component_id"] == 5 and by[9]["component_id"] == 4 and by[10]["component_id"] == 4 and by[12]["component_id"] == 11
+    rows = [*AWKWARD, (None, "one"), (None, "two three"), (None, "TWO  three"), (4, "another text of this document"), (20, "another text of this document")]
+    got = minmax.near_duplicates(docs(spark, rows), words=4).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((r["component_id"], r["kept"]))
+    assert by[1] == [(1, True)] and by[2] == [(2, True)] and by[6] == [(5, False)] and by[9] == by[10] == [(4, False)] and by[12] == [(11, False)]
+    assert by[4] == [(4, True)] * 3 and by[20] == [(4, False)]
+    assert sorted(by[None], key=str) == [(4, False), (None, True), (None, True), (None, True)]
     assert minmax.near_duplicates(docs(spark, [])).count() == 0
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in minmax.keep_one(docs(spark, rows)).select("doc_id", "text").collect())
+    lost = {(6, LONG), (None, "one"), (9, "one"), (10, "ONE"), (12, LONG[:3000]), (20, "another text of this document")}
+    assert max(kept.values()) == 1 and {r for r in rows if r not in kept} - {(None, "two three"), (None, "TWO  three")} == lost
+    assert ((None, "two three") in kept) != ((None, "TWO  three") in kept)
+    assert minmax.keep_one(docs(spark, [])).count() == 0 and len(minmax.keep_one(docs(spark, rows)).columns) == 14
+
+
+def test_groups_of_sorted_rows():
+    rng = random.Random(19)
+    keys = sorted((rng.randrange(5), rng.randrange(3)) for _ in range(200))
+    table = pa.RecordBatch.from_arrays([pa.array([k[c] for k in keys]) for c in (0, 1)] + [pa.array(range(200))], names=["a", "b", "n"])
+    parts, at = [], 0
+    while at < 200:
+        size = rng.choice([0, 1, 3, 40])
+        parts.append(table.slice(at, size))
+        at += size
+    got = [g.to_pydict() for g in _text.groups(iter(parts), 2)]
+    assert [n for g in got for n in g["n"]] == list(range(200)) and [(g["a"][0], g["b"][0]) for g in got] == sorted(set(keys))
+    assert list(_text.groups(iter([]), 2)) == []
 
 
 # ---------------------------------------------------------------- 8
