@@ -45,7 +45,7 @@ CODE = 5
 #: Suffixes that a receiver merges.
 MERGED = 40_000
 #: Bytes of a document worked on at once; longer ones are cut with an overlap of one window less a byte.
-PART = 1_000_000
+PART = 250_000
 _BITS = 26
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -131,16 +131,6 @@ def _find_runs(span: int):
     return run
 
 
-def _squeeze(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, for the shuffle."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in _text.batches(source):
-        raw, at = _text.texts(batch.column(2))
-        packed = [pack.compress(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-        others = [batch.column(k) for k in range(3, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), *others], names=["doc_id", "th", "packed", *batch.schema.names[3:]])
-
-
 def common(x: bytes, y: bytes, known: int = 0) -> int:
     """Length of the common prefix, the first ``known`` bytes being equal."""
     top = min(len(x), len(y))
@@ -277,13 +267,13 @@ def _fingerprints(span: int):
 def _crowded(blocks: DataFrame, stage: Stage) -> DataFrame:
     """blocks: as _fingerprints makes them. ``gram``, ``seen``, ``most``, ``least`` of runs that hold repeated windows."""
     blocks = stage.save(blocks, "blocks")
-    different = blocks.groupBy("block").agg(F.sum("copies").alias("copies"), F.max("top").alias("top"), F.max("windows").alias("windows"))
+    different = blocks.groupBy("gram", "block").agg(F.sum("copies").alias("copies"), F.max("top").alias("top"), F.max("windows").alias("windows"))
     different = stage.save(different, "different-blocks")
-    windows = different.select("block", "copies", "top", F.posexplode("windows").alias("k", "window"))
-    twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    single = windows.where("copies = 1").join(twice, "window").groupBy("block").agg((F.max("top") - F.min("k")).alias("most"), (F.max("top") - F.max("k")).alias("least"))
-    whole = different.where("copies > 1").select("block", F.col("top").alias("most"), (F.col("top") - F.size("windows") + 1).alias("least"))
-    return blocks.select("block", "gram", "seen").join(whole.union(single), "block").groupBy("gram", "seen").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    windows = different.select("gram", "block", "copies", "top", F.posexplode("windows").alias("k", "window"))
+    twice = windows.groupBy("gram", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("gram", "window")
+    single = windows.where("copies = 1").join(twice, ["gram", "window"]).groupBy("gram", "block").agg((F.max("top") - F.min("k")).alias("most"), (F.max("top") - F.max("k")).alias("least"))
+    whole = different.where("copies > 1").select("gram", "block", F.col("top").alias("most"), (F.col("top") - F.size("windows") + 1).alias("least"))
+    return blocks.select("gram", "block", "seen").join(whole.union(single), ["gram", "block"]).groupBy("gram", "seen").agg(F.max("most").alias("most"), F.min("least").alias("least"))
 
 
 def extend(group: list[tuple], same: list[int], span: int) -> list[tuple[int, int, int]]:
@@ -369,9 +359,15 @@ def _in_bytes(spans: list[dict], text: bytes) -> list[dict]:
     return [{"low": int(starts[s["low"]]), "high": int(ends[s["high"] - 1])} if s["words"] else s for s in spans]
 
 
-def _apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for batch in _text.batches(source, 1_000_000):
+def _apply(as_text: bool):
+    """Compressed texts and their spans to what is left; as text, what a cut has left of a character goes."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.batches(source, 500_000):
+            yield cut(batch)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor()
         cols: list[list] = [[], [], [], []]
         others = [batch.column(k) for k in range(3, batch.num_columns)]
         for packed, spans in zip(batch.column(1), batch.column(2), strict=True):
@@ -385,21 +381,17 @@ def _apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols[0].append(len(text))
             cols[1].append(sum(b - a for a, b in gone))
             cols[2].append([{"low": a, "high": b} for a, b in gone])
-            cols[3].append(b"".join(rest))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])), pa.binary())
+            left = b"".join(rest)
+            cols[3].append(left.decode("utf-8", "ignore") if as_text else left)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])), pa.string() if as_text else pa.binary())
         names = ["doc_id", "n_bytes", "n_removed", "spans", "kept", *batch.schema.names[3:]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *others], names=names)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *others], names=names)
 
-
-def as_text(kept: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first column's bytes as text; what a cut has left of a character goes. Other columns stay."""
-    for batch in kept:
-        text = pa.array([x.decode("utf-8", "ignore") for x in batch.column(0).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([text, *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
+    return run
 
 
 def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
-    """docs: ``doc_id``, ``th``, ``text``. Rows of ``doc_id``, ``th``, ``low``, ``high``, which may overlap."""
+    """docs: ``doc_id``, ``th``, ``text`` without nulls. Rows of ``doc_id``, ``th``, ``low``, ``high``, which may overlap."""
     runs = stage.save(docs.mapInArrow(_find_runs(span), "doc_id long, th long, anchor long, gram long, seen long, near int, far int"), "runs")
     different = runs.groupBy("gram", "seen", "near", "far").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "anchor")).alias("at"))
     grams = different.groupBy("gram").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("members")).where("n > 1").select("gram", "members")
@@ -412,9 +404,9 @@ def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
     def at_text(rows: DataFrame) -> DataFrame:
         wanted = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "gram", "seen", "near", "far", "copies", F.pmod("gram", F.lit(receivers)).cast("int").alias("receiver"))).alias("wanted"))
         long = docs.where(F.octet_length("text") >= span)
-        packed = long.mapInArrow(_squeeze, "doc_id long, th long, packed binary")
-        on = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["th"] == wanted["th"])
-        return packed.join(wanted, on).select("packed", "wanted")
+        # rows that repeat a document meet before they travel
+        packed = long.mapInArrow(_text.squeeze, "doc_id long, th long, packed binary").groupBy("doc_id", "th").agg(F.min("packed").alias("packed"))
+        return packed.join(wanted, ["doc_id", "th"]).select("packed", "wanted")
 
     sent = at_text(usual).mapInArrow(_read_parts(span), "receiver int, run binary")
     sent = sent.repartition(min(receivers, 4096), "receiver").sortWithinPartitions("receiver")
@@ -447,15 +439,15 @@ def repeated_words(docs: DataFrame, words: int, stage: Stage) -> DataFrame:
     return spans.where(F.col("high") - F.col("low") >= words)
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 400, carry: tuple[str, ...] = (), words: int | None = None, as_text: bool = False) -> DataFrame:
     """docs: ``doc_id`` (long), ``text``; other columns are not read, but for those named in ``carry``.
 
     Returns for every row ``doc_id``, ``n_bytes``, ``n_removed``, ``spans`` (array of low, high: maximal removed runs of
-    bytes), ``kept`` (the remaining bytes), and ``carried`` (struct of the columns in carry) if there are any. A byte goes if
-    a ``span``-byte string over it also starts elsewhere in the table, the same document included; all strings are judged
-    on the input. Null counts as empty text; texts shorter than ``span`` stay whole; rows that repeat a document are copies
-    of it like any others. An empty table gives an empty one. With ``words`` a passage of so many words in a row (runs without
-    ASCII white space, A-Z lower-cased) goes too if it also starts elsewhere, however few bytes it has.
+    bytes), ``kept`` (the remaining bytes; with ``as_text`` the whole characters of them), and ``carried`` (struct of the columns
+    in carry) if there are any. A byte goes if a ``span``-byte string over it also starts elsewhere in the table, the same document
+    included; all strings are judged on the input. Null counts as empty text; texts shorter than ``span`` stay whole; rows that
+    repeat a document are copies of it like any others. An empty table gives an empty one. With ``words`` a passage of so many
+    words in a row (runs without ASCII white space, A-Z lower-cased) goes too if it also starts elsewhere, however few bytes it has.
     """
     if not GRAM < span < 2000:
         raise ValueError("span must be over 48 and under 2000")
@@ -463,16 +455,17 @@ def remove_repeats(docs: DataFrame, span: int = 400, carry: tuple[str, ...] = ()
         raise ValueError("words must be over 9 and under 400")
     stage = Stage(docs.sparkSession, "suffixes")
     others = [F.struct(*carry).alias("carried")] if carry else []
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
-    full = full.select("doc_id", F.xxhash64("text").alias("th"), "text", *full.columns[2:])
+    # a null doc_id gets a number for the joins, and is null again at the end
+    full = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
+    full = full.select(F.coalesce("id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("th"), "text", F.col("id").isNull().alias("none"), *full.columns[2:])
     plain = full.select("doc_id", "th", "text")
     spans = repeated_spans(plain, span, stage).select("doc_id", "th", F.col("low").cast("long"), F.col("high").cast("long"), F.lit(False).alias("words"))
     if words is not None:
         spans = spans.union(repeated_words(plain, words, Stage(docs.sparkSession, "word-suffixes")).withColumn("words", F.lit(True)))
     spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("low", "high", "words")).alias("found"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found")
-    more = f", carried {full.schema['carried'].dataType.simpleString()}" if carry else ""
-    packed = full.mapInArrow(_squeeze, "doc_id long, th long, packed binary" + more)
-    both = packed.join(spans, packed["doc_id"].eqNullSafe(spans["d"]) & (packed["th"] == spans["t"]), "left")
+    more = ", none boolean" + (f", carried {full.schema['carried'].dataType.simpleString()}" if carry else "")
+    packed = full.mapInArrow(_text.squeeze, "doc_id long, th long, packed binary" + more)
+    both = packed.join(spans, ["doc_id", "th"], "left")
     out = both.select("doc_id", "packed", "found", *full.columns[3:])
-    return out.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:long,high:long>>, kept binary" + more)
+    out = out.mapInArrow(_apply(as_text), f"doc_id long, n_bytes long, n_removed long, spans array<struct<low:long,high:long>>, kept {'string' if as_text else 'binary'}" + more)
+    return out.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
