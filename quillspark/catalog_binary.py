@@ -13,12 +13,15 @@ from quillspark.sources import records
 from quillspark.sources.layouts import BODY_TAGS, DOC_TAGS, FIRST
 
 _TAGS = DOC_TAGS | BODY_TAGS
+#: Records of document-wide tables that stand one level down.
+ONE_DOWN = ("bin_data", "face_name", "border_fill", "char_shape", "tab_def", "numbering", "bullet", "para_shape", "style", "layout_compatibility", "track_change_info", "track_change_content", "track_change_author")
 
 
 def le(value: Column | str | int, size: int) -> Column:
     """Little-endian bytes of a number (two's complement)."""
     v = (F.lit(value) if isinstance(value, int) else F.col(value) if isinstance(value, str) else value).cast("long")
-    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(v, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)]))
+    big = F.lpad(F.hex(v.bitwiseAND(F.lit((1 << 8 * size) - 1)) if size < 8 else v), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(big, 2 * (size - k) - 1, 2) for k in range(size)]))
 
 
 def utf16_units(s: Column) -> Column:
@@ -39,7 +42,8 @@ def framed(rows: DataFrame, doc: Column, order: str, kind: str, level: Column |
 
 
 def typed(spark: SparkSession, rows: DataFrame, key: str, order: str, kind: str, payload: Column) -> DataFrame:
-    return records.typed(framed(rows, F.col(key), order, kind, 0, payload), kind).withColumn(key, F.col("doc").cast("long"))
+    level = 1 if kind in ONE_DOWN else 0
+    return records.typed(framed(rows, F.col(key), order, kind, level, payload), kind).withColumn(key, F.col("doc").cast("long"))
 
 
 @query("d04_framing", f"select doc_id, ord::bigint as seq, 67 as tag, level, (2 * length(line))::bigint as size from ({_LEVELS})")
@@ -51,7 +55,7 @@ def _(spark, d):
 
 @query("d05_record_tree", f"with l as ({_LEVELS}) select doc_id, ord::bigint as seq, (select max(p.ord) from l p where p.doc_id = l.doc_id and p.ord < l.ord and p.level < l.level)::bigint as parent from l")
 def _(spark, d):
-    out = records.tree(framed(_levelled(spark, d), F.col("doc_id"), "ord", "para_text", F.col("level"), utf16_units(F.col("line"))), 5)
+    out = records.tree(framed(_levelled(spark, d), F.col("doc_id"), "ord", "para_text", F.col("level"), utf16_units(F.col("line"))))
     return out.select(F.col("doc").cast("long").alias("doc_id"), "seq", "parent")
 
 

@@ -29,11 +29,11 @@ def text_of_runs(runs: F.Column) -> F.Column:
 
 def binary_paragraphs(spark: SparkSession, files: DataFrame) -> DataFrame:
     """doc, section, seq, text, top of the paragraphs of compound documents, in record order."""
-    framed = records.records(records.sections(spark, compound.streams(files)))
-    framed = records.tree(framed)
+    framed = records.tree(records.records(records.sections(compound.streams(files))))
     texts = records.typed(framed.withColumn("section", F.regexp_extract("stream", "([0-9]+)$", 1).cast("int")), "para_text")
-    headers = framed.where(F.col("tag") == 66).select("doc", "stream", F.col("seq").alias("parent"), F.col("level").alias("depth"))
-    rows = texts.join(headers, ["doc", "stream", "parent"], "left")
+    headers = framed.where(F.col("tag") == 66).select("doc", "stream", F.col("seq").alias("_above"), F.col("level").alias("depth"))
+    places = framed.where(F.col("tag") == 67).select("doc", "stream", "seq", F.col("parent").alias("_above"))
+    rows = texts.join(places, ["doc", "stream", "seq"]).join(headers, ["doc", "stream", "_above"], "left")
     return rows.where("error is null").select("doc", "section", "seq", text_of_runs(F.col("runs")).alias("text"), (F.coalesce("depth", F.lit(0)) == 0).alias("top"))
 
 
@@ -64,7 +64,7 @@ def markdowns(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 def section_counts(spark: SparkSession, files: DataFrame) -> DataFrame:
     """doc, ``sections``."""
-    body = records.sections(spark, compound.streams(files)).select("doc", "section")
+    body = records.sections(compound.streams(files)).select("doc", "section")
     packed = package.sections(package.entries(files)).select("doc", "section")
     return body.union(packed).groupBy("doc").agg(F.count_distinct("section").alias("sections"))
 

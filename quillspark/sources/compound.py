@@ -11,14 +11,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.batches import bounded
+
 MAGIC = bytes.fromhex("D0CF11E0A1B11AE1")
 _END, _FREE = 0xFFFFFFFE, 0xFFFFFFFF
 #: Largest size that a compressed stream may have when inflated.
 INFLATED = 512 << 20
-STREAMS = "doc string, name string, data binary, error string"
+STREAMS = "doc string, name string, data binary, error string, compressed boolean"
 
 
 class CompoundError(ValueError):
@@ -97,16 +99,27 @@ def read_compound(data: bytes) -> dict[str, bytes]:
 
 
 def inflate(data: bytes, raw: bool = True) -> bytes:
-    """zlib or bare deflate; bounded, so that a small file cannot fill the memory."""
+    """zlib or bare deflate; bounded, so that a small file cannot fill the memory. A stream that is cut off is an error."""
     worker = zlib.decompressobj(-15 if raw else 15)
-    out = worker.decompress(data, INFLATED)
+    try:
+        out = worker.decompress(data, INFLATED)
+    except zlib.error as e:
+        raise CompoundError(str(e)) from None
     if worker.unconsumed_tail:
         raise CompoundError("inflated stream is too large")
+    if not worker.eof:
+        raise CompoundError("compressed stream is cut off")
     return out
 
 
+def is_compressed(header: bytes | None) -> bool:
+    """Bit 0 of the flags in a file header; documents without one count as compressed."""
+    return len(header or b"") < 40 or bool(header[36] & 1)
+
+
 def streams(files: DataFrame) -> DataFrame:
-    """files: ``path``, ``content`` (as the binaryFile source gives). One row a stream: ``doc``, ``name``, ``data``, ``error``.
+    """files: ``path``, ``content`` (as the binaryFile source gives). One row a stream: ``doc``, ``name``, ``data``, ``error``,
+    ``compressed`` (what the document's header says).
 
     Files that are no compound files are left out; one that is broken gives one row with an error. Null content is left out.
     """
@@ -115,28 +128,48 @@ def streams(files: DataFrame) -> DataFrame:
         for batch in source:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    rows = [(path, k, v, None) for k, v in read_compound(content.as_py()).items()]
+                    found = read_compound(content.as_py())
+                    packed = is_compressed(found.get("FileHeader"))
+                    rows = [(path, k, v, None, packed) for k, v in found.items()]
                 except (CompoundError, struct.error) as e:
-                    rows = [(path, None, None, str(e))]
-                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], names=["doc", "name", "data", "error"])
+                    rows = [(path, None, None, str(e), None)]
+                cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.string(), pa.bool_()), strict=True)], names=["doc", "name", "data", "error", "compressed"])
 
+    bounded(files.sparkSession)
     magic = F.substring("content", 1, 8) == F.lit(MAGIC)
     return files.where(magic).select("path", "content").mapInArrow(run, STREAMS)
 
 
-def inflated(rows: DataFrame, raw: bool = True) -> DataFrame:
-    """rows with ``data``: the same with ``data`` inflated; where that fails the bytes stay, as writers leave some items bare."""
-    place = rows.columns.index("data")
+def nested(rows: DataFrame, storage: str, stream: str) -> DataFrame:
+    """rows of streams() below a storage whose name matches; a path that starts at ``Root Entry`` counts where the plain one is missing."""
+    found = rows.where(F.col("name").rlike(f"^(Root Entry/)?{storage}/{stream}$"))
+    plain = F.regexp_replace("name", "^Root Entry/", "")
+    first = F.row_number().over(Window.partitionBy("doc", "_plain").orderBy(F.length("name")))
+    return found.withColumn("_plain", plain).withColumn("_n", first).where("_n = 1").withColumn("name", F.col("_plain")).drop("_plain", "_n")
+
+
+def inflated(rows: DataFrame, raw: bool = True, keep: bool = False) -> DataFrame:
+    """rows with ``data``: the same with ``data`` inflated, and ``error`` (with null data) where that fails. Rows whose ``compressed``
+    is false stay as they are. With ``keep`` the bytes stay instead of an error, as writers leave some items bare."""
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    place, noted = rows.columns.index("data"), rows.columns.index("error")
+    packed = rows.columns.index("compressed") if "compressed" in rows.columns else None
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            out = []
-            for x in batch.column(place).to_pylist():
-                try:
-                    out.append(None if x is None else inflate(x, raw))
-                except (zlib.error, CompoundError):
-                    out.append(x)
-            yield batch.set_column(place, "data", pa.array(out, pa.binary()))
-
+            flags = batch.column(packed).to_pylist() if packed is not None else [None] * batch.num_rows
+            for k, (flag, error) in enumerate(zip(flags, batch.column(noted).to_pylist(), strict=True)):
+                row = batch.slice(k, 1)
+                data = row.column(place)[0].as_py()
+                if data is not None and flag is not False:
+                    try:
+                        data = inflate(data, raw)
+                    except CompoundError as e:
+                        data, error = (data, error) if keep else (None, str(e))
+                row = row.set_column(place, batch.schema.field(place), pa.array([data], pa.binary()))
+                yield row.set_column(noted, batch.schema.field(noted), pa.array([error], pa.string()))
+
+    bounded(rows.sparkSession)
     return rows.mapInArrow(run, rows.schema)

@@ -102,6 +102,8 @@ DOC_TAGS = {
     "doc_data": 11, "distribute_doc_data": 12, "compatible_document": 14, "layout_compatibility": 15, "track_change_info": 16, "memo_shape": 76, "forbidden_char": 78,
     "track_change_content": 80, "track_change_author": 81,
 }
+#: Level at which a record of a document-wide table counts.
+DOC_LEVELS = {kind: 0 if kind in ("document_properties", "id_mappings", "doc_data", "distribute_doc_data", "compatible_document", "forbidden_char") else 1 for kind in DOC_TAGS if kind != "memo_shape"}
 BODY_TAGS = {
     "para_header": 50, "para_text": 51, "para_char_shape": 52, "para_line_seg": 53, "para_range_tag": 54, "ctrl_header": 55, "list_header": 56, "page_def": 57, "footnote_shape": 58,
     "page_border_fill": 59, "shape_component": 60, "table": 61, "line": 62, "rectangle": 63, "ellipse": 64, "arc": 65, "polygon": 66, "curve": 67, "ole": 68, "picture": 69, "container": 70,
@@ -136,7 +138,6 @@ LAYOUTS: dict[str, Layout] = {
     "style": Layout(12, [("local_name", "str"), ("english_name", "str"), ("attribute", "u8"), ("next_style_id", "u8"), ("lang_id", "i16"), ("para_shape_id", "u16"), ("char_shape_id", "u16")], {"kind": ("attribute", 0, 3, ["paragraph", "character", "other"])}),
     "bullet": Layout(12, [("attributes", "u32"), ("width", "i16"), ("space", "i16"), ("char_shape_id", "i32"), ("bullet_char", "ch?"), ("image_id", "i32?"), ("image", "u8*4?"), ("check_char", "ch?")]),
     "distribute_doc_data": Layout(256, [("data", "raw")]),
-    "compatible_document": Layout(4, [("program", "u32")], {"target": ("program", 0, 32, ["current", "2007", "ms_word", "unknown"])}),
     "layout_compatibility": Layout(20, [("character", "u32"), ("paragraph", "u32"), ("section", "u32"), ("object", "u32"), ("field", "u32")]),
     "track_change_info": Layout(1032, [("data", "raw")]),
     "memo_shape": _OPAQUE, "forbidden_char": _OPAQUE, "track_change_content": _OPAQUE, "track_change_author": _OPAQUE,

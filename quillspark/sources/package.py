@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.sources.batches import bounded
 
 ENTRIES = "doc string, name string, data binary, error string"
 NODES = "doc string, section int, ord int, kind string, table_id int, row int, col int, row_span int, col_span int, text string, error string"
@@ -19,34 +21,39 @@ NODES = "doc string, section int, ord int, kind string, table_id int, row int, c
 INFLATED = 512 << 20
 
 
-def read_package(data: bytes) -> dict[str, bytes]:
-    """Entries by name; files whose ``mimetype`` is of another format are refused."""
+def read_package(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(name, bytes, error) of each entry; one that is too large or broken has an error. Files whose ``mimetype`` is of another
+    format are refused."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        out = {}
-        for info in z.infolist():
-            if not info.is_dir():
+        infos = [i for i in z.infolist() if not i.is_dir()]
+        for info in sorted(infos, key=lambda i: i.filename != "mimetype"):
+            try:
                 if info.file_size > INFLATED:
-                    raise ValueError(f"{info.filename} is too large")
-                out[info.filename] = z.read(info)
-    kind = out.get("mimetype")
-    if kind is not None and b"hwp" not in kind and b"owpml" not in kind:
-        raise ValueError("another format")
-    return out
+                    raise ValueError("entry is too large")
+                body = z.read(info)
+            except (zipfile.BadZipFile, zlib.error, ValueError, EOFError, NotImplementedError, RuntimeError) as e:
+                yield info.filename, None, str(e) or type(e).__name__
+                continue
+            if info.filename == "mimetype" and b"hwp" not in body and b"owpml" not in body:
+                raise ValueError("another format")
+            yield info.filename, body, None
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """files: ``path``, ``content``. One row an entry: ``doc``, ``name``, ``data``, ``error``; a broken package gives one row with an error."""
+    """files: ``path``, ``content``. One row an entry: ``doc``, ``name``, ``data``, ``error``; a broken package gives one row with an
+    error, a broken entry a row of its own."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    rows = [(path, k, v, None) for k, v in read_package(content.as_py()).items()]
+                    rows = [(path, *entry) for entry in read_package(content.as_py())]
                 except (zipfile.BadZipFile, ValueError, EOFError, NotImplementedError, RuntimeError) as e:
                     rows = [(path, None, None, str(e))]
                 cols = list(zip(*rows, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], names=["doc", "name", "data", "error"])
 
+    bounded(files.sparkSession)
     return files.where(F.hex(F.substring("content", 1, 4)) == "504B0304").select("path", "content").mapInArrow(run, ENTRIES)
 
 
@@ -56,6 +63,12 @@ def sections(rows: DataFrame) -> DataFrame:
     return found.withColumn("section", F.coalesce(F.try_to_number(F.regexp_extract("name", r"section(\d+)\.xml$", 1), F.lit("999999999")).cast("int"), F.lit(0)))
 
 
+def doc_info(rows: DataFrame) -> DataFrame:
+    """doc and the document properties of a package: its header holds none, so there is one area and every number starts from 1."""
+    one = [F.lit(1).alias(n) for n in ("area_count", "page_start", "footnote_start", "endnote_start", "image_start", "table_start", "formula_start")]
+    return rows.select("doc").distinct().select("doc", *one)
+
+
 def binary_items(rows: DataFrame) -> DataFrame:
     """Items below BinData/: ``index`` by name order, ``stem``, ``data``."""
     from pyspark.sql import Window

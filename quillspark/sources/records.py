@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.functions.text import SINGLE
 from quillspark.plans import sequence
-from quillspark.sources.layouts import BODY_TAGS, CONTROL_LAYOUTS, CONTROLS, DOC_TAGS, FIRST, LAYOUTS, Layout, RecordError, read, utf16
+from quillspark.sources.batches import bounded
+from quillspark.sources.layouts import BODY_TAGS, CONTROL_LAYOUTS, CONTROLS, DOC_LEVELS, DOC_TAGS, FIRST, LAYOUTS, Layout, RecordError, read, utf16
 
-FRAMED = "doc string, stream string, seq long, tag int, level int, size long, payload binary, error string"
+FRAMED = "doc string, stream string, seq long, tag int, level int, parent long, size long, payload binary, error string"
 
 
 def frame(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -39,29 +41,40 @@ def frame(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def records(streams: DataFrame) -> DataFrame:
-    """streams: ``doc``, ``name``, ``data`` (inflated). One row a record in stream order; a stream that is cut off gives its whole
-    records and one row with an error. Null data gives nothing."""
+    """streams: ``doc``, ``name``, ``data`` (inflated), and ``error`` if they have one. One row a record in stream order, with
+    ``parent``: the ``seq`` of the nearest record before it with a smaller level, null at the top. A stream that is cut off gives its
+    whole records and one row with an error, one that has an error that row alone. Null data gives nothing."""
+    schema = to_arrow_schema(T.StructType.fromDDL(FRAMED))
+
+    def rows_of(doc: str, name: str, data: bytes | None, error: str | None) -> Iterator[tuple]:
+        above: list[tuple[int, int]] = []  # (level, seq) of the records that are still open
+        seq = 0
+        try:
+            if error is not None:
+                raise RecordError(error)
+            for seq, (tag, level, payload) in enumerate(frame(data or b""), 1):
+                while above and above[-1][0] >= level:
+                    above.pop()
+                yield doc, name, seq - 1, tag, level, above[-1][1] if above else None, len(payload), payload, None
+                above.append((level, seq - 1))
+        except RecordError as e:
+            yield doc, name, seq, None, None, None, None, None, str(e)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.string()), ("stream", pa.string()), ("seq", pa.int64()), ("tag", pa.int32()), ("level", pa.int32()), ("size", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
         for batch in source:
-            rows: list[tuple] = []
-            for doc, name, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                seq = 0
-                try:
-                    for seq, (tag, level, payload) in enumerate(frame(data or b""), 1):
-                        rows.append((doc, name, seq - 1, tag, level, len(payload), payload, None))
-                except RecordError as e:
-                    rows.append((doc, name, seq, None, None, None, None, str(e)))
-            cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            for stream in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                rows = rows_of(*stream)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
-    return streams.select("doc", "name", "data").mapInArrow(run, FRAMED)
+    bounded(streams.sparkSession)
+    error = "error" if "error" in streams.columns else F.lit(None).cast("string").alias("error")
+    return streams.select("doc", "name", "data", error).mapInArrow(run, FRAMED)
 
 
-def tree(framed: DataFrame, levels: int = 16) -> DataFrame:
-    """Adds ``parent``: the ``seq`` of the nearest record before with a smaller level, within (doc, stream)."""
-    return sequence.parents(framed.where("error is null"), ["doc", "stream"], "seq", "level", levels)
+def tree(framed: DataFrame) -> DataFrame:
+    """The records that were read, without rows of errors; ``parent`` makes them a tree, whatever their levels."""
+    return framed.where("error is null")
 
 
 # ---------------------------------------------------------------- records whose layout depends on their content
@@ -131,7 +144,7 @@ def fill(data: bytes) -> dict:
             at += 4 * n
         if len(data) < at + 4 * max(0, n):
             raise RecordError("gradient colours are cut off")
-        return {"fill": "gradient", "gradient_type": style, "angle": angle, "center_x": x, "center_y": y, "spread": spread, "positions": places, "colors": list(struct.unpack_from(f"<{max(0, n)}I", data, at))}
+        return {"fill": "gradient", "gradient_type": style, "angle": angle, "center_x": x, "center_y": y, "spread": spread, "positions": places, "gradient_colors": list(struct.unpack_from(f"<{max(0, n)}I", data, at))}
     return {"fill": "none"}
 
 
@@ -144,7 +157,8 @@ def _borders(data: bytes, split: bool) -> tuple[dict, int]:
         parts = [struct.unpack_from("<BBI", data, 2 + 6 * k) for k in range(4)]
         types, widths, colors = ([p[j] for p in parts] for j in range(3))
     kind, width, color = struct.unpack_from("<BBI", data, 26)
-    score = sum(t <= 17 for t in types) + sum(w <= 15 for w in widths) + sum(c >> 24 == 0 for c in colors)
+    # a width has 16 codes, a type 33 at most; every colour is possible, but all bits set is unlikely
+    score = sum(3 if w < 16 else -10 for w in widths) + sum(2 if t < 33 else -5 for t in types) - sum(2 for c in colors if c == 0xFFFFFFFF)
     return {"line_types": types, "widths": widths, "colors": colors, "diagonal_type": kind, "diagonal_width": width, "diagonal_color": color}, score
 
 
@@ -153,7 +167,7 @@ def _border_fill(data: bytes) -> dict:
         raise RecordError("32 bytes needed")
     attributes = struct.unpack_from("<H", data)[0]
     (a, score), (b, other) = _borders(data, False), _borders(data, True)
-    out = {"effect_3d": bool(attributes & 1), "shadow": bool(attributes & 2), "diagonal_slash": attributes >> 2 & 7, "diagonal_backslash": attributes >> 5 & 7, "center_line": bool(attributes >> 13 & 1)}
+    out = {"effect_3d": bool(attributes & 1), "shadow": bool(attributes & 2), "diagonal_slash": attributes >> 2 & 7, "diagonal_backslash": attributes >> 5 & 7, "slash_broken": attributes >> 8 & 3, "backslash_broken": bool(attributes >> 10 & 1), "slash_rotated": bool(attributes >> 11 & 1), "backslash_rotated": bool(attributes >> 12 & 1), "center_line": bool(attributes >> 13 & 1)}
     return out | (a if score >= other else b) | fill(data[32:])
 
 
@@ -161,32 +175,49 @@ def _tab_def(data: bytes) -> dict:
     if len(data) < 6:
         raise RecordError("6 bytes needed")
     attributes, n = struct.unpack_from("<Ih", data)
-    at = 6 if len(data) < 8 or (len(data) - 6) % 8 == 0 else 8
-    items = [dict(zip(("position", "kind", "leader"), struct.unpack_from("<IBB", data, at + 8 * k), strict=True)) for k in range(max(0, n)) if at + 8 * k + 8 <= len(data)]
+    if len(data) < 6 + 8 * n:
+        raise RecordError(f"{n} items need {6 + 8 * n} bytes, {len(data)} are there")
+    parts = [struct.unpack_from("<IBB", data, 6 + 8 * k) for k in range(max(0, n))]
+    items = [{"position": at, "kind": ["left", "right", "center", "decimal"][kind] if kind < 4 else "left", "leader": leader} for at, kind, leader in parts]
     return {"left_auto": bool(attributes & 1), "right_auto": bool(attributes & 2), "items": items}
 
 
+def _compatible(data: bytes) -> dict:
+    if len(data) < 4:
+        raise RecordError("4 bytes needed")
+    program = struct.unpack_from("<I", data)[0]
+    if program > 2:
+        raise RecordError(f"unknown program {program}")
+    return {"program": program, "target": ["current", "2007", "ms_word"][program]}
+
+
+def _text_or_none(data: bytes, at: int) -> tuple[str, int]:
+    """Text after its length; the empty one, behind the length, where its units are cut off."""
+    text, after, whole = read(data, at, "str")
+    if whole and text is None:
+        raise RecordError("number format is no UTF-16")
+    return (text, after) if whole else ("", min(len(data), at + 2))
+
+
 def _numbering(data: bytes, version: int = 0x05000000) -> dict:
+    """Seven levels, as far as there are bytes, then up to three more formats. Levels have a start of their own from 0.2.5.0 on."""
     levels, at = [], 0
-    for k in range(7):
-        if at + 14 > len(data):
-            break
+    while len(levels) < 7 and at + 12 <= len(data):
         attributes, width, distance, shape = struct.unpack_from("<IhhI", data, at)
-        text, at, ok = read(data, at + 12, "str")
-        if not ok or at + 2 > len(data):
-            break
-        start = struct.unpack_from("<H", data, at)[0]
-        at += 2
-        first = None
+        text, at = _text_or_none(data, at + 12)
+        start, first = 0, None
+        if at + 2 <= len(data):
+            start, at = struct.unpack_from("<H", data, at)[0], at + 2
         if version >= 0x00020500 and at + 4 <= len(data):
-            first = struct.unpack_from("<I", data, at)[0]
-            at += 4
-        levels.append({"level": k + 1, "attributes": attributes, "width": width, "distance": distance, "char_shape_id": shape, "format": text, "start": start, "level_start": first})
+            first, at = struct.unpack_from("<I", data, at)[0], at + 4
+        levels.append({"level": len(levels) + 1, "attributes": attributes, "width": width, "distance": distance, "char_shape_id": shape, "format": text, "start": start, "level_start": first})
     extended = []
-    for _ in range(3):
-        text, at, ok = read(data, at, "str")
-        if not ok:
+    while len(extended) < 3:
+        text, at, whole = read(data, at, "str")
+        if not whole:
             break
+        if text is None:
+            raise RecordError("number format is no UTF-16")
         extended.append(text)
     return {"levels": levels, "extended": extended}
 
@@ -293,10 +324,10 @@ def _list_header(data: bytes) -> dict:
     n = struct.unpack_from("<h", data)[0]
     value = struct.unpack_from("<I", data, 4 if len(data) >= 8 else 2)[0]
     out = {"paragraph_count": n, "text_direction": "vertical" if value & 7 == 1 else "horizontal", "line_break": ["normal", "keep_one_line", "expand", "normal"][value >> 3 & 3], "vertical_align": ["top", "center", "bottom", "top"][value >> 5 & 3]}
-    if len(data) >= 34:  # a cell, or a caption of 22 bytes
+    if len(data) >= 34:
         names = ("col", "row", "col_span", "row_span", "width", "height", "margin_left", "margin_right", "margin_top", "margin_bottom", "border_fill_id")
         out["cell"] = dict(zip(names, struct.unpack_from("<4H2I4hH", data, 8), strict=True))
-    if len(data) >= 22:
+    elif len(data) >= 22:
         attributes, width, gap, last = struct.unpack_from("<IIhI", data, 8)
         out["caption"] = {"align": ["left", "right", "top", "bottom"][attributes & 3], "include_margin": bool(attributes & 4), "width": width, "gap": gap, "last_width": last}
     return out
@@ -398,11 +429,12 @@ SPECIAL: dict[str, tuple[str, Callable[[bytes], dict]]] = {
     "face_name": ("name string, alternative_type int, alternative_name string, type_info array<int>, default_name string", _face_name),
     "bin_data": ("kind string, compression string, access string, absolute_path string, relative_path string, binary_id int, extension string", _bin_data),
     "border_fill": (
-        "effect_3d boolean, shadow boolean, diagonal_slash int, diagonal_backslash int, center_line boolean, line_types array<int>, widths array<int>, colors array<long>, diagonal_type int, diagonal_width int, diagonal_color long, fill string, "
-        "background_color long, pattern_color long, pattern_type int, image_type int, image_id int, gradient_type int, angle int, center_x int, center_y int, spread int, positions array<int>",
+        "effect_3d boolean, shadow boolean, diagonal_slash int, diagonal_backslash int, slash_broken int, backslash_broken boolean, slash_rotated boolean, backslash_rotated boolean, center_line boolean, line_types array<int>, widths array<int>, colors array<long>, diagonal_type int, diagonal_width int, diagonal_color long, fill string, "
+        "background_color long, pattern_color long, pattern_type int, image_type int, image_id int, gradient_type int, angle int, center_x int, center_y int, spread int, positions array<int>, gradient_colors array<long>",
         _border_fill,
     ),
-    "tab_def": ("left_auto boolean, right_auto boolean, items array<struct<position:long,kind:int,leader:int>>", _tab_def),
+    "tab_def": ("left_auto boolean, right_auto boolean, items array<struct<position:long,kind:string,leader:int>>", _tab_def),
+    "compatible_document": ("program long, target string", _compatible),
     "numbering": ("levels array<struct<level:int,attributes:long,width:int,distance:int,char_shape_id:long,format:string,start:int,level_start:long>>, extended array<string>", _numbering),
     "doc_data": ("parameters string", _bag),
     "ctrl_data": ("parameters string", _bag),
@@ -436,8 +468,9 @@ def decoder(kind: str, layouts: dict[str, Layout] = LAYOUTS) -> tuple[str, Calla
     return layout.ddl(), layout.decode
 
 
-def _decoded(rows: DataFrame, ddl: str, decode: Callable[[bytes], dict], skip: int = 0) -> DataFrame:
-    keys = [c for c in rows.columns if c not in ("payload", "size", "error", "tag", "level")]
+def _decoded(rows: DataFrame, ddl: str, decode: Callable[..., dict], skip: int = 0, versioned: bool = False) -> DataFrame:
+    """Keys of rows and the columns of their payloads; with ``versioned`` decode gets the column ``version`` too, if there is one."""
+    keys = [c for c in rows.columns if c not in ("payload", "size", "error", "tag", "level", "parent", "version")]
     columns = f"{ddl}, error string" if ddl else "error string"
     schema = T.StructType([rows.schema[k] for k in keys] + T.StructType.fromDDL(columns).fields)
     arrow = to_arrow_schema(schema)
@@ -445,23 +478,30 @@ def _decoded(rows: DataFrame, ddl: str, decode: Callable[[bytes], dict], skip: i
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             out = []
-            for payload in batch.column(len(keys)).to_pylist():
+            for payload, version in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True):
                 try:
-                    out.append(decode(payload[skip:]))
+                    out.append(decode(payload[skip:]) if version is None else decode(payload[skip:], version))
                 except (RecordError, struct.error) as e:
                     out.append({"error": str(e)})
             made = [pa.array([r.get(f.name) for r in out], f.type) for f in arrow][len(keys) :]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], schema=arrow)
 
-    return rows.select(*keys, "payload").mapInArrow(run, schema)
+    bounded(rows.sparkSession)
+    version = F.col("version").cast("long") if versioned and "version" in rows.columns else F.lit(None).cast("long")
+    return rows.select(*keys, "payload", version.alias("_version")).mapInArrow(run, schema)
 
 
-def typed(framed: DataFrame, kind: str) -> DataFrame:
+def typed(framed: DataFrame, kind: str, versions: DataFrame | None = None) -> DataFrame:
     """Rows of one kind of record: keys, its columns, ``error`` where it is too short or broken. Records of document-wide tables
-    count from 0 in ``seq`` order by functions.sequence.numbered where an index is asked for."""
+    count only at the level where they belong. versions: doc, ``version``, for kinds whose layout depends on it (numbering)."""
     number = FIRST + (DOC_TAGS | BODY_TAGS)[kind]
     ddl, decode = decoder(kind)
-    return _decoded(framed.where((F.col("tag") == number) & F.col("error").isNull()), ddl, decode)
+    rows = framed.where((F.col("tag") == number) & F.col("error").isNull())
+    if kind in DOC_LEVELS:
+        rows = rows.where(F.col("level") == DOC_LEVELS[kind])
+    if versions is not None:
+        rows = rows.join(versions.select("doc", "version"), "doc", "left")
+    return _decoded(rows, ddl, decode, versioned=kind == "numbering")
 
 
 def controls(framed: DataFrame, kind: str) -> DataFrame:
@@ -475,6 +515,12 @@ def controls(framed: DataFrame, kind: str) -> DataFrame:
     return _decoded(rows, ddl, decode, skip=4)
 
 
+def others(framed: DataFrame) -> DataFrame:
+    """Records of no known kind: keys, ``tag``, ``data``."""
+    known = sorted({FIRST + n for n in (DOC_TAGS | BODY_TAGS).values()})
+    return framed.where(F.col("error").isNull() & ~F.col("tag").isin(known)).select("doc", "stream", "seq", "tag", "level", F.col("payload").alias("data"))
+
+
 def dictionary(framed: DataFrame, kind: str) -> DataFrame:
     """typed() of a document-wide table with ``idx``, its place from 0 in each document."""
     return sequence.numbered(typed(framed, kind), "doc", "seq", "idx", start=0)
@@ -497,9 +543,17 @@ def file_headers(streams: DataFrame) -> DataFrame:
 SIGNATURE = b"HWP Document File"
 
 
-def sections(spark: SparkSession, streams: DataFrame) -> DataFrame:
-    """Inflated body streams with ``section``, in the order of their numbers."""
-    from quillspark.sources.compound import inflated
+def area_counts(info: DataFrame) -> DataFrame:
+    """info: records of the DocInfo streams. doc, ``area_count``: how many sections a document says that it has."""
+    return typed(info, "document_properties").where("error is null").groupBy("doc").agg(F.max("area_count").alias("area_count"))
+
+
+def sections(streams: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """Inflated body streams with ``section``; where two paths name one section, that without the root counts. areas: area_counts();
+    of a document only sections below its count are there (one where the count is unknown)."""
+    from quillspark.sources.compound import inflated, nested
 
-    rows = streams.where(F.col("name").rlike("^BodyText/Section[0-9]+$")).select("doc", "name", "data")
-    return inflated(rows).withColumn("section", F.regexp_extract("name", "([0-9]+)$", 1).cast("int"))
+    found = nested(streams, "BodyText", "Section[0-9]+").withColumn("section", F.regexp_extract("name", "([0-9]+)$", 1).cast("int"))
+    if areas is not None:
+        found = found.join(areas, "doc", "left").where(F.col("section") < F.coalesce("area_count", F.lit(1))).drop("area_count")
+    return inflated(found)

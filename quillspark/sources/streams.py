@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import bits, media
+from quillspark.plans import intervals
 from quillspark.sources.compound import inflated
 from quillspark.sources.layouts import read, utf16
 
@@ -35,7 +36,7 @@ def _texts(streams: DataFrame, where: str, names: list[str]) -> DataFrame:
         for batch in source:
             out = []
             for data in batch.column(2).to_pylist():
-                at, row = 0, []
+                data, at, row = data or b"", 0, []
                 for _ in names:
                     size = int.from_bytes(data[at : at + 4], "little") if at + 4 <= len(data) else None
                     whole = size is not None and at + 4 + 2 * size <= len(data)
@@ -45,7 +46,7 @@ def _texts(streams: DataFrame, where: str, names: list[str]) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in cols)], names=["doc", "name", *names])
 
-    rows = inflated(streams.where(where).select("doc", "name", "data"))
+    rows = inflated(streams.where(where).select("doc", "name", "data", "compressed")).select("doc", "name", "data")
     return rows.mapInArrow(run, "doc string, name string, " + ", ".join(f"`{n}` string" for n in names))
 
 
@@ -54,7 +55,7 @@ def scripts(streams: DataFrame) -> DataFrame:
 
 
 def script_versions(streams: DataFrame) -> DataFrame:
-    rows = inflated(streams.where("name = 'Scripts/JScriptVersion'").select("doc", "data"))
+    rows = inflated(streams.where("name = 'Scripts/JScriptVersion'").select("doc", "data", "compressed"))
     return rows.select("doc", bits.little_endian("data", 0, 4).alias("high"), bits.little_endian("data", 4, 4).alias("low"))
 
 
@@ -64,19 +65,23 @@ def xml_templates(streams: DataFrame, headers: DataFrame) -> DataFrame:
     return _texts(streams, "name like 'XMLTemplate/%'", ["content"]).join(marked, "doc", "left_semi")
 
 
+def candidates(index: F.Column, extension: F.Column) -> F.Column:
+    """Names under which a binary item may be stored, the likeliest first; with an extension two more."""
+    bare = F.concat(F.lit("BIN"), F.format_string("%04X", index.cast("long")))
+    folders = ("BinData/", "Root Entry/BinData/")
+    names = F.array(*[F.concat(F.lit(f), bare) for f in folders], bare)
+    full = F.concat(bare, F.lit("."), extension)
+    return F.when(extension.isNull(), names).otherwise(F.concat(names, F.array(*[F.concat(F.lit(f), full) for f in folders])))
+
+
 def binary_items(streams: DataFrame, bin_data: DataFrame) -> DataFrame:
-    """bin_data: records.dictionary of kind bin_data. doc, ``index``, ``name``, ``extension``, ``data`` of items that are embedded or stored,
-    from the first of the names under which writers put them; links have none."""
-    rows = bin_data.where("kind <> 'link' and error is null").select("doc", F.col("binary_id").alias("index"), "extension")
-    number, ext = F.format_string("%04X", F.col("index").cast("long")), F.coalesce("extension", F.lit(""))
-    names = F.array(
-        F.concat(F.lit("BinData/BIN"), number, F.lit("."), ext), F.concat(F.lit("BinData/BinaryData"), F.col("index").cast("string")), F.concat(F.lit("BinData/BIN"), number),
-        F.concat(F.lit("BinData/BIN"), number, F.lit("."), F.upper(ext)), F.concat(F.lit("BinData/bin"), F.lower(number), F.lit("."), ext),
-    )
-    wanted = rows.select("*", F.posexplode(names).alias("rank", "name"))
-    found = wanted.join(streams.where("name like 'BinData/%'").select("doc", "name", "data"), ["doc", "name"])
-    first = F.row_number().over(Window.partitionBy("doc", "index").orderBy("rank"))
-    return inflated(found.withColumn("_n", first).where("_n = 1").select("doc", "index", "name", "extension", "data"))
+    """bin_data: records.dictionary of kind bin_data. doc, ``index``, ``name``, ``extension``, ``data`` of items that are embedded or
+    stored, from the first candidate that is there and not empty; links have none. An item that does not inflate stays as it is."""
+    rows = bin_data.where("kind <> 'link' and error is null").select("doc", "seq", F.col("binary_id").alias("index"), "extension")
+    wanted = rows.select("*", F.posexplode(candidates(F.col("index"), F.col("extension"))).alias("rank", "name"))
+    there = streams.where("name rlike '(^|/)BIN[0-9A-F]{4}' and length(data) > 0").select("doc", "name", "data")
+    found = intervals.first_candidate(wanted, there, ["doc", "seq"], "name", "rank")
+    return inflated(found.select("doc", "index", "name", "extension", "data"), keep=True).drop("error")
 
 
 def length_prefixed(data: bytes, at: int) -> tuple[str | None, int]:

@@ -109,7 +109,7 @@ def test_record_vectors(spark):
     cell = struct.pack("<hHI", 1, 0, 1 << 5) + struct.pack("<4H2I4hH", 1, 2, 1, 3, 500, 600, 1, 2, 3, 4, 9)
     assert records._list_header(cell)["cell"]["row_span"] == 3 and records._list_header(cell)["vertical_align"] == "center"
     assert records.fill(struct.pack("<IIIi", 1, 0xFFFFFF, 0, -1))["background_color"] == 0xFFFFFF
-    assert records.fill(struct.pack("<I6h2I", 4, 1, 0, 0, 0, 50, 2, 1, 2))["colors"] == [1, 2]
+    assert records.fill(struct.pack("<I6h2I", 4, 1, 0, 0, 0, 50, 2, 1, 2))["gradient_colors"] == [1, 2]
     bag = struct.pack("<Hh", 5, 2) + struct.pack("<HH", 1, 4) + struct.pack("<i", -3) + struct.pack("<HH", 2, 1) + W.text("가")
     assert records.parameter_set(bag)[0]["items"] == [{"id": 1, "type": "i4", "value": -3}, {"id": 2, "type": "bstr", "value": "가"}]
     body = W.record(71, 1, b" lbt" + bytes(60)) + W.record(71, 1, b"wonk\1\2")
