@@ -99,11 +99,6 @@ def _(spark, d):
     return rows.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("edges"))
 
 
-@query("a18_better_layout", "select l_orderkey, l_linenumber, case when l_partkey % 7 >= l_suppkey % 7 then 'a' else 'b' end as layout from " + _CELLS)
-def _(spark, d):
-    return grid_cells(spark, d).select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 7 >= F.col("l_suppkey") % 7, "a").otherwise("b").alias("layout"))
-
-
 @query("w10_overflow", f"with s as ({_SEGMENTS}) select user_id, event_id, coalesce(v + 20 > 250 and coalesce(max(v) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) > 0, false) as overflow from s")
 def _(spark, d):
     before = F.max("v").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
