@@ -21,21 +21,14 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8); rows that repeat a doc_id count as one."""
-    verdicts = minmax.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(verdicts, "doc_id", "left_anti").select(*COLUMNS)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not twice.limit(1).count():
-        return kept
-    again = kept.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS).union(again.select(*COLUMNS))
+    """One document of each group of near copies (five-word shingles, similarity 0.8); rows that repeat a doc_id are judged by their texts."""
+    return minmax.keep_one(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of over 50 words, and the 400-byte strings, that occur more than once; n_chars follows."""
-    cut = suffix_dedup.remove_repeats(docs, span=400, carry=("lang", "source"), words=51)
-    cut = cut.select("kept", "doc_id", "carried.lang", "carried.source")
-    cut = cut.mapInArrow(suffix_dedup.as_text, "text string, doc_id long, lang string, source string")
+    cut = suffix_dedup.remove_repeats(docs, span=400, carry=("lang", "source"), words=51, as_text=True)
+    cut = cut.select(F.col("kept").alias("text"), "doc_id", "carried.lang", "carried.source")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
