@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import bits, media, numbers, text, units
 from quillspark.operators import render
-from quillspark.plans import intervals, sequence
+from quillspark.plans import cells, intervals, lookups, sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,12 +47,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "select doc_id, unnest(range(len(l)))::int as ord, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)"
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with one row for each (l_orderkey, l_linenumber), as cells of a table have one order."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
-    return rows.agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")])
+    """lineitem with one row for each (l_orderkey, l_linenumber), the smallest whole row, as cells of a table have one order."""
+    columns = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*columns)).alias("_row"))
+    return rows.select("l_orderkey", "l_linenumber", *[F.col("_row")[c].alias(c) for c in columns])
 
 
-_CELLS = "(select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity, min(l_returnflag) as l_returnflag, min(l_linestatus) as l_linestatus, min(l_shipdate) as l_shipdate from lineitem group by 1, 2)"
+_CELLS = "(select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_shipdate from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_shipdate) = 1)"
 
 
 # ---------------------------------------------------------------- numbers as text
@@ -480,10 +481,10 @@ def _styles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j01_style_lookup", f"select l_orderkey, l_linenumber, s.base_size, s.bold, coalesce(n.n_name, '{render.DEFAULT_FONT}') as font from lineitem left join ({_STYLES}) s on l_partkey * 2 = s.idx left join nation n on s.font = n.n_nationkey and n.n_nationkey < 5")
 def _(spark, d):
-    runs = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 2).alias("idx"))
-    fonts = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("font"), "n_name")
-    joined = runs.join(_styles(spark, d), "idx", "left").join(fonts, "font", "left")
-    return joined.select("l_orderkey", "l_linenumber", "base_size", "bold", F.coalesce("n_name", F.lit(render.DEFAULT_FONT)).alias("font"))
+    runs = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 2).alias("shape_id"), F.lit(0).alias("doc"))
+    fonts = table(spark, d, "nation").where("n_nationkey < 5").select(F.lit(0).alias("doc"), F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("name"))
+    shapes = _styles(spark, d).select(F.lit(0).alias("doc"), "idx", "base_size", "bold", F.col("font").alias("font_id"))
+    return lookups.with_char_shape(runs, shapes, ["base_size", "bold"], fonts).select("l_orderkey", "l_linenumber", "base_size", "bold", "font")
 
 
 @query("j12_asof_style", "with e as (select user_id, event_id, event_type from events), s as (select user_id, event_id as at, event_type from e where event_id % 3 = 0) select e.user_id, e.event_id, (select max_by(s.event_type, s.at) from s where s.user_id = e.user_id and s.at <= e.event_id) as style from e")
@@ -526,9 +527,9 @@ def _(spark, d):
 
 @query("j11_candidates", "with w as (select p_partkey, p_size % 7 as a, p_size % 5 as b, 24 as c from part), x as (select p_partkey, 0 as rank, a as k from w union all select p_partkey, 1, b from w union all select p_partkey, 2, c from w) select p_partkey, min_by(n_name, rank) as found from x join nation on k = n_nationkey and n_nationkey > 3 group by p_partkey")
 def _(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.posexplode(F.array(F.col("p_size") % 7, F.col("p_size") % 5, F.lit(24))).alias("rank", "k"))
-    streams = table(spark, d, "nation").where("n_nationkey > 3").select(F.col("n_nationkey").alias("k"), "n_name")
-    return p.join(streams, "k").groupBy("p_partkey").agg(F.min_by("n_name", "rank").alias("found"))
+    p = table(spark, d, "part").select("p_partkey", F.lit(0).alias("doc"), F.posexplode(F.array(F.col("p_size") % 7, F.col("p_size") % 5, F.lit(24))).alias("rank", "k"))
+    streams = table(spark, d, "nation").where("n_nationkey > 3").select(F.lit(0).alias("doc"), F.col("n_nationkey").alias("k"), "n_name")
+    return intervals.first_candidate(p, streams, ["doc", "p_partkey"], "k", "rank").select("p_partkey", F.col("n_name").alias("found"))
 
 
 @query("j22_subtree", f"with recursive l as ({_LEVELS}), p as (select doc_id, ord, (select max(q.ord) from l q where q.doc_id = l.doc_id and q.ord < l.ord and q.level < l.level) as parent from l), t as (select doc_id, ord, ord as root from p where parent is null union all select p.doc_id, p.ord, t.root from p join t on p.doc_id = t.doc_id and p.parent = t.ord) select doc_id, root, count(*) as n_nodes from t group by doc_id, root")
@@ -545,44 +546,41 @@ def _(spark, d):
 @query("a02_first_nonempty", "select l_orderkey, c as col, coalesce(min_by(t, l_linenumber) filter (where t <> ''), '') as content from (select l_orderkey, l_linenumber, l_partkey % 3 as c, case when l_suppkey % 3 = 0 then '' else l_returnflag || l_partkey end as t from " + _CELLS + ") group by l_orderkey, c")
 def _(spark, d):
     t = F.when(F.col("l_suppkey") % 3 == 0, F.lit("")).otherwise(F.concat("l_returnflag", F.col("l_partkey").cast("string")))
-    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3).alias("col"), t.alias("t"))
-    return rows.groupBy("l_orderkey", "col").agg(F.min_by("t", F.struct(F.col("t") == "", "l_linenumber")).alias("content"))
+    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3).alias("col"), t.alias("content"))
+    return cells.first_contents(rows, "l_orderkey", ["col"], "content", "l_linenumber")
 
 
 @query("a03_table_size", "select l_orderkey, max(coalesce(c, 0) + s) as n_cols, count(distinct l_linenumber) as n_rows, min(coalesce(c, 0)) as first_col, bool_or(s > 1) as merged from (select l_orderkey, l_linenumber, nullif(l_partkey % 5, 4) as c, l_suppkey % 2 + 1 as s from " + _CELLS + ") group by l_orderkey")
 def _(spark, d):
-    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", F.coalesce(F.nullif(F.col("l_partkey") % 5, F.lit(4)), F.lit(0)).alias("c"), (F.col("l_suppkey") % 2 + 1).alias("s"))
-    return rows.groupBy("l_orderkey").agg(F.max(F.col("c") + F.col("s")).alias("n_cols"), F.count_distinct("l_linenumber").alias("n_rows"), F.min("c").alias("first_col"), F.bool_or(F.col("s") > 1).alias("merged"))
+    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", F.nullif(F.col("l_partkey") % 5, F.lit(4)).alias("c"), (F.col("l_suppkey") % 2 + 1).alias("s"))
+    return cells.table_sizes(rows, "l_orderkey", "l_linenumber", "c", "s")
 
 
 @query("a05_row_heights", "with h as (select l_orderkey, l_partkey % 3 as r, max(l_quantity) filter (where l_linenumber % 3 > 0) as height from " + _CELLS + " group by 1, 2) select l_orderkey, r, height, coalesce(sum(height) over (partition by l_orderkey order by r rows between unbounded preceding and 1 preceding), 0) as top from h")
 def _(spark, d):
-    rows = grid_cells(spark, d).withColumn("r", F.col("l_partkey") % 3)
-    heights = rows.groupBy("l_orderkey", "r").agg(F.max(F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity"))).alias("height"))
-    w = Window.partitionBy("l_orderkey").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    return heights.withColumn("top", F.coalesce(F.sum("height").over(w), F.lit(0.0)))
+    rows = grid_cells(spark, d).select("l_orderkey", (F.col("l_partkey") % 3).alias("r"), "l_quantity", F.when(F.col("l_linenumber") % 3 > 0, 1).otherwise(2).alias("span"))
+    return cells.row_heights(rows, "l_orderkey", "r", "l_quantity", "span")
 
 
-@query("a07_column_edges", "select l_orderkey, count(distinct x)::double as n_edges from (select l_orderkey, (l_partkey % 20)::double as x from " + _CELLS + " union all select l_orderkey, (l_partkey % 20 + 3)::double from " + _CELLS + ") group by l_orderkey")
+@query("a07_column_edges", "select l_orderkey, count(distinct x)::double as n_edges from (select distinct l_orderkey, 0.0::double as x from lineitem union all select l_orderkey, (l_partkey % 20)::double from " + _CELLS + " union all select l_orderkey, (l_partkey % 20 + 3)::double from " + _CELLS + ") group by l_orderkey")
 def _(spark, d):
-    low = (F.col("l_partkey") % 20).cast("double")
-    rows = grid_cells(spark, d).select("l_orderkey", F.explode(F.array(low, low + 3)).alias("x"))
-    return rows.groupBy("l_orderkey").agg(F.size(intervals.nearest_edges(F.collect_list("x"))).cast("double").alias("n_edges"))
+    boxes = grid_cells(spark, d).select("l_orderkey", (F.col("l_partkey") % 20).cast("double").alias("left"), F.lit(3.0).alias("width"))
+    return cells.column_edges(boxes, "l_orderkey").select("l_orderkey", F.size("edges").cast("double").alias("n_edges"))
 
 
 @query("a12_pattern_ids", "with f as (select l_orderkey, l_partkey % 4 as color, min(l_linenumber) as first from " + _CELLS + " where l_partkey % 4 <> 0 group by 1, 2) select l_orderkey, color, format('w_{:02d}', row_number() over (partition by l_orderkey order by first) - 1) as pattern from f")
 def _(spark, d):
-    rows = grid_cells(spark, d).withColumn("color", F.col("l_partkey") % 4).where("color <> 0").groupBy("l_orderkey", "color").agg(F.min("l_linenumber").alias("first"))
-    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("first")) - 1
-    return rows.select("l_orderkey", "color", F.format_string("w_%02d", k).alias("pattern"))
+    rows = grid_cells(spark, d).withColumn("color", F.col("l_partkey") % 4).where("color <> 0")
+    return cells.pattern_ids(rows, "l_orderkey", "color", "l_linenumber")
 
 
-@query("a11_distinct_texts", "select l_orderkey, array_to_string(list_sort(list(distinct l_returnflag || l_linestatus)), ',') as texts, min(l_shipdate)::timestamp as first_date, min_by(l_partkey, l_linenumber) as first_part, min_by(l_partkey, l_linenumber) filter (where l_linenumber > 1) as second_part from " + _CELLS + " group by l_orderkey")
+@query("a11_distinct_texts", "select l_orderkey, array_to_string(list_sort(list(distinct l_returnflag || l_linestatus)), ',') as texts, min(l_shipdate)::timestamp as first_date, min_by(l_partkey, l_linenumber) as first_part, coalesce(list_extract(list(l_partkey order by l_linenumber), 2), min_by(l_partkey, l_linenumber)) as second_part from " + _CELLS + " group by l_orderkey")
 def _(spark, d):
-    return grid_cells(spark, d).groupBy("l_orderkey").agg(
-        F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("texts"), F.min("l_shipdate").alias("first_date"),
-        F.min_by("l_partkey", "l_linenumber").alias("first_part"), F.min_by("l_partkey", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber"))).alias("second_part"),
-    )
+    rows = grid_cells(spark, d).withColumn("t", F.concat(F.lit(" "), "l_returnflag", "l_linestatus"))
+    shapes = lookups.note_shapes(rows, "l_orderkey", "l_linenumber", ["l_partkey"]).select("l_orderkey", F.col("footnote.l_partkey").alias("first_part"), F.col("endnote.l_partkey").alias("second_part"))
+    first = lookups.first_row(rows, "l_orderkey", "l_shipdate", ["l_shipdate"]).select("l_orderkey", F.col("l_shipdate").alias("first_date"))
+    texts = lookups.distinct_texts(rows, "l_orderkey", "t").select("l_orderkey", F.array_join("texts", ",").alias("texts"))
+    return texts.join(first, "l_orderkey").join(shapes, "l_orderkey")
 
 
 # ---------------------------------------------------------------- rendering

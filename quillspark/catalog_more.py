@@ -2,64 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.catalog import _CELLS, _LINES, _SEGMENTS, _num, _segments, grid_cells, lines, query, table  # noqa: PLC2701
 from quillspark.functions import media, text, units
 from quillspark.operators import render
-from quillspark.plans import intervals, sequence
+from quillspark.plans import cells, intervals, lookups, sequence
+from quillspark.sources import package
 
 # ---------------------------------------------------------------- lookups
 
 
 @query("j02_paragraph_class", "select l_orderkey, l_linenumber, case when p_partkey is null then '' else 'ps' || p_partkey end as class, p_brand as style, coalesce(n_name, '') as numbering from " + _CELLS + " l left join part on l_partkey * 2 = p_partkey left join nation on p_size = n_nationkey")
 def _(spark, d):
-    shapes = table(spark, d, "part").select((F.col("p_partkey")).alias("idx"), "p_brand", "p_size")
-    numbering = table(spark, d, "nation").select(F.col("n_nationkey").alias("p_size"), "n_name")
-    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 2).alias("idx")).join(shapes.withColumn("known", F.lit(True)), "idx", "left").join(numbering, "p_size", "left")
-    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("known"), F.concat(F.lit("ps"), F.col("idx").cast("string"))).otherwise("").alias("class"), F.col("p_brand").alias("style"), F.coalesce("n_name", F.lit("")).alias("numbering"))
+    part = table(spark, d, "part")
+    shapes = part.select(F.lit(0).alias("doc"), F.col("p_partkey").alias("idx"), F.col("p_size").cast("long").alias("number_bullet_id"))
+    styles = part.select(F.lit(0).alias("doc"), F.col("p_partkey").alias("idx"), F.col("p_brand").alias("local_name"))
+    numbering = table(spark, d, "nation").select(F.lit(0).alias("doc"), F.col("n_nationkey").alias("idx"), F.array(F.lit("%"), F.col("n_name")).alias("formats"))
+    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", F.lit(0).alias("doc"), (F.col("l_partkey") * 2).alias("para_shape_id"), (F.col("l_partkey") * 2).alias("style_id"), F.lit(1).alias("level"))
+    rows = lookups.with_numbering(lookups.with_style(lookups.with_para_shape(rows, shapes, ["number_bullet_id"]), styles), numbering)
+    return rows.select("l_orderkey", "l_linenumber", "class", "style", F.coalesce("format", F.lit("")).alias("numbering"))
 
 
 @query("j06_border_lookup", "select l_orderkey, l_linenumber, p_brand as border from (select *, case when l_partkey % 5 = 0 then l_suppkey else l_partkey end as fill from " + _CELLS + ") left join part on fill > 0 and p_partkey = fill - 1")
 def _(spark, d):
-    # identifiers count from 1, 0 is none; a cell without its own takes the table's
-    fills = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("fill"), F.col("p_brand").alias("border")).where("fill > 0")
-    fill = F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey")).otherwise(F.col("l_partkey"))
-    return grid_cells(spark, d).select("l_orderkey", "l_linenumber", fill.alias("fill")).join(fills, "fill", "left").drop("fill")
+    fills = table(spark, d, "part").select(F.lit(0).alias("doc"), F.col("p_partkey").alias("idx"), F.col("p_brand").alias("border"))
+    own = F.when(F.col("l_partkey") % 5 == 0, F.lit(0)).otherwise(F.col("l_partkey"))
+    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", F.lit(0).alias("doc"), own.alias("border_fill_id"), F.col("l_suppkey").alias("table_fill_id"))
+    return lookups.with_border(rows, fills, ["border"]).select("l_orderkey", "l_linenumber", "border")
 
 
 @query("j08_images", "select l_orderkey, l_linenumber, '![이미지](images/' || file || ')' as shown from " + _CELLS + " l join (select b, min_by(f, k) as file from (select p_size as b, p_partkey as k, format('BIN{:04X}.png', p_partkey) as f from part) group by b) on l_partkey % 60 = b")
 def _(spark, d):
-    items = table(spark, d, "part").groupBy(F.col("p_size").cast("long").alias("b")).agg(F.min("p_partkey").alias("k"))
-    pictures = grid_cells(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 60).alias("b"))
-    file = F.concat(F.lit("images/"), media.item_name("k", F.lit("png")))
-    return pictures.join(items, "b").select("l_orderkey", "l_linenumber", media.image_markdown(file).alias("shown"))
+    items = table(spark, d, "part").select(F.lit(0).alias("doc"), F.col("p_size").cast("long").alias("index"), F.col("p_partkey").alias("seq"), F.lit("png").alias("extension"))
+    pictures = grid_cells(spark, d).select("l_orderkey", "l_linenumber", F.lit(0).alias("doc"), (F.col("l_partkey") % 60).alias("bindata_id"))
+    file = F.concat(F.lit("images/"), media.item_name("item_seq", F.col("extension")))
+    return lookups.with_item(pictures, items).select("l_orderkey", "l_linenumber", media.image_markdown(file).alias("shown"))
 
 
 @query("j10_extensions", "select l_orderkey, l_linenumber, coalesce(e, 'jpg') as extension, case coalesce(e, 'jpg') when 'png' then 'image/png' when 'gif' then 'image/gif' else 'image/jpeg' end as mime from " + _CELLS + " l left join (select n_nationkey::bigint as k, case n_regionkey when 0 then 'png' when 1 then 'gif' else 'jpg' end as e from nation) on l_partkey % 40 = k")
 def _(spark, d):
     e = F.when(F.col("n_regionkey") == 0, "png").when(F.col("n_regionkey") == 1, "gif").otherwise("jpg")
-    records = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), e.alias("e"))
-    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 40).alias("k")).join(records, "k", "left")
-    extension = F.coalesce("e", F.lit("jpg"))
-    return rows.select("l_orderkey", "l_linenumber", extension.alias("extension"), media.mime_of_extension(extension).alias("mime"))
+    bin_data = table(spark, d, "nation").select(F.lit(0).alias("doc"), F.col("n_nationkey").cast("long").alias("binary_id"), e.alias("extension"))
+    rows = grid_cells(spark, d).select("l_orderkey", "l_linenumber", F.lit(0).alias("doc"), (F.col("l_partkey") % 40).alias("bindata_id"))
+    return lookups.with_kind(rows, bin_data).select("l_orderkey", "l_linenumber", "extension", "mime")
 
 
 @query("j15_cells_by_place", "with c as (select l_orderkey, l_linenumber, l_partkey % 3 as r, l_suppkey % 3 as k from " + _CELLS + "), p as (select l_orderkey, r, k, min(l_linenumber) as t from c where l_linenumber % 2 = 0 group by 1, 2, 3), q as (select l_orderkey, l_linenumber as place, l_linenumber * 100 as t from c where l_linenumber % 3 = 0) select c.l_orderkey, c.l_linenumber, coalesce(p.t, q.t) as content from c left join p on c.l_orderkey = p.l_orderkey and c.r = p.r and c.k = p.k left join q on c.l_orderkey = q.l_orderkey and q.place = c.r * 3 + c.k")
 def _(spark, d):
-    c = grid_cells(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3).alias("r"), (F.col("l_suppkey") % 3).alias("k"))
-    by_address = c.where("l_linenumber % 2 = 0").groupBy("l_orderkey", "r", "k").agg(F.min("l_linenumber").alias("t"))
-    by_index = c.where("l_linenumber % 3 = 0").select("l_orderkey", F.col("l_linenumber").cast("long").alias("place"), (F.col("l_linenumber") * 100).alias("u"))
-    rows = c.withColumn("place", F.col("r") * 3 + F.col("k")).join(by_address, ["l_orderkey", "r", "k"], "left").join(by_index, ["l_orderkey", "place"], "left")
-    return rows.select("l_orderkey", "l_linenumber", F.coalesce("t", "u").alias("content"))
+    c = grid_cells(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3).alias("row"), (F.col("l_suppkey") % 3).alias("col"))
+    by_place = c.where("l_linenumber % 2 = 0").select("l_orderkey", "row", "col", F.col("l_linenumber").alias("content"))
+    by_index = c.where("l_linenumber % 3 = 0").select("l_orderkey", F.col("l_linenumber").cast("long").alias("place"), (F.col("l_linenumber") * 100).alias("content"))
+    return lookups.with_contents(c, by_place, by_index, F.lit(3), "l_orderkey").select("l_orderkey", "l_linenumber", "content")
 
 
 @query("j17_images_outside_tables", "select distinct l_orderkey, l_partkey from " + _CELLS + " l where not exists (select 1 from " + _CELLS + " c where c.l_orderkey = l.l_orderkey and c.l_suppkey = l.l_partkey % 10 + 1)")
 def _(spark, d):
-    cells = grid_cells(spark, d)
-    inside = cells.select("l_orderkey", F.col("l_suppkey").alias("image")).distinct()
-    return cells.withColumn("image", F.col("l_partkey") % 10 + 1).join(inside, ["l_orderkey", "image"], "left_anti").select("l_orderkey", "l_partkey").distinct()
+    rows = grid_cells(spark, d)
+    inside = rows.select("l_orderkey", F.col("l_suppkey").alias("image"))
+    return lookups.outside(rows.withColumn("image", F.col("l_partkey") % 10 + 1), inside, ["l_orderkey", "image"]).select("l_orderkey", "l_partkey").distinct()
 
 
 @query("j18_covered", "with c as (select l_orderkey, l_linenumber // 3 as r, l_linenumber % 3 as k, 1 as rs, l_partkey % 2 + 1 as cs from " + _CELLS + "), s as (select *, lag(cs) over (partition by l_orderkey, r order by k) as b, lag(k) over (partition by l_orderkey, r order by k) as bk, lag(cs, 2) over (partition by l_orderkey, r order by k) as a, lag(k, 2) over (partition by l_orderkey, r order by k) as ak from c) select l_orderkey, r::bigint as r, k::bigint as k from s where not (coalesce(bk + b > k, false))")
@@ -72,7 +73,9 @@ def _(spark, d):
 @query("u04_shared_texts", "select o_orderkey, list_has_any(list(l_returnflag), list(case when l_linenumber % 2 = 0 then l_linestatus else 'A' end)) as overlap from (select l_orderkey as o_orderkey, * from " + _CELLS + ") group by o_orderkey")
 def _(spark, d):
     other = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).otherwise("A")
-    return grid_cells(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.arrays_overlap(F.collect_set("l_returnflag"), F.collect_set(other)).alias("overlap"))
+    rows = grid_cells(spark, d).withColumn("other", other)
+    left, right = (lookups.distinct_texts(rows, "l_orderkey", c).withColumnRenamed("texts", c) for c in ("l_returnflag", "other"))
+    return left.join(right, "l_orderkey").select(F.col("l_orderkey").alias("o_orderkey"), lookups.shares_text(F.col("l_returnflag"), F.col("other")).alias("overlap"))
 
 
 # ---------------------------------------------------------------- aggregates and windows
@@ -80,30 +83,28 @@ def _(spark, d):
 
 @query("a04_normalised", "select l_orderkey, l_linenumber, l_partkey - min(l_partkey) over (partition by l_orderkey) as r, l_suppkey - min(l_suppkey) over (partition by l_orderkey) as k from " + _CELLS)
 def _(spark, d):
-    w = Window.partitionBy("l_orderkey")
-    return grid_cells(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_partkey") - F.min("l_partkey").over(w)).alias("r"), (F.col("l_suppkey") - F.min("l_suppkey").over(w)).alias("k"))
+    return cells.from_first(grid_cells(spark, d), "l_orderkey", "l_partkey", "l_suppkey").select("l_orderkey", "l_linenumber", "r", "k")
 
 
 @query("a06_sizes", "select l_orderkey, case when w = 0 or h = 0 then content_w else w end as width, case when w = 0 or h = 0 then content_h else h end as height, top, bottom from (select l_orderkey, sum(l_quantity) filter (where l_linenumber = 1) as content_w, sum(l_quantity) as content_h, (l_orderkey % 3)::double as w, (l_orderkey % 4)::double as h, min(l_partkey) as top, max(l_partkey + l_suppkey) as bottom from " + _CELLS + " group by l_orderkey)")
 def _(spark, d):
-    rows = grid_cells(spark, d).groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))).alias("cw"), F.sum("l_quantity").alias("ch"), F.min("l_partkey").alias("top"), F.max(F.col("l_partkey") + F.col("l_suppkey")).alias("bottom"))
-    w, h = (F.col("l_orderkey") % 3).cast("double"), (F.col("l_orderkey") % 4).cast("double")
-    none = (w == 0) | (h == 0)
-    return rows.select("l_orderkey", F.when(none, F.col("cw")).otherwise(w).alias("width"), F.when(none, F.col("ch")).otherwise(h).alias("height"), "top", "bottom")
+    rows = grid_cells(spark, d)
+    sums = rows.groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))).alias("cw"), F.sum("l_quantity").alias("ch"))
+    sums = sums.join(cells.extents(rows, "l_orderkey", "l_partkey", "l_suppkey"), "l_orderkey")
+    width, height = cells.resolved((F.col("l_orderkey") % 3).cast("double"), (F.col("l_orderkey") % 4).cast("double"), F.col("cw"), F.col("ch"))
+    return sums.select("l_orderkey", width.alias("width"), height.alias("height"), "top", "bottom")
 
 
 @query("a16_boundaries", "select l_orderkey, array_to_string(list_sort(list_distinct(flatten(list([l_partkey % 20, l_partkey % 20 + l_linenumber])))), ',') as edges from " + _CELLS + " group by l_orderkey")
 def _(spark, d):
     low = F.col("l_partkey") % 20
-    rows = grid_cells(spark, d).select("l_orderkey", F.explode(F.array(low, low + F.col("l_linenumber"))).alias("x"))
-    return rows.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("edges"))
+    return cells.boundaries(grid_cells(spark, d), "l_orderkey", F.array(low, low + F.col("l_linenumber"))).select("l_orderkey", F.array_join("edges", ",").alias("edges"))
 
 
 @query("w10_overflow", f"with s as ({_SEGMENTS}) select user_id, event_id, coalesce(v + 20 > 250 and coalesce(max(v) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) > 0, false) as overflow from s")
 def _(spark, d):
-    before = F.max("v").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    over = (F.col("v") + 20 > 250) & (F.coalesce(before, F.lit(0.0)) > 0)
-    return _segments(spark, d).select("user_id", "event_id", F.coalesce(over, F.lit(False)).alias("overflow"))
+    rows = sequence.overflows(_segments(spark, d), "user_id", "event_id", "v", F.col("v") + 20, 250.0)
+    return rows.select("user_id", "event_id", "overflow")
 
 
 @query("w18_page_breaks", "select doc_id, string_agg(case when ord > 0 and ord % 7 = 0 then '---' || chr(10) || chr(10) || line else line end, chr(10) order by ord) as body from (" + _LINES + ") group by doc_id")
@@ -189,3 +190,120 @@ def _(spark, d):
     names = F.array(*[F.lit(f"Contents/section{k}.xml") for k in (10, 2, 0, 1)])
     rows = table(spark, d, "part").select("p_partkey", F.explode(names).alias("s")).withColumn("n", F.regexp_extract("s", r"section(\d+)", 1).cast("int"))
     return sequence.joined(rows.withColumn("o", F.struct("n", "s")), "p_partkey", "o", "s", ",", "sections")
+
+
+# ---------------------------------------------------------------- places, edges and runs
+
+
+@query("w03_style_segments", "with t as (select l_orderkey, 60::bigint as length from lineitem group by 1), s as (select l_orderkey, (l_partkey % 70)::bigint as position, max(l_suppkey) as shape from " + _CELLS + " group by 1, 2), p as (select l_orderkey, position as start from s where position <= 60 union select l_orderkey, 0 from t union select l_orderkey, 60 from t), r as (select *, lead(start) over (partition by l_orderkey order by start) as \"end\" from p) select r.l_orderkey, r.start, r.\"end\", (select max_by(s.shape, s.position) from s where s.l_orderkey = r.l_orderkey and s.position <= r.start) as shape_id from r where r.\"end\" is not null")
+def _(spark, d):
+    rows = grid_cells(spark, d)
+    texts = rows.select("l_orderkey").distinct().withColumn("length", F.lit(60).cast("long"))
+    shapes = rows.select("l_orderkey", (F.col("l_partkey") % 70).alias("position"), F.col("l_suppkey").alias("shape_id"))
+    return sequence.style_segments(texts, shapes, "l_orderkey")
+
+
+@query("j14_segment_shapes", "with g as (select distinct l_orderkey, (l_partkey % 50)::bigint as start, (l_partkey % 50 + 20)::bigint as fin from " + _CELLS + "), s as (select l_orderkey, (l_suppkey % 70)::bigint as at, max(l_linenumber) as shape from " + _CELLS + " group by 1, 2) select l_orderkey, start, 0::bigint as position, shape as shape_id from (select g.l_orderkey, g.start, max_by(s.shape, s.at) as shape from g join s on s.l_orderkey = g.l_orderkey and s.at <= g.start group by 1, 2) union all select g.l_orderkey, g.start, s.at - g.start, s.shape from g join s on s.l_orderkey = g.l_orderkey and s.at > g.start and s.at < g.fin")
+def _(spark, d):
+    rows = grid_cells(spark, d)
+    start = F.col("l_partkey") % 50
+    segments = rows.select("l_orderkey", start.alias("start"), (start + 20).alias("end"))
+    shapes = rows.groupBy("l_orderkey", (F.col("l_suppkey") % 70).alias("at")).agg(F.max("l_linenumber").alias("shape_id"))
+    return intervals.shapes_in_segments(segments, shapes, "l_orderkey", 16)
+
+
+@query("j09_named_images", "select p_partkey, (i % 3)::int as index, case i % 3 when 0 then 'png' when 1 then 'bmp' else 'gif' end as extension from (select p_partkey, p_size % 5 as i from part) where i < 3")
+def _(spark, d):
+    images = table(spark, d, "part").select("p_partkey", F.lit("d").alias("doc"), F.concat(F.lit("image"), (F.col("p_size") % 5).cast("string")).alias("text"))
+    names = ["BinData/image0.png", "BinData/image1.bmp", "BinData/image2.gif", "Contents/image3.png"]
+    entries = spark.createDataFrame([("d", n, b"") for n in names], "doc string, name string, data binary")
+    return lookups.with_named_item(images, package.binary_items(entries)).select("p_partkey", "index", "extension")
+
+
+def _grid(spark, d):
+    """Cells of a table an order: two columns, rows by line number, some of two rows."""
+    n = F.col("l_linenumber") - 1
+    size = lambda c, k: (F.col(c) % k + 1).cast("double")
+    cell = grid_cells(spark, d).select("l_orderkey", F.floor(n / 2).cast("int").alias("row"), (n % 2).cast("int").alias("col"), F.when(F.col("l_partkey") % 4 == 0, 2).otherwise(1).alias("row_span"), size("l_partkey", 8).alias("width"), (F.col("l_suppkey") % 5).cast("double").alias("height"))
+    tables = cell.groupBy("l_orderkey").agg((F.max("row") + 1).alias("rows"), F.when(F.col("l_orderkey") % 3 > 0, (F.col("l_orderkey") % 40).cast("double")).alias("height"))
+    return cell, tables.withColumn("row_sizes", F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.when(r % 2 == 0, 720).otherwise(1)))
+
+
+_GRID = "c as (select l_orderkey, (l_linenumber - 1) // 2 as r, (l_linenumber - 1) % 2 as k, case when l_partkey % 4 = 0 then 2 else 1 end as s, (l_partkey % 8 + 1)::double as w, (l_suppkey % 5)::double as h from " + _CELLS + "), t as (select l_orderkey, max(r) + 1 as n, case when l_orderkey % 3 > 0 then (l_orderkey % 40)::double end as th from c group by l_orderkey), g as (select t.l_orderkey, t.n, t.th, x.r, case when x.r % 2 = 0 then 720 else 1 end as size from t, lateral (select unnest(range(t.n)) as r) x), m as (select g.*, (select max(c.h) from c where c.l_orderkey = g.l_orderkey and c.r = g.r and c.s = 1) as cell from g)"
+
+
+@query("a08_row_edges", f"with {_GRID}, e as (select l_orderkey, r, sum(coalesce(cell, case when th > 0 then th / n end, size / 7200.0 * 25.4)) over (partition by l_orderkey order by r) as y from m) select l_orderkey, count(*) + 1 as n, round(max(y), 6) as bottom, round(min(y), 6) as second from e group by l_orderkey")
+def _(spark, d):
+    cell, tables = _grid(spark, d)
+    edges = cells.row_edges(cell, tables, "l_orderkey")
+    return edges.select("l_orderkey", F.size("edges").cast("long").alias("n"), F.round(F.element_at("edges", -1), 6).alias("bottom"), F.round(F.element_at("edges", 2), 6).alias("second"))
+
+
+@query("f48_cell_boxes", f"with {_GRID}, hh as (select *, case when size >= 100 then greatest(coalesce(cell, 0), size / 7200.0 * 25.4) when coalesce(cell, 0) > 0 then cell else coalesce(th / n, 0) end as rh from m), b as (select c.*, coalesce((select sum(o.w) from c o where o.l_orderkey = c.l_orderkey and o.r = c.r and o.k < c.k), 0.0) as x, coalesce((select sum(rh) from hh where hh.l_orderkey = c.l_orderkey and hh.r < c.r), 0.0) as y, coalesce((select sum(rh) from hh where hh.l_orderkey = c.l_orderkey and hh.r >= c.r and hh.r < c.r + c.s), 0.0) as z from c) select l_orderkey, r::int as \"row\", k::int as col, x::double as \"left\", round(y, 6)::double as top, round(case when z < 0.1 and h > 0.1 then h else z end, 6)::double as high from b")
+def _(spark, d):
+    cell, tables = _grid(spark, d)
+    return cells.cell_boxes(cell, tables, "l_orderkey").select("l_orderkey", "row", "col", "left", F.round("top", 6).alias("top"), F.round("high", 6).alias("high"))
+
+
+@query("r31_table_sizes", f"with {_GRID}, q as (select l_orderkey, sum(coalesce(cell, case when th > 0 then th / n end, size / 7200.0 * 25.4)) as rows_mm, any_value(th) as th from m group by l_orderkey), w as (select l_orderkey, sum(w) as wide from c where r = 0 group by l_orderkey), z as (select l_orderkey, coalesce(wide, 0) as wide, case when th is null or rows_mm > th * 1.1 then rows_mm else th end as high from q left join w using (l_orderkey)) select l_orderkey, floor(wide * 100 + 0.5) / 100 as content_width, floor(high * 100 + 0.5) / 100 as content_height from z")
+def _(spark, d):
+    cell, tables = _grid(spark, d)
+    return cells.content_sizes(cell, tables, "l_orderkey")
+
+
+@query("j19_segment_lines", "with b as (select l_orderkey, (l_linenumber - 1) // 3 as r, (l_linenumber - 1) % 3 as k, case when l_partkey % 6 = 0 then null else l_returnflag || l_linenumber end as f from " + _CELLS + "), g as (select distinct l_orderkey, (x * 10)::double as x, (y * 10)::double as y0, (y * 10 + 10)::double as y1 from b, lateral (select unnest(range(4)) as x), lateral (select unnest(range(3)) as y)) select g.l_orderkey, g.x, g.y0, g.y1, coalesce((select min_by(f, (r, k)) from b where b.l_orderkey = g.l_orderkey and b.k * 10 + 10 = g.x and b.r * 10 = g.y0 and f is not null), (select min_by(f, (r, k)) from b where b.l_orderkey = g.l_orderkey and b.k * 10 = g.x and b.r * 10 = g.y0 and f is not null)) as line from g")
+def _(spark, d):
+    n = F.col("l_linenumber") - 1
+    r, k = F.floor(n / 3), n % 3
+    line = F.when(F.col("l_partkey") % 6 > 0, F.concat("l_returnflag", F.col("l_linenumber").cast("string")))
+    at = lambda c, more=0: (c * 10 + more).cast("double")
+    boxes = grid_cells(spark, d).select("l_orderkey", r.alias("row"), k.alias("col"), at(k).alias("begin"), at(k, 10).alias("end"), at(r).alias("from"), at(r, 10).alias("to"), line.alias("left"), line.alias("right"))
+    segments = boxes.select("l_orderkey").distinct().withColumn("x", F.explode(F.array(*[F.lit(10.0 * i) for i in range(4)]))).withColumn("y0", F.explode(F.array(*[F.lit(10.0 * i) for i in range(3)]))).withColumn("y1", F.col("y0") + 10)
+    return cells.segment_lines(segments, boxes, "l_orderkey", "right", "left")
+
+
+@query("a09_line_heights", "select l_orderkey, sum(l_partkey)::bigint as height from " + _CELLS + " group by l_orderkey")
+def _(spark, d):
+    rows = grid_cells(spark, d).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("line_height"))).alias("segments"))
+    return rows.select("l_orderkey", cells.line_height(F.col("segments")).alias("height"))
+
+
+@query("a13_first_page_def", "select o_custkey, min_by(o_orderpriority, o_orderkey) as paper, min(o_orderkey) as first from orders group by o_custkey")
+def _(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("paper"), F.col("o_orderkey").alias("first"))
+    return lookups.first_row(rows, "o_custkey", "o_orderkey", ["paper", "first"])
+
+
+@query("p08_blocks", "select p_partkey, p_size % 4 <> 3 as block from part")
+def _(spark, d):
+    part = F.when(F.col("p_size") % 4 == 0, media.image_markdown(F.lit("x"))).when(F.col("p_size") % 4 == 1, F.lit("| a |")).when(F.col("p_size") % 4 == 2, F.lit("---")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", text.is_block(part).alias("block"))
+
+
+@query("p07_controls", "select p_partkey, p_size % 6 < 4 as shown, case p_size % 6 when 0 then case when p_partkey % 2 = 0 then '' else '**표**: ' || p_name || chr(10) || chr(10) || '*[표 내용은 추출되지 않았습니다]*' end when 1 then '' when 2 then '## 머리말' when 3 then '## 꼬리말' when 4 then '## 각주' else '' end as placeholder from part")
+def _(spark, d):
+    names = F.array(*[F.lit(n) for n in ("tbl ", "gso ", "head", "foot", "fn  ", "pgnp")])
+    ident = F.get(names, F.col("p_size") % 6)
+    return table(spark, d, "part").select("p_partkey", text.shows_control(ident).alias("shown"), text.control_placeholder(ident, F.concat(F.lit(" "), "p_name"), F.col("p_partkey") % 2 == 0).alias("placeholder"))
+
+
+@query("p09_plausible_cells", "select l_orderkey, l_linenumber, l_partkey % 4 < 3 and l_suppkey % 3 < 2 and l_partkey % 5 <> 0 and l_suppkey % 7 <> 0 as plausible from " + _CELLS)
+def _(spark, d):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    return grid_cells(spark, d).select("l_orderkey", "l_linenumber", cells.plausible(p % 4, s % 3, p % 5, s % 7, F.lit(3), F.lit(2)).alias("plausible"))
+
+
+@query("f10_byte_index", "select doc_id, ord, case when ord % 7 < length(line) then strlen(substr(line, 1, (ord % 7)::int))::bigint end as at from (" + _LINES + ")")
+def _(spark, d):
+    return lines(spark, d).select("doc_id", "ord", text.byte_index("line", F.col("ord") % 7).alias("at"))
+
+
+_PLACES = ["none", "top_left", "top_center", "top_right", "bottom_left", "bottom_center", "bottom_right", "outside_top"]
+
+
+@query("f49_page_number_place", "select p_partkey, case p_size % 8 when 0 then null when 1 then 12.7 when 3 then 101.6 when 4 then 12.7 when 6 then 101.6 else 63.5 end::double as x, case p_size % 8 when 0 then null when 1 then 50.8 when 2 then 50.8 when 3 then 50.8 else 190.5 end::double as y from part")
+def _(spark, d):
+    u = lambda inches: F.lit(int(inches * 7200))
+    position = F.get(F.array(*[F.lit(n) for n in _PLACES]), F.col("p_size") % 8)
+    x, y = units.page_number_place(position, u(5), u(8), u(0.25), u(0.75), u(2), u(0.5), u(0.25))
+    return table(spark, d, "part").select("p_partkey", x.alias("x"), y.alias("y"))

@@ -114,3 +114,37 @@ def no_nul(s: Column | str) -> Column:
 def blank_format(s: Column | str) -> Column:
     """Whether an outline format is only NULs; an empty one is not."""
     return (F.length(_c(s)) > 0) & (no_nul(s) == "")
+
+
+# Beginnings of parts that stand alone, controls that Markdown shows, and what stands for those that it can't.
+BLOCKS = ("![이미지]", "|", "---")
+SHOWN_CONTROLS = ("tbl ", "gso ", "head", "foot")
+PLACEHOLDERS = {"head": "## 머리말", "foot": "## 꼬리말", "fn  ": "## 각주", "en  ": "## 미주"}
+TABLE_LABEL, TABLE_MISSING = "**표**", "\n\n*[표 내용은 추출되지 않았습니다]*"
+
+
+def is_block(part: Column | str) -> Column:
+    """Whether a part of a paragraph stands alone: an image, a table or a rule."""
+    part = _c(part)
+    return part.startswith(BLOCKS[0]) | part.startswith(BLOCKS[1]) | part.startswith(BLOCKS[2])
+
+
+def shows_control(ident: Column | str) -> Column:
+    """Whether Markdown renders a control of this identifier itself."""
+    return _c(ident).isin(*SHOWN_CONTROLS)
+
+
+def control_placeholder(ident: Column | str, description: Column | str, has_table: Column) -> Column:
+    """What stands for a control in Markdown: a title for headers, footers and notes, a note for a table that was not read; else nothing."""
+    ident, about = _c(ident), trim(_c(description))
+    label = F.concat(F.lit(TABLE_LABEL), F.when(F.coalesce(about, F.lit("")) != "", F.concat(F.lit(": "), about)).otherwise(F.lit("")), F.lit(TABLE_MISSING))
+    out = F.when(ident == "tbl ", F.when(has_table, F.lit("")).otherwise(label))
+    for known, title in PLACEHOLDERS.items():
+        out = out.when(ident == known, F.lit(title))
+    return out.otherwise(F.lit(""))
+
+
+def byte_index(s: Column | str, index: Column | str) -> Column:
+    """Where the character at an index (from 0) begins among the text's UTF-8 bytes; null beyond the last one."""
+    s, index = _c(s), _c(index).cast("int")
+    return F.when(index < F.length(s), F.octet_length(F.substring(s, F.lit(1), index)).cast("long"))

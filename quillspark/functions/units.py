@@ -99,3 +99,22 @@ def view_box(width: Column | str, height: Column | str, padding: float = 2.5) ->
     """SVG view box around a table of this size in mm."""
     parts = [F.lit(-padding), F.lit(-padding), _c(width) + 2 * padding, _c(height) + 2 * padding]
     return F.concat_ws(" ", *[number_text(p) for p in parts])
+
+
+#: Where a page number stands if the page is unknown.
+PLACE_DEFAULTS = {"width": 210.0, "height": 297.0, "left": 20.0, "right": 190.0, "top": 10.0, "below": 10.0}
+
+
+def page_number_place(position: Column, width: Column, height: Column, left: Column, right: Column, top: Column, bottom: Column, binding: Column) -> tuple[Column, Column]:
+    """(left, top) in mm of a page's number, by its position and the page's lengths in units (nulls: an unknown page). Positions that
+    change from page to page stand in the bottom centre."""
+    d, known = PLACE_DEFAULTS, height.isNotNull()
+    wide, high = F.coalesce(round2(to_mm(width)), F.lit(d["width"])), F.coalesce(round2(to_mm(height)), F.lit(d["height"]))
+    at_left = F.when(known, round2(to_mm(left) + to_mm(binding))).otherwise(F.lit(d["left"]))
+    at_right = F.when(known, round2(wide - to_mm(right) - to_mm(binding))).otherwise(F.lit(d["right"]))
+    above = F.when(known, round2(to_mm(top))).otherwise(F.lit(d["top"]))
+    below = F.when(known, round2(high - to_mm(bottom))).otherwise(round2(high - d["below"]))
+    x = F.when(position.isin("top_left", "bottom_left"), at_left).when(position.isin("top_right", "bottom_right"), at_right).otherwise(round2(wide / 2.0))
+    y = F.when(position.isin("top_left", "top_center", "top_right"), above).otherwise(below)
+    none = position == "none"
+    return F.when(~none, x), F.when(~none, y)

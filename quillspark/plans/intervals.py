@@ -47,14 +47,26 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: str | lis
 def last_zone(cells: DataFrame, zones: DataFrame, key: str, cell_id: list[str], row: str, column: str) -> DataFrame:
     """Adds ``zone_fill`` to cells: the fill of the last zone (by ``zone_ord``) with fill not 0 that covers (row, column), else null.
 
-    zones: key, zone_ord, start_row, end_row, start_col, end_col (inclusive), fill.
+    zones: key, zone_ord, start_row, end_row, start_col, end_col (inclusive), fill. A zone is entered in each of its rows, so the join
+    is an equality on (key, row) with the columns as a filter.
     """
-    used = zones.where("fill <> 0").withColumnRenamed(key, "_zone_key")
-    hit = (F.col("_zone_key") == F.col(key)) & F.col(row).between(F.col("start_row"), F.col("end_row")) & F.col(column).between(F.col("start_col"), F.col("end_col"))
+    used = zones.where("fill <> 0 and start_row <= end_row").select(F.col(key).alias("_key"), "zone_ord", "fill", "start_col", "end_col", F.explode(F.sequence("start_row", "end_row")).alias("_row"))
+    hit = (F.col("_key") == F.col(key)) & (F.col("_row") == F.col(row)) & F.col(column).between(F.col("start_col"), F.col("end_col"))
     found = cells.select(key, *cell_id, row, column).distinct().join(used, hit).groupBy(key, *cell_id).agg(F.max_by("fill", "zone_ord").alias("zone_fill"))
     return cells.join(found, [key, *cell_id], "left")
 
 
+def shapes_in_segments(segments: DataFrame, shapes: DataFrame, keys: str | list[str], width: int = 64) -> DataFrame:
+    """Styles of a line: keys, ``start``, ``position`` (from the line's start on), ``shape_id``. segments: keys, ``start``, ``end``; shapes:
+    keys, ``at``, ``shape_id``. The style that holds at the start stands at 0, if there is one, then those that change inside."""
+    names = _names(keys)
+    lines = segments.select(*names, "start", "end").distinct()
+    inside = points_in_intervals(shapes.select(*names, "at", "shape_id"), lines, names, "at", "start", "end", width).where("at > start")
+    inside = inside.select(*names, "start", (F.col("at") - F.col("start")).cast("long").alias("position"), "shape_id")
+    carried = as_of(lines.select(*names, F.col("start").alias("at")), shapes.select(*names, "at", "shape_id"), names, "at", "shape_id").where("shape_id is not null")
+    return carried.select(*names, F.col("at").alias("start"), F.lit(0).cast("long").alias("position"), "shape_id").unionByName(inside)
+
+
 def covered_cells(cells: DataFrame, key: str, row: str, column: str, row_span: str, column_span: str) -> DataFrame:
     """Cells whose own place no cell before them, in (row, column) order, claims by its span. Spans are cut into grid places, so
     each place finds its first owner by one aggregation. Claims of hidden cells count, as spans of one table don't overlap."""

@@ -94,9 +94,31 @@ def pages(df: DataFrame, keys: str | list[str], order: str, vertical: str, expli
 
 
 def segment_ends(df: DataFrame, keys: str | list[str], start: str, length: Column) -> DataFrame:
-    """Adds ``end``: the next larger start, else the length of the text; equal starts end together."""
-    w = Window.partitionBy(*_names(keys)).orderBy(start).rangeBetween(1, Window.unboundedFollowing)
-    return df.withColumn("end", F.coalesce(F.min(start).over(w), length))
+    """Adds ``end``: the next larger start, else the length of the text; equal starts end together. Starts are distinct before the next
+    one is looked up, so no window holds more than a row."""
+    names = _names(keys)
+    starts = df.select(*names, start).distinct()
+    ends = starts.withColumn("_end", F.lead(start).over(Window.partitionBy(*names).orderBy(start)))
+    return df.join(ends, [*names, start], "left").withColumn("end", F.coalesce("_end", length)).drop("_end")
+
+
+def style_segments(texts: DataFrame, shapes: DataFrame, key: str = "doc") -> DataFrame:
+    """key, ``start``, ``end``, ``shape_id``: a text cut where its style changes. texts: key, ``length``; shapes: key, ``position``,
+    ``shape_id``; positions beyond the end cut nothing, and text before the first position has no style."""
+    cuts = shapes.join(texts, key).where(F.col("position").between(F.lit(0), F.col("length"))).select(key, F.col("position").alias("start"))
+    ends = texts.select(key, F.explode(F.array(F.lit(0).cast("long"), F.col("length").cast("long"))).alias("start"))
+    places = cuts.select(key, F.col("start").cast("long").alias("start")).union(ends).distinct()
+    w = Window.partitionBy(key).orderBy("start")
+    runs = places.withColumn("end", F.lead("start").over(w)).where("end is not null")
+    last = shapes.groupBy(key, F.col("position").cast("long").alias("start")).agg(F.max("shape_id").alias("_shape"))
+    both = runs.join(last, [key, "start"], "left")
+    return both.withColumn("shape_id", F.last("_shape", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_shape")
+
+
+def overflows(df: DataFrame, keys: str | list[str], order: str, top: str, bottom: Column, content_height: float) -> DataFrame:
+    """Adds ``overflow``: a box that ends below the page's content, unless it is the first thing on it."""
+    most = F.coalesce(F.max(top).over(_before(_names(keys), order)), F.lit(0.0))
+    return df.withColumn("overflow", F.coalesce((bottom > content_height) & (most > 0), F.lit(False)))
 
 
 def column_addresses(df: DataFrame, keys: str | list[str], order: str, span: str, explicit: str) -> DataFrame:
