@@ -9,7 +9,7 @@ from quillspark.functions import media, numbers
 from quillspark.functions import text as T
 from quillspark.operators import render
 from quillspark.plans import sequence
-from quillspark.sources import compound, package, records
+from quillspark.sources import compound, package, records, summary
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -21,6 +21,25 @@ def formats(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("doc"), media.sniff("content").alias("format"))
 
 
+def headers(files: DataFrame) -> DataFrame:
+    """The file headers alone: of a compound file no other stream is put together."""
+    return records.file_headers(compound.streams(files, "FileHeader"))
+
+
+def summaries(files: DataFrame) -> DataFrame:
+    """The summaries alone, likewise."""
+    return summary.summaries(compound.streams(files, ".*SummaryInformation"))
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """doc, ``name`` (of a stream or an entry, else null), ``error`` of all that could not be read: files of unknown format, broken
+    containers, sections that do not inflate, entries that are damaged."""
+    unknown = files.where(media.sniff("content") == "unknown").select(F.col("path").alias("doc"), F.lit(None).cast("string").alias("name"), F.lit("unknown format").alias("error"))
+    rows = compound.streams(files, "DocInfo|(Root Entry/)?BodyText/Section[0-9]+")
+    bad = compound.inflated(rows).where("error is not null").select("doc", "name", "error")
+    return unknown.union(bad).union(package.entries(files).where("error is not null").select("doc", "name", "error"))
+
+
 def text_of_runs(runs: F.Column) -> F.Column:
     """Cleaned text of a paragraph: runs of text, and the characters that stand for controls, without breaks."""
     shown = F.transform(runs, lambda r: F.when(r["kind"] == "text", r["text"]).when(r["code"].isin(9, 24, 30, 31), T.control_text(r["code"])).otherwise(F.lit("")))
@@ -28,13 +47,15 @@ def text_of_runs(runs: F.Column) -> F.Column:
 
 
 def binary_paragraphs(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """doc, section, seq, text, top of the paragraphs of compound documents, in record order."""
-    framed = records.tree(records.records(records.sections(compound.streams(files))))
-    texts = records.typed(framed.withColumn("section", F.regexp_extract("stream", "([0-9]+)$", 1).cast("int")), "para_text")
-    headers = framed.where(F.col("tag") == 66).select("doc", "stream", F.col("seq").alias("_above"), F.col("level").alias("depth"))
-    places = framed.where(F.col("tag") == 67).select("doc", "stream", "seq", F.col("parent").alias("_above"))
-    rows = texts.join(places, ["doc", "stream", "seq"]).join(headers, ["doc", "stream", "_above"], "left")
-    return rows.where("error is null").select("doc", "section", "seq", text_of_runs(F.col("runs")).alias("text"), (F.coalesce("depth", F.lit(0)) == 0).alias("top"))
+    """doc, section, seq, text, top of the paragraphs of compound documents, in record order; sections beyond the number that a document
+    says it has don't count. Containers are read once for the texts and once for that number."""
+    areas = records.area_counts(records.records(compound.inflated(compound.streams(files, "DocInfo"))))
+    body = compound.streams(files, "(Root Entry/)?BodyText/Section[0-9]+")
+    framed = records.tree(records.records(records.sections(body, areas)))
+    # a text's own level says whether its paragraph is at the top: one below the header's
+    top = framed.where("tag = 67").withColumn("top", F.col("level") <= 1)
+    texts = records.typed(top.withColumn("section", F.regexp_extract("stream", "([0-9]+)$", 1).cast("int")), "para_text")
+    return texts.where("error is null").select("doc", "section", "seq", text_of_runs(F.col("runs")).alias("text"), "top")
 
 
 def package_paragraphs(files: DataFrame) -> DataFrame:
@@ -56,7 +77,7 @@ def plain_texts(spark: SparkSession, files: DataFrame, deep: bool = False) -> Da
 
 def markdowns(spark: SparkSession, files: DataFrame) -> DataFrame:
     """doc, ``markdown`` of the body's paragraphs in the Markdown shell with the version."""
-    versions = records.file_headers(compound.streams(files)).select("doc", "version").union(package.header_version(package.entries(files)))
+    versions = headers(files).select("doc", "version").union(package.header_version(package.entries(files)))
     rows = paragraphs(spark, files).where("top").where(T.meaningful("text"))
     rows = rows.select("doc", F.lit("body").alias("part"), F.struct("section", "seq").alias("ord"), T.trim("text").alias("line")).join(versions, "doc")
     return render.markdown(rows, "doc", version=numbers.version("version", padded=True))

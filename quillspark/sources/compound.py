@@ -6,6 +6,7 @@ followed with a bound, so a broken or hostile file ends in an error of its own a
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ def _chain(table: list[int], first: int) -> Iterator[int]:
         first, seen = table[first], seen + 1
 
 
-def read_compound(data: bytes) -> dict[str, bytes]:
-    """Streams by path (``/`` between storages, without the root)."""
+def read_compound(data: bytes, wanted: str | None = None) -> dict[str, bytes]:
+    """Streams by path (``/`` between storages, without the root). wanted: a pattern of paths; others are not put together."""
     if len(data) < 512 or data[:8] != MAGIC:
         raise CompoundError("not a compound file")
     sector, mini = 1 << struct.unpack_from("<H", data, 30)[0], 1 << struct.unpack_from("<H", data, 32)[0]
@@ -87,7 +88,7 @@ def read_compound(data: bytes) -> dict[str, bytes]:
         todo += [(left, path), (right, path)]
         if kind == 1:
             todo.append((child, f"{path}{name}/"))
-        elif kind == 2:
+        elif kind == 2 and (wanted is None or re.fullmatch(wanted, path + name)):
             if length < cutoff:
                 body = b"".join(small[x * mini : (x + 1) * mini] for x in _chain(mini_fat, first)) if length else b""
             else:
@@ -117,9 +118,9 @@ def is_compressed(header: bytes | None) -> bool:
     return len(header or b"") < 40 or bool(header[36] & 1)
 
 
-def streams(files: DataFrame) -> DataFrame:
+def streams(files: DataFrame, wanted: str | None = None) -> DataFrame:
     """files: ``path``, ``content`` (as the binaryFile source gives). One row a stream: ``doc``, ``name``, ``data``, ``error``,
-    ``compressed`` (what the document's header says).
+    ``compressed`` (what the document's header says). wanted: a pattern of names, so that others are not read.
 
     Files that are no compound files are left out; one that is broken gives one row with an error. Null content is left out.
     """
@@ -128,9 +129,9 @@ def streams(files: DataFrame) -> DataFrame:
         for batch in source:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    found = read_compound(content.as_py())
+                    found = read_compound(content.as_py(), f"FileHeader|{wanted}" if wanted else None)
                     packed = is_compressed(found.get("FileHeader"))
-                    rows = [(path, k, v, None, packed) for k, v in found.items()]
+                    rows = [(path, k, v, None, packed) for k, v in found.items() if not wanted or re.fullmatch(wanted, k)]
                 except (CompoundError, struct.error) as e:
                     rows = [(path, None, None, str(e), None)]
                 cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]

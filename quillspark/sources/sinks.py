@@ -35,6 +35,17 @@ def export_images(items: DataFrame, folder: str) -> int:
     return n
 
 
+def preview_rows(previews: DataFrame) -> DataFrame:
+    """previews: streams.preview_images(). ``doc``, ``file`` (preview.bmp, .gif or .bin by format), ``data``."""
+    ending = F.when(F.col("format") == "BMP", "bmp").when(F.col("format") == "GIF", "gif").otherwise("bin")
+    return previews.select("doc", F.concat(F.lit("preview."), ending).alias("file"), F.unbase64("image").alias("data"))
+
+
+def write_previews(previews: DataFrame, target: str) -> None:
+    """Preview images as Parquet rows of doc, file, data, in the tasks that read them; the same call again replaces them."""
+    preview_rows(previews).write.mode("overwrite").parquet(target)
+
+
 def write_texts(texts: DataFrame, column: str, target: str) -> None:
     """One text a document, as a Parquet table of doc and text."""
     texts.select("doc", F.col(column).alias("text")).write.mode("overwrite").parquet(target)
