@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillspark import catalog, catalog_binary, catalog_containers, catalog_more, catalog_records  # noqa: F401
+from quillspark import catalog, catalog_assembly, catalog_binary, catalog_containers, catalog_more, catalog_records  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
