@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.catalog import query, table
-from quillspark.operators import assembly, render
+from quillspark.operators import assembly, html, render
 from quillspark.sources import writers
 from quillspark.sources.batches import bounded
 
@@ -155,3 +155,77 @@ def _(spark, d):
     rows = assembly.paragraph_json(files(spark, d))
     tables = F.regexp_extract("json", '"ctrl_id":"(tbl )"', 1)
     return rows.select(F.col("doc").cast("long").alias("doc_id"), F.json_array_length(F.get_json_object("json", "$[0]")).cast("long").alias("paragraphs"), F.get_json_object("json", "$[0][1].records[0].runs[0].text").alias("first"), tables.alias("control"))
+
+
+# ---------------------------------------------------------------- pages of lines
+
+
+def lined_file(doc: int, text: str, lang: str, source: str) -> bytes:
+    """A document whose paragraphs are lines of the text, each in two line segments of half of it; a page holds ten paragraphs."""
+    body = b""
+    for k, line in enumerate(text.split("\n")):
+        half = len(line) // 2
+        top = k % 10 * 7200
+        segment = lambda start, y, tag: struct.pack("<IiiiiiiiI", start, y, 720, 720, 720, 0, 360, 3600, tag)
+        segments = writers.record(69, 1, segment(0, top, 0) + segment(half, top + 1440, 1 << 20))
+        styled = writers.record(68, 1, struct.pack("<4I", 0, 0, half, 1))
+        head = struct.pack("<IIHBBHHHI", len(line) + 1, 0, 0, 0, 0, 2, 0, 2, 0)
+        body += writers.record(66, 0, head) + writers.record(67, 1, _units(line)) + styled + segments
+    info = writers.record(16, 0, struct.pack("<7H3I", 1, 1, 1, 1, 1, 1, 1, 0, 0, 0)) + writers.record(19, 1, b"\0" + writers.string(source)) + _style(0) + _style(1) + _shape(1 << 2)
+    return writers.compound({"FileHeader": writers.file_header(0x05010000, 1), "DocInfo": writers.deflate(info), "BodyText/Section0": writers.deflate(body)})
+
+
+def lined_files(spark: SparkSession, d: str) -> DataFrame:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for doc, text, lang, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([str(doc)]), pa.array([lined_file(doc, text or "", lang or "", of or "")], pa.binary())], names=["path", "content"])
+
+    bounded(spark)
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source").mapInArrow(run, "path string, content binary")
+
+
+_X = f"(select doc_id, source, unnest(string_split(text, {_N})) as x, unnest(range(len(string_split(text, {_N})))) as o from documents)"
+
+
+@query("r23_lines", f"select doc_id, o::bigint as paragraph, 0::bigint as line, substr(x, 1, length(x) // 2) as shown from {_X} where trim(substr(x, 1, length(x) // 2)) <> '' union all select doc_id, o, 1, substr(x, length(x) // 2 + 1) from {_X} where trim(substr(x, length(x) // 2 + 1)) <> ''")
+def _(spark, d):
+    rows = assembly.lines(lined_files(spark, d)).where("size(runs) > 0")
+    shown = F.array_join(F.transform("runs", lambda r: r["text"]), "")
+    return rows.select(F.col("doc").cast("long").alias("doc_id"), F.col("paragraph").cast("long").alias("paragraph"), F.col("line").cast("long").alias("line"), shown.alias("shown"))
+
+
+@query("r24_boxes_of_lines", f"select doc_id, o::bigint as paragraph, '<div class=\"hls ps0\" style=\"line-height:2.54mm;white-space:nowrap;left:1.27mm;top:' || format('{{:.2f}}', (o % 10) * 25.4 + 5.08) || 'mm;height:2.54mm;width:12.70mm;padding-left:0.00mm;\"><span class=\"hrt cs1\" style=\"font-size:10pt;color:rgb(0,0,0);\"><em>' || regexp_replace(regexp_replace(substr(x, length(x) // 2 + 1), '^ ', '&nbsp;'), ' $', '&nbsp;') || '</em></span></div>' as box from {_X} where trim(substr(x, length(x) // 2 + 1)) <> ''")
+def _(spark, d):
+    rows = html.line_boxes(assembly.lines(lined_files(spark, d))).where("line = 1 and size(runs) > 0")
+    return rows.select(F.col("doc").cast("long").alias("doc_id"), F.col("paragraph").cast("long").alias("paragraph"), "box")
+
+
+@query("r21_html_pages", f"select doc_id, ((max(o) + 10) // 10)::bigint as pages, (2 * count(*))::bigint as lines, 1::bigint as heads from {_X} group by doc_id")
+def _(spark, d):
+    rows = html.documents(lined_files(spark, d))
+    count = lambda t: F.regexp_count("html", F.lit(t)).cast("long")
+    return rows.select(F.col("doc").cast("long").alias("doc_id"), count('<div class="hpa"').alias("pages"), count('<div class="hls ps0"').alias("lines"), count("<!DOCTYPE html>").alias("heads"))
+
+
+_RULE = "  font-size:10pt;color:rgb(0,0,0);font-family:\"' || source || '\";"
+
+
+@query("r20_style_sheets", f"select doc_id, '.cs0 {{{{' || {_N} || '{_RULE}' || {_N} || '}}}}' || {_N} || '.cs1 {{{{' || {_N} || '{_RULE}font-style:italic;' || {_N} || '}}}}' || {_N} || '.ps0 {{{{' || {_N} || '  text-align:left;' || {_N} || '}}}}' || {_N} as own, 57::bigint as fixed, '.hcc {{{{margin:0;padding:0;position:absolute;}}}}' as one from documents".replace("{{", "{").replace("}}", "}"))
+def _(spark, d):
+    rows = html.style_sheets(assembly.styles(lined_files(spark, d)))
+    fixed = F.substring_index("css", ".cs0 {", 1)
+    own = F.substring_index(F.concat(F.lit(".cs0 {"), F.substring_index("css", ".cs0 {", -1)), "@media", 1)
+    return rows.select(F.col("doc").cast("long").alias("doc_id"), own.alias("own"), F.regexp_count(fixed, F.lit("\n")).cast("long").alias("fixed"), F.regexp_extract("css", r"(\.hcc \{.*?\})", 1).alias("one"))
+
+
+@query("r27_shape_images", "select doc_id, 'images/BIN0001.png' as url, false as inline from documents")
+def _(spark, d):
+    rows = assembly.lines(files(spark, d)).where("image is not null")
+    return rows.select(F.col("doc").cast("long").alias("doc_id"), "image.url", "image.inline")
+
+
+@query("r26_html_controls", "select p_partkey, p_size % 4 < 2 as shown from part")
+def _(spark, d):
+    ident = F.get(F.array(*[F.lit(n) for n in ("tbl ", "gso ", "secd", "fn  ")]), F.col("p_size") % 4)
+    return table(spark, d, "part").select("p_partkey", html.shows_control(ident).alias("shown"))

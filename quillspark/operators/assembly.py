@@ -24,7 +24,7 @@ from quillspark.sources import compound, records
 from quillspark.sources.batches import bounded
 from quillspark.sources.layouts import CONTROL_LAYOUTS, DOC_LEVELS, DOC_TAGS, FIRST, LAYOUTS, RecordError, utf16
 
-PARA, TEXT, SHAPES, CONTROL, LIST, COMPONENT, TABLE, PICTURE, FOOTNOTE_SHAPE = 66, 67, 68, 71, 72, 76, 77, 85, 74
+PARA, TEXT, SHAPES, SEGMENTS, CONTROL, LIST, PAGE, FOOTNOTE_SHAPE, COMPONENT, TABLE, PICTURE = 66, 67, 68, 69, 71, 72, 73, 74, 76, 77, 85
 _BREAKS, _SHOWN = (10, 13), {9: "\t", 24: "-", 30: " ", 31: " "}
 _NOTES = ("head", "foot", "fn  ", "en  ")
 #: Bits of a paragraph's mask that say that it carries headers and footers, or notes.
@@ -90,7 +90,7 @@ class Document:
             raise RecordError("unknown signature")
         self.version = struct.unpack_from("<I", header, 32)[0]
         self.packed, self.folder, self.found = compound.is_compressed(header), folder, found
-        self.dictionaries: dict[str, list[dict]] = {k: [] for k in ("document_properties", "char_shape", "para_shape", "style", "numbering", "bin_data")}
+        self.dictionaries: dict[str, list[dict]] = {k: [] for k in ("document_properties", "face_name", "char_shape", "para_shape", "style", "numbering", "bin_data")}
         by_tag = {FIRST + DOC_TAGS[k]: k for k in self.dictionaries}
         for tag, level, payload in records.frame(self.open("DocInfo")):
             kind = by_tag.get(tag)
@@ -379,6 +379,89 @@ class Document:
                         out["footnotes" if ident == "fn  " else "endnotes"] += [x for x in (self.paragraph(p, True) for p in control.of(PARA)) if x]
         return out
 
+    # ------------------------------------------------------------ lines of a page
+
+    def lines(self) -> Iterator[tuple]:
+        """Rows of ``LINES`` after the document's columns: each line of each paragraph of the body, and objects that stand by themselves."""
+        ordinal = 0
+        for section, root in enumerate(self.sections()):
+            for node in root.of(PARA):
+                head = LAYOUTS["para_header"].decode(node.data)
+                segments = [records.SPECIAL["para_line_seg"][1](n.data)["segments"] for n in node.of(SEGMENTS)][:1]
+                first = segments[0][0]["vertical"] if segments and segments[0] else None
+                shape = self.entry("para_shape", head["para_shape_id"])
+                named = f"ps{head['para_shape_id']}" if shape else ""
+                common = (section, ordinal, first, bool(head["divide_section"] or head["divide_page"]), named, bool(shape and shape["line_grid"]), shape["outdent"] if shape else None)
+                ordinal += 1
+                if head["control_mask"] & _CARRIES:
+                    continue
+                images = [i for c in node.children for i in self._placed_images(c)]
+                inline = [i for i in images if i["inline"]]
+                empty = 0
+                for k, (segment, runs, blank) in enumerate(self._segments(node, head, segments[0] if segments else [])):
+                    hollow = bool(segment["tag"] & 1 << 16)
+                    image = inline[empty] if (hollow or blank) and empty < len(inline) else None
+                    empty += hollow
+                    yield (*common, k, {**segment, "indented": bool(segment["tag"] & 1 << 20)}, [] if image or blank else runs, image)
+                for k, image in enumerate(i for i in images if not i["inline"]):
+                    yield (*common, 1000 + k, None, [], image)
+
+    def _segments(self, node: Node, head: dict, segments: list[dict]) -> Iterator[tuple[dict, list[dict], bool]]:
+        """(line, its text in runs of one style, whether it is blank). Places count all units of the text as stored; a control takes as
+        many as it has, and shows one character or none."""
+        text = "".join(self.text(n)[0] for n in node.of(TEXT))
+        controls = [(r["position"], (r["code"] in _SHOWN) - r["size"]) for n in node.of(TEXT)[:1] for r in records.text_runs(n.data) if r["kind"] == "control"]
+        shapes = sorted(((p, s) for n in node.of(SHAPES) for p, s in struct.iter_unpack("<II", n.data)), key=lambda x: x[0])
+        at = lambda p: max(0, p + sum(d for q, d in controls if q < p))
+        for segment in segments:
+            start = segment["text_start"]
+            end = next((s["text_start"] for s in segments if s["text_start"] > start), head["text_char_count"])
+            part = text[at(start) : at(end)]
+            inside = [(p - start, s) for p, s in shapes if start <= p < end]
+            if not any(p == 0 for p, _ in inside):
+                inside = [(0, s) for p, s in shapes if p < start][-1:] + inside
+            cuts = sorted({0, len(part), *(p for p, _ in inside if p <= len(part))})
+            runs = []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                held = [s for p, s in inside if p <= low][-1:]
+                shape = self.entry("char_shape", held[0]) if held else None
+                flags = {n: bool(shape[n]) for n in ("italic", "strikethrough", "superscript", "subscript")} | {"underline": shape["underline_type"] > 0} if shape else {}
+                runs.append({"text": part[low:high], "style": held[0] if shape else None, "size": shape["base_size"] if shape else None, "color": shape["text_color"] if shape else None, **flags})
+            yield segment, runs, not part.strip()
+
+    def _placed_images(self, node: Node) -> list[dict]:
+        """Images of a paragraph's record with their size; those of a shape that behaves like a letter stand in the line."""
+        if node.tag == COMPONENT:
+            size = records.SPECIAL["shape_component"][1](node.data)
+            return self._sized(node.children, size, False, 0, 0)
+        if node.tag != CONTROL or node.ident() != "gso ":
+            return []
+        about = CONTROL_LAYOUTS["object_common"].decode(node.data[4:])
+        out = []
+        for component in node.of(COMPONENT):
+            size = records.SPECIAL["shape_component"][1](component.data)
+            out += self._sized([component], size, about["like_letters"], about["offset_x"], about["offset_y"])
+        return out
+
+    def _sized(self, nodes: list[Node], size: dict, inline: bool, x: int, y: int) -> list[dict]:
+        out = []
+        for node in nodes:
+            if node.tag == COMPONENT:
+                out += self._sized(node.children, records.SPECIAL["shape_component"][1](node.data), inline, x, y)
+            elif node.tag == PICTURE and (shown := self.image(LAYOUTS["picture"].decode(node.data)["bindata_id"])):
+                out.append({"url": shown[len("![이미지](") : -1], "width": size["width"], "height": size["height"], "inline": inline, "x": x, "y": y})
+        return out
+
+    def page(self) -> dict:
+        """The first page definition, at the top or below a control of the body."""
+        for root in self.sections():
+            for node in root.of(PARA):
+                for child in node.children:
+                    for found in [child, *child.children] if child.tag == CONTROL else [child]:
+                        if found.tag == PAGE:
+                            return LAYOUTS["page_def"].decode(found.data)
+        return {}
+
     # ------------------------------------------------------------ numbers
 
     def display_numbers(self) -> Iterator[tuple]:
@@ -556,6 +639,33 @@ def display_texts(files: DataFrame) -> DataFrame:
     return rows.select("doc", "section", "paragraph", "position", shown.alias("shown"))
 
 
+_SEGMENT = "struct<text_start:long,vertical:int,line_height:int,text_height:int,baseline:int,spacing:int,column_start:int,width:int,tag:long,indented:boolean>"
+_RUN = "struct<text:string,style:int,size:int,color:long,italic:boolean,underline:boolean,strikethrough:boolean,superscript:boolean,subscript:boolean>"
+_IMAGE = "struct<url:string,width:long,height:long,inline:boolean,x:int,y:int>"
+LINES = f"section int, paragraph int, first int, breaks boolean, class string, line_grid boolean, outdent int, line int, segment {_SEGMENT}, runs array<{_RUN}>, image {_IMAGE}"
+
+
+def lines(files: DataFrame, folder: str | None = "images") -> DataFrame:
+    """One row a line of the body's paragraphs: ``doc``, ``section``, ``paragraph``, ``first`` (where the paragraph begins on its page), ``breaks``,
+    ``class``, ``line_grid``, ``outdent``, ``line``, ``segment`` (null for an image that stands by itself), ``runs``, ``image``."""
+    return _each(files, f"doc string, version long, {LINES}, error string", lambda d: d.lines(), folder).where("error is null").drop("version", "error")
+
+
+def styles(files: DataFrame) -> DataFrame:
+    """One row a document: ``doc``, ``page`` (struct of lengths, null if there is none), ``char_shapes``, ``para_shapes`` (arrays in order)."""
+    page = "struct<paper_width:long,paper_height:long,left_margin:long,right_margin:long,top_margin:long,bottom_margin:long,header_margin:long,footer_margin:long,binding_margin:long>"
+    schema = f"doc string, version long, page {page}, char_shapes array<struct<size:int,color:long,bold:boolean,italic:boolean,spacing:array<int>,font:string>>, para_shapes array<string>, error string"
+
+    def rows(d: Document) -> Iterator[tuple]:
+        fonts = d.dictionaries["face_name"]
+        name = lambda k: fonts[k]["name"] if k < len(fonts) else None
+        shapes = [{"size": c["base_size"], "color": c["text_color"], "bold": c["bold"], "italic": c["italic"], "spacing": c["spacing"], "font": name(c["font_ids"][0])} for c in d.dictionaries["char_shape"]]
+        found = d.page()
+        yield {k: found[k] for k in found if k.endswith(("_width", "_height", "_margin"))} or None, shapes, [p["align"] for p in d.dictionaries["para_shape"]]
+
+    return _each(files, schema, rows, None).where("error is null").drop("version", "error")
+
+
 def paragraph_json(files: DataFrame) -> DataFrame:
     """doc, ``json``: sections, each a list of paragraphs with their headers and typed records, nested as in the file."""
     schema = "doc string, version long, json string, error string"

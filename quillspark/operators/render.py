@@ -15,6 +15,19 @@ VERSION_LABEL, FOOTNOTES, ENDNOTES = "**버전**: ", "## 각주", "## 미주"
 PAGE_SIZE, PAGE_DIRECTION, PAGE_MARGINS = "**용지 크기**: ", "**용지 방향**: ", "**여백**: "
 DEFAULT_FONT = "함초롬바탕"
 TABLE_OPEN = '\n<table border="1" cellpadding="5" cellspacing="0" style="border-collapse: collapse;">\n'
+_ABSOLUTE, _RELATIVE, _HIDDEN = "margin:0;padding:0;position:absolute;", "margin:0;padding:0;position:relative;", "margin:0;padding:0;position:absolute;overflow:hidden;"
+_INLINE = "display:inline-block;margin:0;padding:0;position:relative;"
+FIXED_RULES = [
+    ("body", "margin:0;padding-left:0;padding-right:0;padding-bottom:0;padding-top:2mm;"), (".hce", _HIDDEN), (".hme", _ABSOLUTE), (".hhe", _RELATIVE), (".hhi", _INLINE + "background-size:contain;"), (".hls", _ABSOLUTE), (".hfS", _ABSOLUTE),
+    (".hcD", _ABSOLUTE), (".hcI", _ABSOLUTE), (".hcS", _ABSOLUTE), (".hfN", _RELATIVE), (".hmB", _ABSOLUTE), (".hmO", _ABSOLUTE), (".hmT", _ABSOLUTE), (".hpN", _INLINE + "white-space:nowrap;"), (".htC", _INLINE + "vertical-align:top;overflow:hidden;"),
+    (".haN", _INLINE), (".hdu", _RELATIVE), (".hdS", _ABSOLUTE), (".hsC", _ABSOLUTE), (".hsR", _ABSOLUTE), (".hsG", _ABSOLUTE), (".hsL", _ABSOLUTE), (".hsT", _HIDDEN), (".hsE", _HIDDEN), (".hsA", _HIDDEN), (".hsP", _HIDDEN), (".hsV", _HIDDEN),
+    (".hsO", _ABSOLUTE), (".hsU", _HIDDEN), (".hpi", _ABSOLUTE), (".hch", _ABSOLUTE), (".hcG", _ABSOLUTE), (".heq", _ABSOLUTE), (".heG", _ABSOLUTE), (".htA", _ABSOLUTE), (".hvi", _ABSOLUTE), (".htb", _ABSOLUTE), (".htG", _ABSOLUTE), (".hfJ", _ABSOLUTE),
+    (".hfG", _ABSOLUTE), (".hfB", _ABSOLUTE), (".hfR", _ABSOLUTE), (".hfC", _ABSOLUTE), (".hfO", _ABSOLUTE), (".hfL", _ABSOLUTE), (".hfM", _ABSOLUTE), (".hfE", _ABSOLUTE), (".hpl", _ABSOLUTE), (".hs", _ABSOLUTE + "overflow:visible;"),
+    (".hpa", "position:relative;padding:0;overflow:hidden;margin-left:2mm;margin-right:0mm;margin-bottom:2mm;margin-top:0mm;border:1px black solid;box-shadow:1mm 1mm 0 #AAAAAA;"),
+    (".hpa::after", "content:'';position:absolute;margin:0;padding:0;left:0;right:0;top:0;bottom:0;background-color:white;z-index:-2;"), (".hrt", _INLINE + "white-space:inherit;vertical-align:middle;line-height:1.1;"), (".hco", _INLINE + "white-space:inherit;"),
+    (".hcc", _ABSOLUTE), (".hls", "clear:both;"), ("[onclick]", "cursor:pointer;"),
+]
+FIXED_CSS = "".join(f"{names} {{{rules}}}\n" for names, rules in FIXED_RULES)
 PRINT_CSS = "@media print {\n.hpa {margin:0;border:0 black none;box-shadow:none;}\nbody {padding:0;}\n}\n"
 PARTS = ("headers", "body", "footers", "footnotes", "endnotes")
 
@@ -131,10 +144,11 @@ def para_rule(idx: Column, align: Column) -> Column:
     return F.concat(F.format_string(".ps%d {\n", idx.cast("long")), F.lit("  text-align:"), shown, F.lit(";\n}\n"))
 
 
-def text_run(run: Column, style: Column, base_size: Column, color: Column, italic: Column, underline: Column, strike: Column) -> Column:
+def text_run(run: Column, style: Column, base_size: Column, color: Column, italic: Column, underline: Column, strike: Column, above: Column | None = None, below: Column | None = None) -> Column:
     """An HTML run of one style; not escaped, as documents may hold entities."""
     inner = T.hard_edges(run)
-    for flag, tag in ((italic, "em"), (underline, "u"), (strike, "s")):
+    marks = ((italic, "em"), (underline, "u"), (strike, "s"), (above, "sup"), (below, "sub"))
+    for flag, tag in ((f, t) for f, t in marks if f is not None):
         inner = F.when(F.coalesce(flag, F.lit(False)), F.concat(F.lit(f"<{tag}>"), inner, F.lit(f"</{tag}>"))).otherwise(inner)
     head = F.concat(F.lit('<span class="hrt cs'), style.cast("string"), F.lit('" style="font-size:'), units.number_text(base_size / 100.0), F.lit("pt;color:"), units.rgb(color), F.lit(';">'))
     return F.when(style.isNotNull(), F.concat(head, inner, F.lit("</span>"))).otherwise(F.concat(F.lit('<span class="hrt">'), inner, F.lit("</span>")))
@@ -153,6 +167,13 @@ def line_box(
     return F.concat(F.lit('<div class="hls '), style, F.lit('" style="'), box, pad, F.lit('">'), body, F.lit("</div>"))
 
 
+def object_line(vertical: Column, height: Column, column_start: Column, width: Column, style: Column, body: Column) -> Column:
+    """A line that holds an object instead of text: as high as the object, not centred."""
+    mm = lambda c: units.round2(units.int_to_mm(c))
+    box = F.format_string("line-height:%.2fmm;white-space:nowrap;left:%.2fmm;top:%.2fmm;height:%.2fmm;width:%.2fmm;", mm(height), mm(column_start), mm(vertical), mm(height), mm(width))
+    return F.concat(F.lit('<div class="hls '), style, F.lit('" style="'), box, F.lit('">'), body, F.lit("</div>"))
+
+
 def image_box(url: Column, left: Column, top: Column, width: Column, height: Column) -> Column:
     """An image as the background of a box; lengths in document units."""
     mm = lambda c: units.number_text(units.int_to_mm(c))

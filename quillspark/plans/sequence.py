@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _names(keys: str | list[str]) -> list[str]:
@@ -58,39 +62,45 @@ def vertical_resets(df: DataFrame, keys: str | list[str], order: str, vertical:
     return df.withColumn("reset", F.coalesce(reset, F.lit(False)))
 
 
-def pages(df: DataFrame, keys: str | list[str], order: str, vertical: str, explicit: str, page_change: str, content_height: float) -> DataFrame:
+def pages(df: DataFrame, keys: str | list[str], order: str, vertical: str, explicit: str, page_change: str, content_height: float | str) -> DataFrame:
     """Adds ``page`` (from 1) and ``reason`` of the break before a row: explicit, page_def_change, vertical_reset or vertical_overflow.
+    content_height: a number, or a column that is constant within the keys.
 
-    A break forgets the position before and the maximum since the last break, so the state is folded over each
-    document's rows in order: one pass in the JVM, one document a group.
+    A break forgets the position before and the maximum since the last break, so the state is folded over each document's rows in
+    order: rows are dealt by document and sorted, and one pass over them holds the state of one document and a batch of rows.
     """
     names = _names(keys)
-    rows = df.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vertical).cast("double").alias("v"), F.col(explicit).alias("e"), F.col(page_change).alias("c")))).alias("_rows"))
-    start = F.struct(
-        F.lit(1).cast("long").alias("page"),
-        F.lit(None).cast("double").alias("last"),
-        F.lit(0.0).alias("most"),
-        F.array().cast(f"array<struct<o:{dict(df.dtypes)[order]},page:bigint,reason:string>>").alias("out"),
-    )
-
-    def step(acc: Column, row: Column) -> Column:
-        v = row["v"]
-        reset = acc["last"].isNotNull() & v.isNotNull() & ((v < 0.1) | ((acc["last"] > 0.1) & (v < acc["last"] - 0.1)))
-        over = v.isNotNull() & (v > content_height) & (acc["most"] > 0)
-        reason = F.when(F.coalesce(row["e"], F.lit(False)), "explicit").when(F.coalesce(row["c"], F.lit(False)), "page_def_change").when(reset, "vertical_reset").when(over, "vertical_overflow")
-        fresh = F.size(acc["out"]) == 0
-        reason = F.when(~fresh, reason)
-        broke = reason.isNotNull()
-        page = acc["page"] + F.when(broke, 1).otherwise(0)
-        return F.struct(
-            page.cast("long").alias("page"),
-            F.coalesce(v, F.when(~broke, acc["last"])).alias("last"),
-            F.greatest(F.when(broke, F.lit(0.0)).otherwise(acc["most"]), F.coalesce(v, F.lit(0.0))).alias("most"),
-            F.concat(acc["out"], F.array(F.struct(row["o"].alias("o"), page.cast("long").alias("page"), reason.alias("reason")))).alias("out"),
-        )
-
-    found = rows.select(*names, F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias("_f"))
-    return found.select(*names, F.col("_f.o").alias(order), F.col("_f.page").alias("page"), F.col("_f.reason").alias("reason"))
+    height = F.col(content_height) if isinstance(content_height, str) else F.lit(float(content_height))
+    rows = df.select(*names, order, F.col(vertical).cast("double").alias("_v"), F.coalesce(explicit, F.lit(False)).alias("_e"), F.coalesce(page_change, F.lit(False)).alias("_c"), height.cast("double").alias("_h"))
+    schema = T.StructType([rows.schema[n] for n in (*names, order)] + [T.StructField("page", T.LongType()), T.StructField("reason", T.StringType())])
+    n = len(names)
+
+    def fold(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, page, last, most = None, 0, None, 0.0
+        for batch in source:
+            key = list(zip(*(batch.column(k).to_pylist() for k in range(n)), strict=True))
+            found: list[int] = []
+            why: list[str | None] = []
+            for k, v, told, changed, high in zip(key, *(batch.column(j).to_pylist() for j in range(n + 1, n + 5)), strict=True):
+                reason = None
+                if k != now:
+                    now, page, last, most = k, 1, None, 0.0
+                elif told:
+                    reason = "explicit"
+                elif changed:
+                    reason = "page_def_change"
+                elif v is not None and last is not None and (v < 0.1 or (last > 0.1 and v < last - 0.1)):
+                    reason = "vertical_reset"
+                elif v is not None and v > high and most > 0:
+                    reason = "vertical_overflow"
+                if reason:
+                    page, last, most = page + 1, None, 0.0
+                last, most = (last, most) if v is None else (v, max(most, v))
+                found.append(page)
+                why.append(reason)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(found, pa.int64()), pa.array(why, pa.string())], names=[f.name for f in schema])
+
+    return rows.repartition(*names).sortWithinPartitions(*names, order).mapInArrow(fold, schema)
 
 
 def segment_ends(df: DataFrame, keys: str | list[str], start: str, length: Column) -> DataFrame:
