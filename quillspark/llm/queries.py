@@ -15,19 +15,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _remainder(divisor: int) -> Column:
-    """crc32 of the doc_id as text, modulo divisor."""
+    """crc32 of the doc_id as text, modulo divisor; null for a row without a doc_id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def _held_out(divisor: int) -> Column:
+    """Whether that remainder is 2; a row without a doc_id is learned from."""
+    return F.coalesce(_remainder(divisor) == 2, F.lit(False))
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(_table(spark, sf_dir, "documents"), _remainder(7) == 2)
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), _held_out(7))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    train = docs.where(_remainder(4) != 2).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    train = docs.where(~_held_out(4)).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
     out = toxicity.score(docs, toxicity.train(train.select("text", "toxic")))
-    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted", "n_matches")
+    return out.select("doc_id", _held_out(4).alias("held_out"), "score", "predicted", "n_matches")
 
 
 #: What the reply tool takes, for the calls read from conversations.
@@ -35,11 +40,12 @@ REPLY = {"reply": {"prompt": {"type": "string", "required": True, "min": 1, "max
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn is a call of the reply tool after the user turn before it; the assistant turn after it is its result."""
+    """Each user turn is a call of the reply tool after the user turn before it; the assistant turn after it is its result. A turn
+    without conversation or number has no identifier and is linked with nothing."""
     turns = _table(spark, sf_dir, "conversations")
 
     def name(turn: Column) -> Column:
-        return F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
 
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
     calls = turns.where("role = 'user'").select(
@@ -52,30 +58,28 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP3_SQL = """
 with calls as (
-  select conv_id, turn, text, concat_ws(':', conv_id::varchar, turn::varchar) as call_id
+  select conv_id, turn, text, conv_id::varchar || ':' || turn::varchar as call_id
   from conversations where role = 'user'
 ), ids as (
-  select distinct conv_id, turn, call_id from calls
+  select distinct conv_id, turn, call_id from calls where call_id is not null
 ), chains as (
   select *, turn // 2 - row_number() over (partition by conv_id, turn % 2 order by turn) as island from ids
 ), depths as (
   select call_id, row_number() over (partition by conv_id, turn % 2, island order by turn) - 1 as depth from chains
 ), same as (
-  select call_id, count(*) as n_calls from calls group by 1
+  select call_id, count(*) as n_calls from calls where call_id is not null group by 1
 ), answers as (
-  select concat_ws(':', conv_id::varchar, (turn - 1)::varchar) as call_id, count(*) as n_results, min(text) as result
-  from conversations where role = 'assistant' group by 1
+  select conv_id::varchar || ':' || (turn - 1)::varchar as call_id, count(*) as n_results, min(text) as result
+  from conversations where role = 'assistant' and conv_id is not null and turn is not null group by 1
 )
 select c.conv_id, c.turn, c.call_id, d.depth::bigint as depth, s.n_calls::bigint as n_calls,
   coalesce(a.n_results, 0)::bigint as n_results,
-  case when c.text is null then 'prompt:missing'
-       when length(c.text) not between 1 and 300 then 'prompt:range' else '' end
-  || case when c.turn not between 0 and 1000
-          then case when c.text is null or length(c.text) not between 1 and 300 then ',' else '' end || 'turn:range' else '' end as errors,
-  '{"arguments":{' || case when c.text is null then '' else '"prompt":' || to_json(c.text)::varchar || ',' end || '"turn":' || c.turn
-  || '},"call_id":' || to_json(c.call_id)::varchar || ',"depth":' || d.depth || ',"name":"reply"'
+  concat_ws(',', case when c.text is null then 'prompt:missing' when length(c.text) not between 1 and 300 then 'prompt:range' end,
+    case when c.turn is null then 'turn:missing' when c.turn not between 0 and 1000 then 'turn:range' end) as errors,
+  '{"arguments":{' || concat_ws(',', '"prompt":' || to_json(c.text)::varchar, '"turn":' || c.turn) || '}'
+  || coalesce(',"call_id":' || to_json(c.call_id)::varchar, '') || coalesce(',"depth":' || d.depth, '') || ',"name":"reply"'
   || case when a.result is null then '' else ',"result":' || to_json(a.result)::varchar end || '}' as message
-from calls c join depths d on c.call_id = d.call_id join same s on c.call_id = s.call_id left join answers a on c.call_id = a.call_id
+from calls c left join depths d on c.call_id = d.call_id left join same s on c.call_id = s.call_id left join answers a on c.call_id = a.call_id
 """
 
 
@@ -89,8 +93,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = langid.identify(docs, langid.train(docs.where(_remainder(4) != 2)))
-    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    out = langid.identify(docs, langid.train(docs.where(~_held_out(4))))
+    return out.select("doc_id", _held_out(4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

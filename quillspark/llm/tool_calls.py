@@ -67,14 +67,14 @@ def chain_order(calls: DataFrame, stage: Stage) -> DataFrame:
     ids = calls.where("call_id is not null").groupBy("call_id").agg(F.min("after").alias("after"))
     ids = stage.save(ids, "ids")
     known = ids.select(F.col("call_id").alias("after"))
-    state = ids.join(known.withColumn("there", F.lit(True)), "after", "left")
+    state = ids.join(known.withColumn("there", F.lit(True)).hint("shuffle_hash"), "after", "left")
     state = state.select("call_id", F.when(F.col("there"), F.col("after")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
     state = stage.save(state, "order-0")
     left = state.where("up is not null").count()
     turn, most = 0, max(1, ids.count()).bit_length() + 1
     while left and turn < most:
         above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = state.join(above, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        state = state.join(above.hint("shuffle_hash"), "up", "left").select("call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         turn += 1
         state = stage.save(state, f"order-{turn}")
         if turn > 1:
@@ -96,8 +96,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, dict
     calls = calls.drop("depth", "n_calls", "n_results", "errors", "message", "result", "parsed")
     answered = results.where("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min("content").alias("result"))
     same = calls.where("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_calls"))
-    per_id = same.join(chain_order(calls, stage), "call_id", "left").join(answered, "call_id", "left")
-    rows = calls.join(per_id, "call_id", "left").withColumn("parsed", F.try_parse_json("arguments"))
+    # one row an identifier on the built side, so the hash tables hold identifiers, however often one occurs
+    per_id = same.join(chain_order(calls, stage).hint("shuffle_hash"), "call_id", "left").join(answered.hint("shuffle_hash"), "call_id", "left")
+    rows = calls.join(per_id.hint("shuffle_hash"), "call_id", "left").withColumn("parsed", F.try_parse_json("arguments"))
     message = F.struct(
         F.col("parsed").alias("arguments"), F.col("call_id").alias("call_id"), F.col("depth").alias("depth"), F.col("name").alias("name"), F.col("result").alias("result")
     )
