@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text
-from quillspark.llm._stage import Stage
+from quillspark.llm._stage import Stage, bounded_batches
 
 #: About so many labelled rows are learned from, drawn in the order of a hash.
 TRAIN_ROWS = 20_000
@@ -211,9 +211,10 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     total = labelled.count()
     if not total:
         return Model(Matcher([], []), [], [-50.0, 0.0, 0.0, 0.0])
-    # a hash of the text alone, so that the draw takes place below whatever join labelled is made by
+    # a hash of the text alone, so that the draw takes place below whatever join labelled is made by; a text that many rows repeat
+    # is drawn once, so the bound holds whatever is repeated
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
-    sample = labelled.where(drawn < F.lit(min(1.0, rows / total) * 1_000_003)).withColumn("rest", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(3)) == 0)
+    sample = labelled.where(drawn < F.lit(min(1.0, rows / total) * 1_000_003)).distinct().withColumn("rest", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(3)) == 0)
     sample = Stage(labelled.sparkSession, "toxicity").save(sample, "sample")
     sample, rest = sample.where("not rest").drop("rest"), sample.where("rest").drop("rest")
     sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -266,6 +267,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     found). Null and empty texts get the score of texts without a match. Ties don't occur, repeated rows give repeated
     results, an empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
