@@ -1,13 +1,12 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a context tree of orders 0 to 3 counts which byte class
-follows which. Byte classes are the most frequent lower-cased bytes of the
-training texts and one class for all others. The trees are frozen: method C
-escapes with exclusion give every (context, class) pair its code length once, so
-scoring a text adds up exact code lengths, whatever its length, without state.
-
-The trees are counted over a bounded sample of labelled rows (``TRAIN_BYTES`` a language); the table built from them has at most
-``CONTEXTS`` contexts of order 3, which bounds what is broadcast at any corpus size.
+For each language a context tree of orders 0 to 3 counts which byte follows which, letters lower-cased and white space made one.
+The 63 most frequent bytes of the training texts have a class each; any other is coded as the class of the rest and then, at equal
+cost, which of them it is. The trees are frozen: method C escapes with exclusion give every (context, class) pair its code length
+once, so scoring a text adds up exact code lengths, whatever its length, without state.
+
+The trees are counted over a bounded sample of labelled rows (``TRAIN_BYTES`` a language), which bounds what is broadcast for each
+language at any corpus size; every context that occurs in it has code lengths of its own.
 """
 
 from __future__ import annotations
@@ -21,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text
+from quillspark.llm._stage import bounded_batches
 
 #: Byte classes, a power of two.
 CLASSES = 64
 ORDER = 3
 #: About so many bytes of text are learned from for each language; whole texts are drawn, in the order of a hash.
 TRAIN_BYTES = 4_000_000
-#: Contexts of order 3 that have code lengths of their own; rarer ones use order 2.
-CONTEXTS = 60_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -84,11 +82,15 @@ class Model:
     def __init__(self, languages: list[str], kinds: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]):
         """grams: for each language the four-class keys and their counts."""
         self.languages, self.kinds = languages, kinds
+        # bytes of the rest: those that are neither a class's own nor folded into another
+        rest = float(np.log(max(1, 256 - 26 - 5 - len(np.unique(kinds[kinds > 0])))))
+        seen = sum((np.bincount(key & (CLASSES - 1), n, CLASSES) for key, n in grams), np.zeros(CLASSES))
+        self.plain = (-np.log((seen + 0.5) / (seen.sum() + 0.5 * CLASSES))).astype(np.float32)
+        self.plain[0] += rest
         total = np.zeros(CLASSES**ORDER)
         for key, n in grams:
             total += np.bincount(key >> 6, n, CLASSES**ORDER)
-        known = np.argsort(-total, kind="stable")[:CONTEXTS]
-        known = np.sort(known[total[known] > 0])
+        known = np.flatnonzero(total)
         short = CLASSES ** (ORDER - 1)
         self.rows = (np.arange(CLASSES**ORDER) & (short - 1)).astype(np.int32)
         self.rows[known] = short + np.arange(len(known), dtype=np.int32)
@@ -108,7 +110,9 @@ class Model:
             own = np.concatenate([np.arange(short), known & (short - 1)]).astype(np.int32)
             own[self.rows[ours]] = short + np.arange(len(ours), dtype=np.int32)
             self.own.append(own)
-            self.lengths.append((-np.log(np.maximum(1e-12, np.concatenate([p.ravel(), top.ravel()])))).astype(np.float32))
+            lengths = -np.log(np.maximum(1e-12, np.concatenate([p.ravel(), top.ravel()]))).astype(np.float32)
+            lengths[::CLASSES] += rest
+            self.lengths.append(lengths)
 
     def nats(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code length of each text under each language."""
@@ -121,6 +125,14 @@ class Model:
                 out[full, k] = np.add.reduceat(lengths[(own[row] << 6) | kind], at[full], dtype=np.float64)
         return out
 
+    def plain_nats(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Code length of each text by the frequency of bytes alone, in no language's order."""
+        out = np.zeros(len(at) - 1)
+        full = np.flatnonzero(at[1:] > at[:-1])
+        if len(full):
+            out[full] = np.add.reduceat(self.plain[self.kinds[raw]], at[full], dtype=np.float64)
+        return out
+
     def predict(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, its posterior under equal priors, bits a byte) of each text."""
         nats = self.nats(raw, at)
@@ -161,13 +173,16 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     docs = docs.where("lang is not null and text is not null and text <> ''")
-    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
-    sizes = {r["lang"]: r["size"] for r in sizes.collect()}
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
+    rows = docs.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("size"), F.min(place).alias("first")).collect()
+    sizes = {r["lang"]: r["size"] for r in rows}
     if not sizes:
         return Model([], np.zeros(256, np.uint8), [])
     names = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, train_bytes / max(1, sizes[name])))])[F.col("lang")]
-    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    first = {r["lang"]: r["first"] for r in rows}
+    # every language has its first text at least, however long
+    below = {n: max(first[n] + 1, int(min(1.0, train_bytes / max(1, sizes[n])) * 1_000_003)) for n in names}
+    drawn = docs.where(place < F.create_map(*[F.lit(x) for n in names for x in (n, below[n])])[F.col("lang")])
     grams = drawn.mapInArrow(_count_grams(names), "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (grams.column(k).to_numpy() for k in ("lang", "gram", "n"))
     seen = np.zeros(256, np.int64)
@@ -205,13 +220,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 cols = [batch.column(0).slice(low, high - low), pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(bits, mask=(at[1:] == at[:-1]) | (not model.languages))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a known language: it has a letter, and some language codes it
-    in fewer bits than bytes without any order would take. Null and empty texts go; an empty table gives an empty one."""
+    """The rows of docs, with all their columns, whose text is in a known language: it has a letter, and its best language codes it
+    in fewer bits than the frequencies of bytes alone do (a null model of all languages). Null and empty texts go; an empty table gives
+    an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -222,7 +239,8 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             known = np.zeros(batch.num_rows, bool)
             if model.languages:
                 for low, high, raw, at in _text.chunks(batch.column(place)):
-                    known[low:high] = model.predict(raw, at)[2] < np.log2(CLASSES)
+                    known[low:high] = model.nats(raw, at).min(1) < model.plain_nats(raw, at)
             yield batch.filter(pa.array(known & letters))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
