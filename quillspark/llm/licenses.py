@@ -1,17 +1,17 @@
 """Licence scan: an exact containment join of text blocks with licence templates.
 
-A block is a line of text, or two or three lines in a row, or any ``WINDOW`` times as many words in a row as a template
-has, whatever the line breaks, as a set of words; a template is found where a block holds at least ``CONTAINMENT`` of its words.
-Words are ordered by their frequency in the whole corpus, rarest first. Of a
-template with m words, t of which must be there, any block that qualifies holds
-one of its m - t + 1 rarest: those words alone are looked up (prefix filter).
-Blocks with fewer than t words are left (length filter); after the match at
-place i of a template's order at most m - i of its words can follow (positional
-filter). Candidates left are verified on whole sets.
+A block is a run of words, ``WINDOW`` times as many as a template has, whatever the line breaks, as a set; a template is found
+where a block holds at least ``CONTAINMENT`` of its words. Words have one order in both: those of templates by their frequency in
+the whole corpus, rarest first, all others behind them. Of a template with m words, t of which must be there, the rarest that a
+block shares is one of its m - t + 1 rarest: only those words are looked up (prefix filter), each as the rarest of its block. Blocks
+with fewer than t words of templates are left (length filter); behind the match the template has m - i - 1 words and the block as
+many as follow it in the order, and one more than the smaller number must reach t (positional filter). Candidates left are verified
+on whole sets, for every block around the match.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text
-from quillspark.llm._stage import Stage
+from quillspark.llm._stage import bounded_batches
 
 # Phrases that name a licence, and the label of each.
 PHRASES = {
@@ -64,87 +64,61 @@ _FOLD = bytearray(range(256))
 for _b in range(128):
     _FOLD[_b] = 32 if not chr(_b).isalnum() else ord(chr(_b).lower())
 _FOLD = bytes(_FOLD)
-_LINES = bytes(_FOLD[b] if b != 10 else 10 for b in range(256))
 
 
 class Templates:
-    """Templates by word order; ``prefix`` maps a word to the templates (number, place) that it opens."""
+    """Templates by word order; ``prefix`` maps a word's rank to the templates (number, place) that it opens."""
 
     def __init__(self, texts: dict[str, list[str]], containment: float, counts: dict[bytes, int]):
-        self.labels, self.words, self.need, self.wide = [], [], [], []
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        for label, some in sorted(texts.items()):
-            for text in some:
-                words = sorted(set(text.encode().translate(_FOLD).split()), key=lambda w: (counts.get(w, 0), w))
-                if not words:
-                    continue
-                need = max(1, int(np.ceil(containment * len(words) - 1e-9)))
-                for place, w in enumerate(words[: len(words) - need + 1]):
-                    self.prefix.setdefault(w, []).append((len(self.words), place))
-                self.labels.append(label)
-                self.words.append(frozenset(words))
-                self.need.append(need)
-                self.wide.append(WINDOW * len(text.encode().translate(_FOLD).split()))
-        self.opening = frozenset(self.prefix)
-        self.known = frozenset().union(*self.words)
-
-    def search(self, lines: list[bytes]) -> dict[int, float]:
-        """Best containment of each template that some block of a text reaches."""
-        found: dict[int, float] = {}
-        sets: dict[int, set[bytes]] = {}
-        hits = []
-        for k, line in enumerate(lines):
-            words = set(line.split())
-            if not self.opening.isdisjoint(words):
-                hits.append(k)
-                sets[k] = words
-        for k in hits:
-            for low in range(max(0, k - 2), k + 1):
-                for high in range(k + 1, min(len(lines), low + 3) + 1):
-                    block: set[bytes] = set()
-                    for j in range(low, high):
-                        if j not in sets:
-                            sets[j] = set(lines[j].split())
-                        block |= sets[j]
-                    for number in self._candidates(block):
-                        held = len(block & self.words[number])
-                        if held >= self.need[number]:
-                            found[number] = max(found.get(number, 0.0), held / len(self.words[number]))
-        return found
+        split = [(label, text.encode().translate(_FOLD).split()) for label, some in sorted(texts.items()) for text in some]
+        split = [(label, words) for label, words in split if words]
+        order = sorted({w for _, words in split for w in words}, key=lambda w: (counts.get(w, 0), w))
+        self.rank = {w: k for k, w in enumerate(order)}
+        self.labels = [label for label, _ in split]
+        self.words = [frozenset(words) for _, words in split]
+        self.ranks = [frozenset(self.rank[w] for w in words) for words in self.words]
+        self.need = [max(1, int(np.ceil(containment * len(words) - 1e-9))) for words in self.words]
+        self.wide = [WINDOW * len(words) for _, words in split]
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        for number, ranks in enumerate(self.ranks):
+            for place, r in enumerate(sorted(ranks)[: len(ranks) - self.need[number] + 1]):
+                self.prefix.setdefault(r, []).append((number, place))
+        self.opening = frozenset(order[r] for r in self.prefix)
 
     def passages(self, words: list[bytes]) -> dict[int, float]:
-        """Best containment of each template that some run of ``wide`` words reaches."""
+        """Best containment of each template that some block of the text reaches."""
+        rank = self.rank
+        hits = [(k, rank[w]) for k, w in enumerate(words) if w in rank]
+        places = [k for k, _ in hits]
         found: dict[int, float] = {}
-        places: dict[bytes, list[int]] = {}
-        for k, w in enumerate(words):
-            if w in self.known:
-                places.setdefault(w, []).append(k)
-        for number in self._candidates(set(places)):
-            mine = self.words[number] & places.keys()
-            if len(mine) < self.need[number]:
-                continue
-            hits = sorted((k, w) for w in mine for k in places[w])
-            inside: dict[bytes, int] = {}
-            low = most = 0
-            for k, w in hits:
-                inside[w] = inside.get(w, 0) + 1
-                while k - hits[low][0] >= self.wide[number]:
-                    first = hits[low][1]
-                    inside[first] -= 1
-                    if not inside[first]:
-                        del inside[first]
-                    low += 1
-                most = max(most, len(inside))
-            if most >= self.need[number]:
-                found[number] = most / len(self.words[number])
+        for k, r in hits:
+            for number, place in self.prefix.get(r, ()):
+                wide, need, size = self.wide[number], self.need[number], len(self.ranks[number])
+                low, high = bisect_left(places, k - wide + 1), bisect_right(places, k + wide - 1)
+                near = {x for _, x in hits[low:high]}
+                if len(near) < need or 1 + min(size - place - 1, sum(x > r for x in near)) < need:
+                    continue
+                most = self._most(hits[low:high], number)
+                if most >= need:
+                    found[number] = max(found.get(number, 0.0), most / size)
         return found
 
-    def _candidates(self, block: set[bytes]) -> list[int]:
-        first: dict[int, int] = {}
-        for w in self.opening & block:
-            for number, place in self.prefix[w]:
-                first[number] = min(first.get(number, place), place)
-        return [n for n, place in first.items() if len(block) >= self.need[n] and len(self.words[n]) - place >= self.need[n]]
+    def _most(self, hits: list[tuple[int, int]], number: int) -> int:
+        """Most different words of a template that one block among these places holds."""
+        ranks, wide = self.ranks[number], self.wide[number]
+        mine = [(k, x) for k, x in hits if x in ranks]
+        inside: dict[int, int] = {}
+        low = most = 0
+        for k, x in mine:
+            inside[x] = inside.get(x, 0) + 1
+            while k - mine[low][0] >= wide:
+                first = mine[low][1]
+                inside[first] -= 1
+                if not inside[first]:
+                    del inside[first]
+                low += 1
+            most = max(most, len(inside))
+        return most
 
 
 def _count(words: list[bytes]):
@@ -184,6 +158,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = {w for some in templates.values() for t in some for w in t.encode().translate(_FOLD).split()}
     counts: dict[bytes, int] = {}
@@ -197,7 +172,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
         known = shared.value
         for batch in _text.batches(source):
             raw, at = _text.texts(batch.column(1))
-            folded = raw.tobytes().translate(_LINES)
+            folded = raw.tobytes().translate(_FOLD)
             out: list[list] = [[] for _ in range(7)]
             for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 text = folded[low:high]
@@ -205,16 +180,14 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
                 flat = b" " + b" ".join(words) + b" "
                 places, base = [], set()
                 for phrase, label in named:
-                    k = flat.find(phrase)
+                    k, before, passed = flat.find(phrase), 0, 0
                     while k >= 0:
-                        places.append(flat.count(b" ", 0, k))
+                        passed += flat.count(b" ", before, k)
+                        before = k
+                        places.append(passed)
                         base.add(label)
                         k = flat.find(phrase, k + 1)
-                found = {}
-                if not known.opening.isdisjoint(words):
-                    found = known.search(text.split(b"\n"))
-                    for number, held in known.passages(words).items():
-                        found[number] = max(found.get(number, 0.0), held)
+                found = {} if known.opening.isdisjoint(words) else known.passages(words)
                 labels = base | {known.labels[n] for n in found}
                 score = 1.0 if places else max(found.values(), default=0.0)
                 values = (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
