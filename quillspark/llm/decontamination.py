@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text
+from quillspark.llm._stage import bounded_batches
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
-#: Items compared in one pass over the documents.
-BLOCK = 20_000
+#: Items compared in one pass over the documents, and bytes of them, about; both bound what is broadcast.
+BLOCK, BLOCK_BYTES = 20_000, 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _FOLD = bytearray(range(256))
@@ -72,24 +73,30 @@ class Items:
         cut = np.searchsorted(rows, np.arange(len(ids) + 1))
         self.ids = ids
         self.words = [hashes[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        grams = [np.unique(_text.grams(w, w, n)) if len(w) >= n else np.zeros(0, np.uint64) for w in self.words]
+        # an item of fewer words has all of them as its seed
+        self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
         self.opens: dict[int, list[int]] = {}
-        for k, mine in enumerate(grams):
-            for g in mine.tolist():
+        for k, w in enumerate(self.words):
+            for g in np.unique(_text.grams(w, w, min(n, len(w)))).tolist() if len(w) else ():
                 self.opens.setdefault(g, []).append(k)
         self.keys = np.array(sorted(self.opens), np.uint64)
 
     def found(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word hashes, rows, words that open a gram, its place among ``keys``)."""
         hashes, rows = word_hashes(raw, at)
-        none = np.zeros(0, np.int64)
-        if len(hashes) < self.n or not len(self.keys):
-            return hashes, rows, none, none
-        grams = _text.grams(hashes, rows, self.n)
-        place = np.searchsorted(self.keys, grams)
-        place[place == len(self.keys)] = 0
-        hit = np.flatnonzero((self.keys[place] == grams) & (rows[: len(grams)] == rows[self.n - 1 :]))
-        return hashes, rows, hit, place[hit]
+        hits, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in self.sizes:
+            if len(hashes) < n:
+                continue
+            grams = _text.grams(hashes, rows, n)
+            place = np.searchsorted(self.keys, grams)
+            place[place == len(self.keys)] = 0
+            hit = np.flatnonzero((self.keys[place] == grams) & (rows[: len(grams)] == rows[n - 1 :]))
+            hits.append(hit)
+            places.append(place[hit])
+        hit, place = np.concatenate(hits), np.concatenate(places)
+        order = np.argsort(hit, kind="stable")
+        return hashes, rows, hit[order], place[order]
 
 
 def _align_all(shared, threshold: float):
@@ -119,7 +126,8 @@ def _align_all(shared, threshold: float):
                                 best = (score, a + i - starts[row], a + j - starts[row])
                             begin = after
                     part = best[0] / (MATCH * len(item))
-                    if part >= threshold:
+                    # a part of a short item is chance
+                    if part >= (threshold if len(item) >= items.n else 1.0):
                         out.append((low + row, items.ids[k], part, int(best[1]), int(best[2]) - 1))
             cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -134,14 +142,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, t
 
     Returns one row for each document and item whose best alignment (match 2, mismatch and gap -1) reaches ``threshold`` of
     the item's own: ``doc_id``, ``item_id``, ``score`` (to 1), ``first_word``, ``last_word`` (of the aligned passage, words
-    from 0). Null and empty texts hold nothing; items of fewer than ``seed_words`` words can't be told from
-    chance and match nothing. Of equal alignments the first counts. Repeated rows give repeated results; an empty table on
+    from 0). Null and empty texts hold nothing; items of fewer than ``seed_words`` words match only where all of them stand in a
+    row, an item without words nothing. Of equal alignments the first counts. Repeated rows give repeated results; an empty table on
     either side gives an empty one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // BLOCK))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // BLOCK), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
