@@ -60,8 +60,13 @@ def encode(vectors: np.ndarray, projections: np.ndarray) -> np.ndarray:
 
 
 def _unit(column: pa.Array, n: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    return units(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
+
+
+def units(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; each is scaled by its largest component first, so that squares of huge or tiny ones stay in range."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
 def flipped(threshold: float) -> float:
@@ -88,30 +93,11 @@ def substrings(n: int, threshold: float, width: int | None = None) -> list[tuple
     return [(64 * w + width * k, width) for w in range(rotations(width, threshold)) for k in range(64 // width)]
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.9, width: int | None = None) -> DataFrame:
-    """table: ``vec_id`` (long), ``embedding`` (array of float or double, one length); other columns are not read.
-
-    Returns for every row ``vec_id``, ``n_links``, ``component_id``, ``kept``. Vectors are linked at a cosine of at least
-    ``threshold`` in double precision. Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing, as do those of another length than most. Equal vectors form one class before the search, so copies are
-    counted, not paired. Rows that repeat a vec_id count as rows; an empty table gives an empty one. ``width`` sets the bits of
-    a substring (8 to 32; else chosen by the number of vectors).
-    """
-    spark = table.sparkSession
-    stage = Stage(spark, "itq")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    fine = F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    classes = rows.where("fine").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stage.save(classes, "classes")
-    size = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    one = F.col("vec_id")
-    if size is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), one.alias("component_id"), F.lit(True).alias("kept"))
-    classes = classes.where(F.size("v") == size["d"])
+def _links(classes: DataFrame, n: int, threshold: float, width: int | None, stage: Stage, name: str) -> DataFrame:
+    """``a``, ``b``, ``m``, ``n``: linked classes of one length, and how many vectors each holds."""
     sample = classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     unit = _unit(sample, len(sample))
-    tables = substrings(size["n"], threshold, width)
+    tables = substrings(n, threshold, width)
     turns = tables[-1][0] // 64 + 1
     projections = np.hstack([iterative_quantisation(unit, 64, seed) for seed in range(turns)])
     # Bits that differ at the threshold angle follow a binomial law on average; four deviations more lose next to nothing
@@ -125,7 +111,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, width: int | None = N
             found = encode(_unit(batch.column(1), batch.num_rows), projections).view(np.int64) if batch.num_rows else np.zeros((0, turns), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(turns))], names=["rep", *words])
 
-    codes = stage.save(classes.select("rep", "v").mapInArrow(code, "rep long, " + ", ".join(f"{w} long" for w in words)), "codes")
+    codes = stage.save(classes.select("rep", "v").mapInArrow(code, "rep long, " + ", ".join(f"{w} long" for w in words)), f"codes-{name}")
     subs = [F.shiftrightunsigned(words[low // 64], low % 64).bitwiseAND(F.lit((1 << width) - 1)) for low, width in tables]
     entries = codes.select("rep", *words, F.posexplode(F.array(*subs)).alias("t", "sub"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(tables[0][1])])
@@ -145,22 +131,49 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, width: int | None = N
     entry = F.when(F.bit_count(diff) == 2, F.col("x.sub").bitwiseXOR(diff.bitwiseAND(-diff))).otherwise(F.col("x.sub"))
     total = sum((apart(F.col(f"x.{w}"), F.col(f"y.{w}")) for w in words[1:]), apart(F.col(f"x.{words[0]}"), F.col(f"y.{words[0]}")))
     pairs = pairs.where(total <= near).where((F.col("x.key") == entry) & ~earlier)
-    pairs = stage.save(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), "pairs")
+    pairs = stage.save(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), f"pairs-{name}")
 
     def rerank(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             if batch.num_rows:
-                u, v = (batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in (2, 3))
-                cosine = (u * v).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1)))
-                yield batch.filter(pa.array(cosine >= threshold)).select([0, 1, 4, 5])
+                u, v = (_unit(batch.column(k), batch.num_rows) for k in (2, 3))
+                yield batch.filter(pa.array((u * v).sum(1) >= threshold)).select([0, 1, 4, 5])
 
     full = pairs.join(classes.select(F.col("rep").alias("a"), F.col("v").alias("u"), F.col("copies").alias("m")), "a")
     full = full.join(classes.select(F.col("rep").alias("b"), "v", F.col("copies").alias("n")), "b").select("a", "b", "u", "v", "m", "n")
-    links = stage.save(full.mapInArrow(rerank, "a long, b long, m long, n long"), "links")
+    return stage.save(full.mapInArrow(rerank, "a long, b long, m long, n long"), f"links-{name}")
+
+
+def near_vectors(table: DataFrame, threshold: float = 0.9, width: int | None = None) -> DataFrame:
+    """table: ``vec_id`` (long), ``embedding`` (array of float or double); other columns are not read.
+
+    Returns for every row ``vec_id``, ``n_links``, ``component_id``, ``kept``. Vectors are linked at a cosine of at least
+    ``threshold`` in double precision; those of different lengths have none, and each length is searched for itself, so lengths
+    should be few. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Equal vectors form one
+    class before the search, so copies are counted, not paired. Rows that repeat a vec_id count as rows, a row without one takes
+    part but names no component; an empty table gives an empty one. ``width`` sets the bits of a substring (8 to 32; else chosen by
+    the number of vectors).
+    """
+    spark = table.sparkSession
+    stage = Stage(spark, "itq")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    fine = F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
+    classes = rows.where("fine").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # a class has a number of its own, as one vec_id may stand for several vectors
+    classes = stage.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = [_links(classes.where(F.size("v") == d), n, threshold, width, stage, str(d)) for d, n in sorted(sizes.items()) if n > 1]
+    links = spark.createDataFrame([], "a long, b long, m long, n long")
+    for some in found:
+        links = links.union(some)
     linked = links.select(F.col("a").alias("rep"), F.col("n").alias("other")).union(links.select("b", "m")).groupBy("rep").agg(F.sum("other").alias("others"))
-    component = connected_components(spark, links.select("a", "b"))
-    named = classes.join(linked, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    component = connected_components(spark, links.select("a", "b")).withColumnRenamed("node", "rep")
+    names = component.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("name"))
+    component = component.join(names, "component")
+    named = classes.join(linked, "rep", "left").join(component, "rep", "left")
+    named = named.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "first").alias("component_id"))
     out = rows.withColumn("v", F.when(F.col("fine"), F.transform("v", lambda x: x + F.lit(0.0)))).join(named, "v", "left")
     component_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), (one == component_id).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == component_id, component_id.isNull())
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), kept.alias("kept"))
