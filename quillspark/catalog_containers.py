@@ -228,9 +228,9 @@ def _(spark, d):
     return _doc(summary.summaries(compound.streams(files(spark, d))), "title", "author", "page_count", "created")
 
 
-@query("s29_header_scan", "select doc_id, '5.1.0.' || (doc_id % 256) as version from documents where doc_id % 3 < 2")
+@query("s29_header_scan", "select doc_id, '5.1.0.' || (doc_id % 256) as version, 'plain' as status from documents where doc_id % 3 < 2")
 def _(spark, d):
-    return _doc(documents.headers(files(spark, d)), numbers.version("version").alias("version"))
+    return _doc(documents.headers(files(spark, d)), numbers.version("version").alias("version"), "status")
 
 
 @query("s30_summary_scan", "select doc_id, source as title from documents where doc_id % 3 < 2")

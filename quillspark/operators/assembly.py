@@ -175,10 +175,7 @@ class Document:
         level = shape["level"] + 1
         spacing = shape.get("line_spacing")
         if level == 7 and spacing is not None and 7 <= spacing <= 10:
-            # deeper levels are told by the line spacing, or by the style's name
-            style = (self.entry("style", head["style_id"]) or {}).get("local_name") or ""
-            named = style[3:].strip() if style.startswith("개요 ") else ""
-            level = int(named) if named in ("8", "9", "10") else spacing + 1
+            level = spacing + 1  # deeper levels are told by the line spacing, whatever the style's name says
         formats = self.entry("numbering", shape["number_bullet_id"])
         if level >= 8 and (formats is None or level - 8 >= len(formats["extended"])):
             return text

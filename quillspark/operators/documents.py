@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import media, numbers
+from quillspark.functions import bits, media, numbers
 from quillspark.functions import text as T
 from quillspark.operators import render
 from quillspark.plans import sequence
@@ -22,8 +22,10 @@ def formats(files: DataFrame) -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """The file headers alone: of a compound file no other stream is put together."""
-    return records.file_headers(compound.streams(files, "FileHeader"))
+    """The file headers alone: of a compound file no other stream is put together. ``status`` says whether the rest can be read: ``plain``,
+    ``encrypted`` or ``distribution``."""
+    status = F.when(bits.has_bit("document_flags", 1), "encrypted").when(bits.has_bit("document_flags", 2), "distribution").otherwise("plain")
+    return records.file_headers(compound.streams(files, "FileHeader")).withColumn("status", status)
 
 
 def summaries(files: DataFrame) -> DataFrame:

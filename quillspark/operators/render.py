@@ -144,8 +144,10 @@ def para_rule(idx: Column, align: Column) -> Column:
     return F.concat(F.format_string(".ps%d {\n", idx.cast("long")), F.lit("  text-align:"), shown, F.lit(";\n}\n"))
 
 
-def text_run(run: Column, style: Column, base_size: Column, color: Column, italic: Column, underline: Column, strike: Column, above: Column | None = None, below: Column | None = None) -> Column:
-    """An HTML run of one style; not escaped, as documents may hold entities."""
+def text_run(run: Column, style: Column, base_size: Column, color: Column, italic: Column, underline: Column, strike: Column, above: Column | None = None, below: Column | None = None, escape: bool = False) -> Column:
+    """An HTML run of one style; not escaped unless asked for, as documents may hold entities."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")) if escape else ():
+        run = F.replace(run, F.lit(mark), F.lit(entity))
     inner = T.hard_edges(run)
     marks = ((italic, "em"), (underline, "u"), (strike, "s"), (above, "sup"), (below, "sub"))
     for flag, tag in ((f, t) for f, t in marks if f is not None):
