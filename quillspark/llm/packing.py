@@ -3,8 +3,8 @@
 Documents are tokenised once and cut into pieces of at most ``capacity`` tokens;
 from then on only lengths are handled. Pieces are dealt by a hash into
 partitions of about ``ITEMS``, each packed by best-fit decreasing. A partition
-that needs no more sequences than its lower bound is certified and done. The
-others give up all sequences with room left; these are dealt anew into partitions
+that needs no more sequences than its lower bound is certified and done, but for
+its emptiest sequence. The others give up all sequences with room left; these are dealt anew into partitions
 of about ``ITEMS``, exchanging documents, and packed again; the better packing
 stays, for ``ROUNDS`` rounds at most. ``certificate`` holds the whole result against the bound.
 """
@@ -261,6 +261,8 @@ def _pack(capacity: int, turn: int, last: bool):
             offsets = pdf["offset"].to_numpy()
             left = capacity - np.bincount(bins, sizes, len(old)).astype(np.int64)
         again = (left > 0) & (len(left) > bound) & (not last)
+        if not last and left.max() > 0:  # a certified partition gives up its emptiest sequence, for those of the others
+            again[left.argmax()] = True
         return pdf.assign(sequence_id=(turn << 60) + (part << 26) + bins, offset=offsets, open=again[bins])
 
     return run

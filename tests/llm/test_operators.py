@@ -514,7 +514,7 @@ def test_packing(spark):
 
 
 def test_exchange_between_partitions(spark, monkeypatch):
-    monkeypatch.setattr(packing, "ITEMS", 30)
+    monkeypatch.setattr(packing, "ITEMS", 100)
     rng = random.Random(9)
     rows = [(k, " ".join(["a"] * rng.randrange(1, 99))) for k in range(400)]
     got = [r.asDict() for r in packing.pack(docs(spark, rows), capacity=100).collect()]

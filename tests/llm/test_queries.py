@@ -53,15 +53,16 @@ def test_op1(spark, documents):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.1 * sum(r["n_tokens"] for r in held)
 
 
-def test_op2_on_held_out_rows(spark, documents):
-    got = by_id(queries.op2_toxicity(spark, SF))
-    labels = {r["doc_id"]: r["toxic"] for r in rows("labels")}
-    assert set(got) == {d for d, _ in documents}
+def test_op2_on_held_out_rows(spark):
+    more = SF.replace("0.001", "0.1")  # the smallest tables hold too few labels to learn from
+    got = by_id(queries.op2_toxicity(spark, more))
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{more}/labels.parquet").to_pylist()}
+    assert set(got) == set(pq.read_table(f"{more}/documents.parquet", columns=["doc_id"]).column(0).to_pylist())
     assert all(r["held_out"] == (crc(d, 4) == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for d, r in got.items())
     held = [(r["score"], labels[d]) for d, r in got.items() if r["held_out"] and labels.get(d) is not None]
     bad, good = [s for s, y in held if y], [s for s, y in held if not y]
-    if bad and good:  # the smallest tables hold few labels
-        assert np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good]) >= 0.8
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good]) >= 0.9 and len(bad) > 10
+    assert sum(s >= 0.3 for s in bad) >= 0.8 * len(bad) and sum(s < 0.3 for s in good) >= 0.9 * len(good)
 
 
 def test_op3_same_as_sql(spark):
