@@ -27,6 +27,8 @@ CLASSES = 64
 ORDER = 3
 #: About so many bytes of text are learned from for each language; whole texts are drawn, in the order of a hash.
 TRAIN_BYTES = 4_000_000
+#: By how many nats the null model has to code a text shorter than every language does, before it counts as in none.
+EVIDENCE = 4.0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -226,9 +228,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a known language: it has a letter, and its best language codes it
-    in fewer bits than the frequencies of bytes alone do (a null model of all languages). Null and empty texts go; an empty table gives
-    an empty one."""
+    """The rows of docs, with all their columns, whose text is in a known language: it has a letter, and the frequencies of bytes alone (a
+    null model of all languages) don't code it shorter than its best language by ``EVIDENCE`` or more, so very short texts stay.
+    Null and empty texts go; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -239,7 +241,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             known = np.zeros(batch.num_rows, bool)
             if model.languages:
                 for low, high, raw, at in _text.chunks(batch.column(place)):
-                    known[low:high] = model.nats(raw, at).min(1) < model.plain_nats(raw, at)
+                    known[low:high] = model.nats(raw, at).min(1) < model.plain_nats(raw, at) + EVIDENCE
             yield batch.filter(pa.array(known & letters))
 
     bounded_batches(docs.sparkSession)
