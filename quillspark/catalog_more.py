@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.catalog import _CELLS, _LINES, _SEGMENTS, _num, _segments, grid_cells, lines, query, table  # noqa: PLC2701
 from quillspark.functions import media, text, units
-from quillspark.operators import render
+from quillspark.operators import render, tables
 from quillspark.plans import cells, intervals, lookups, sequence
 from quillspark.sources import package
 
@@ -220,6 +221,33 @@ def _(spark, d):
     return lookups.with_named_item(images, package.binary_items(entries)).select("p_partkey", "index", "extension")
 
 
+_DRAWN = "format('<path d=\"M{{{{}}}},{{{{}}}} L{{{{}}}},{{{{}}}}\" style=\"stroke:#{{{{:02X}}}}{{{{:02X}}}}00;stroke-linecap:butt;stroke-width:0.12;\"></path>', {}, {}, {}, {}, c & 255, c >> 8)"
+_EDGE = [_DRAWN.format(*x).replace("{{", "{").replace("}}", "}") for x in (("0", "0", "0", "5 * n"), ("10", "0", "10", "5 * n"), ("'-0.06'", "0", "'10.06'", "0"), ("'-0.06'", "5 * r + 5", "'10.06'", "5 * r + 5"))]
+
+
+@query(
+    "r30_table_svg",
+    f"with q as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as r, l_partkey & 65535 as c, count(*) over (partition by l_orderkey) as n from {_CELLS}) select l_orderkey, '<svg class=\"hs\" viewBox=\"-2.5 -2.5 15 ' || (5 * max(n) + 5) || '\" style=\"left:-2.5mm;top:-2.5mm;width:15mm;height:' || (5 * max(n) + 5) || 'mm;\"><defs></defs>' || string_agg({_EDGE[0]} || {_EDGE[1]} || {_EDGE[2]}, '') filter (where r = 0) || string_agg({_EDGE[3]}, '' order by r) || string_agg({_EDGE[3]}, '') filter (where r = n - 1) || '</svg>' as svg from q group by l_orderkey",
+)
+def _(spark, d):
+    # tables of one column, a row a line; each cell has one line around it, the table none
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    line = F.struct(F.lit(1).alias("type"), F.lit(1).alias("width"), F.col("l_partkey").bitwiseAND(F.lit(65535)).alias("color"))
+    sides = [line.alias(f"{s}_line") for s in tables.SIDES]
+    cell = grid_cells(spark, d).select("l_orderkey", r.alias("row"), F.lit(0).alias("col"), F.lit(1).alias("row_span"), F.lit(10.0).alias("width"), F.lit(5.0).alias("height"), F.lit(0).alias("background"), *sides)
+    empty = [F.lit(None).cast("struct<type:int,width:int,color:bigint>").alias(f"{s}_line") for s in tables.SIDES]
+    whole = cell.groupBy("l_orderkey").agg((F.max("row") + 1).alias("rows")).select("l_orderkey", "rows", F.lit(None).cast("double").alias("height"), F.array(F.lit(1)).alias("row_sizes"), *empty)
+    return tables.svgs(cell, whole, "l_orderkey")
+
+
+@query("a12_fill_patterns", "with q as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber) as r, l_partkey % 3 as c from " + _CELLS + "), f as (select l_orderkey, c, min(r) as first from q where c > 0 group by 1, 2) select l_orderkey, string_agg('<pattern id=\"w_0' || k || '\" width=\"10\" height=\"10\" patternUnits=\"userSpaceOnUse\"><rect width=\"10\" height=\"10\" fill=\"rgb(' || c || ',0,0)\" /></pattern>', '' order by k) as defs from (select *, row_number() over (partition by l_orderkey order by first) - 1 as k from f) group by l_orderkey")
+def _(spark, d):
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    cell = grid_cells(spark, d).select("l_orderkey", r.alias("row"), F.lit(0).alias("col"), F.lit(1).alias("row_span"), F.lit(10.0).alias("width"), F.lit(5.0).alias("height"), (F.col("l_partkey") % 3).alias("background"))
+    whole = cell.groupBy("l_orderkey").agg((F.max("row") + 1).alias("rows")).select("l_orderkey", "rows", F.lit(None).cast("double").alias("height"), F.array(F.lit(1)).alias("row_sizes"))
+    return tables.fills(cell, whole, "l_orderkey").select("l_orderkey", "defs")
+
+
 def _grid(spark, d):
     """Cells of a table an order: two columns, rows by line number, some of two rows."""
     n = F.col("l_linenumber") - 1
