@@ -37,6 +37,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
+def remove_runs(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all runs below the shared folder; results that read them must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Stage:
     """Intermediate tables of one operator run; ``drop`` removes those that no later step reads."""
 
