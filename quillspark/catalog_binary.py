@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.catalog import grid_cells, lines, query, table
 from quillspark.catalog import _CELLS, _LEVELS, _LINES, _levelled  # noqa: PLC2701
 from quillspark.operators import documents
-from quillspark.sources import records
+from quillspark.sources import functions, records
 from quillspark.sources.layouts import BODY_TAGS, DOC_TAGS, FIRST
 
 _TAGS = DOC_TAGS | BODY_TAGS
@@ -130,3 +130,10 @@ def _(spark, d):
     return out.select("o_orderkey", "paper_width", "paper_height", "direction", F.round(F.col("paper_width") / 7200.0 * 25.4, 6).alias("width_mm"))
 
 
+@query("d04_table_function", "select p_partkey, 0::bigint as seq, 67 as tag, (p_size % 9)::int as level, (2 * length(p_name))::bigint as size from part union all select p_partkey, 1, null, null, null from part where p_size % 4 = 0")
+def _(spark, d):
+    functions.register(spark)
+    head = le(F.col("p_size") % 9 * 1024 + F.length("p_name") * 2097152 + 67, 4)
+    cut = F.when(F.col("p_size") % 4 == 0, F.unhex(F.lit("4304"))).otherwise(F.unhex(F.lit("")))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(head, utf16_units(F.col("p_name")), cut).alias("data"))
+    return spark.sql("select s.p_partkey, r.seq, r.tag, r.level, r.size from {streams} s, lateral frame_records(s.data) r", streams=rows)

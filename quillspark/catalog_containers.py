@@ -274,3 +274,20 @@ def _(spark, d):
 def _(spark, d):
     items = streams.binary_items(compound.streams(files(spark, d)), records.dictionary(_info(spark, d), "bin_data"))
     return _doc(items, media.mime_of_extension("extension").alias("mime"), "extension")
+
+
+_PAGES = ((949, "cp949"), (1200, "utf-16-le"), (65001, "utf-8"), (1252, "cp1252"))
+
+
+@query("f07_code_pages", "select p_partkey, p_name as title, p_brand as author from part")
+def _(spark, d):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            sets = []
+            for size, name, brand in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                page, codec = _PAGES[size % 4]
+                sets.append(writers.property_set({2: name + "\0" * (page == 1200), 4: brand + "\0" * (page == 1200)}, {}, {}, page if page < 32768 else page - 65536, codec))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(["\x05HwpSummaryInformation"] * batch.num_rows), pa.array(sets, pa.binary())], names=["doc", "name", "data"])
+
+    rows = table(spark, d, "part").select("p_partkey", "p_size", "p_name", "p_brand").mapInArrow(run, "doc string, name string, data binary")
+    return summary.summaries(rows).select(F.col("doc").cast("long").alias("p_partkey"), "title", "author")

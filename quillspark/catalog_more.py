@@ -335,3 +335,30 @@ def _(spark, d):
     position = F.get(F.array(*[F.lit(n) for n in _PLACES]), F.col("p_size") % 8)
     x, y = units.page_number_place(position, u(5), u(8), u(0.25), u(0.75), u(2), u(0.5), u(0.25))
     return table(spark, d, "part").select("p_partkey", x.alias("x"), y.alias("y"))
+
+
+@query("f09_local_names", "select p_partkey, case when p_size % 2 = 0 then 'tbl' else 'p' end as name from part")
+def _(spark, d):
+    tag = F.when(F.col("p_size") % 2 == 0, F.lit("hp:tbl")).otherwise(F.lit("p"))
+    return table(spark, d, "part").select("p_partkey", text.local_name(tag).alias("name"))
+
+
+@query("f68_relative_folder", "select p_partkey, '../images/BIN' || format('{:04X}', p_partkey) || '.png' as url from part")
+def _(spark, d):
+    folder = media.relative_folder("/out/images", "/out/html")
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit(folder + "/"), media.item_name("p_partkey", F.lit("png"))).alias("url"))
+
+
+@query("r25_image_box", f"select p_partkey, '<div class=\"hsR\" style=\"top:' || {_num('p_size * 127')} || 'mm;left:1.27mm;width:' || {_num('p_partkey * 127')} || 'mm;height:2.54mm;background-repeat:no-repeat;background-size:contain;background-image:url(''images/x.png'');\"></div>' as box from part")
+def _(spark, d):
+    u = lambda c: c.cast("long") * 360
+    box = render.image_box(F.lit("images/x.png"), F.lit(360), u(F.col("p_size")), u(F.col("p_partkey")), F.lit(720))
+    return table(spark, d, "part").select("p_partkey", box.alias("box"))
+
+
+@query("j21_captions", "with a as (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) as k from " + _CELLS + " where l_partkey % 2 = 0), b as (select l_orderkey, l_returnflag || l_linenumber as caption, row_number() over (partition by l_orderkey order by l_linenumber) as k from " + _CELLS + " where l_suppkey % 2 = 0) select a.l_orderkey, a.l_linenumber, caption from a left join b using (l_orderkey, k)")
+def _(spark, d):
+    rows = grid_cells(spark, d)
+    captions = rows.where("l_suppkey % 2 = 0").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("caption"))
+    out = intervals.positional(rows.where("l_partkey % 2 = 0").select("l_orderkey", "l_linenumber"), captions, "l_orderkey", "l_linenumber")
+    return out.select("l_orderkey", "l_linenumber", "caption")
