@@ -11,6 +11,9 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+
 _CODES = {"u8": ("B", "int"), "i8": ("b", "int"), "u16": ("H", "int"), "i16": ("h", "int"), "u32": ("I", "long"), "i32": ("i", "int"), "f64": ("d", "double")}
 
 
@@ -61,6 +64,40 @@ class Layout:
         return out
 
 
+    def record_type(self) -> np.dtype | None:
+        """The layout as one numpy record, if all its fields have a fixed size."""
+        parts = [(f"{name}-{k}" if code.startswith("skip") else name, *code.rstrip("?").partition("*")[::2]) for k, (name, code) in enumerate(self.fields)]
+        if not parts or not all(kind in _CODES or kind == "skip" for _, kind, _ in parts):
+            return None
+        return np.dtype([(name, f"V{n}") if kind == "skip" else (name, f"<{'f' if kind[0] == 'f' else kind[0]}{int(kind[1:]) // 8}", *([(int(n),)] if n else [])) for name, kind, n in parts])
+
+    def decode_all(self, payloads: pa.Array, skip: int = 0) -> dict[str, pa.Array] | None:
+        """Columns of all rows at once, where every payload holds all fields; else None."""
+        kind = self.record_type()
+        if kind is None or not len(payloads) or payloads.null_count:
+            return None
+        _, offsets, data = payloads.buffers()
+        at = np.frombuffer(offsets, np.int32)[payloads.offset : payloads.offset + len(payloads) + 1]
+        if (np.diff(at) - skip < max(kind.itemsize, self.least)).any():
+            return None
+        raw = np.frombuffer(data, np.uint8)[(at[:-1] + skip)[:, None] + np.arange(kind.itemsize)]
+        rows = np.ascontiguousarray(raw).view(kind).ravel()
+        out = {}
+        for name, code in self.fields:
+            if code.startswith("skip"):
+                continue
+            values = np.ascontiguousarray(rows[name])
+            if values.ndim == 2:
+                ends = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+                out[name] = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+            else:
+                out[name] = pa.array(values)
+        for name, (source, low, width, values) in self.bits.items():
+            number = (rows[source].astype(np.int64) >> low) & ((1 << width) - 1)
+            out[name] = pa.array(values, pa.string()).take(pa.array(np.minimum(number, len(values) - 1))) if values else pa.array(number.astype(bool) if width == 1 else number)
+        return out
+
+
 def read(data: bytes, at: int, code: str):
     """(value, next offset, whether it was there)."""
     kind, _, n = code.partition("*")

@@ -468,8 +468,9 @@ def decoder(kind: str, layouts: dict[str, Layout] = LAYOUTS) -> tuple[str, Calla
     return layout.ddl(), layout.decode
 
 
-def _decoded(rows: DataFrame, ddl: str, decode: Callable[..., dict], skip: int = 0, versioned: bool = False) -> DataFrame:
-    """Keys of rows and the columns of their payloads; with ``versioned`` decode gets the column ``version`` too, if there is one."""
+def _decoded(rows: DataFrame, ddl: str, decode: Callable[..., dict], skip: int = 0, versioned: bool = False, layout: Layout | None = None) -> DataFrame:
+    """Keys of rows and the columns of their payloads; with ``versioned`` decode gets the column ``version`` too, if there is one. Batches
+    of whole records of a layout of fixed size are decoded at once."""
     keys = [c for c in rows.columns if c not in ("payload", "size", "error", "tag", "level", "parent", "version")]
     columns = f"{ddl}, error string" if ddl else "error string"
     schema = T.StructType([rows.schema[k] for k in keys] + T.StructType.fromDDL(columns).fields)
@@ -477,6 +478,11 @@ def _decoded(rows: DataFrame, ddl: str, decode: Callable[..., dict], skip: int =
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
+            whole = layout.decode_all(batch.column(len(keys)), skip) if layout is not None else None
+            if whole is not None:
+                made = [whole[f.name].cast(f.type) if f.name in whole else pa.nulls(batch.num_rows, f.type) for f in list(arrow)[len(keys) :]]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], schema=arrow)
+                continue
             out = []
             for payload, version in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True):
                 try:
@@ -501,7 +507,7 @@ def typed(framed: DataFrame, kind: str, versions: DataFrame | None = None) -> Da
         rows = rows.where(F.col("level") == DOC_LEVELS[kind])
     if versions is not None:
         rows = rows.join(versions.select("doc", "version"), "doc", "left")
-    return _decoded(rows, ddl, decode, versioned=kind == "numbering")
+    return _decoded(rows, ddl, decode, versioned=kind == "numbering", layout=None if kind in SPECIAL else LAYOUTS[kind])
 
 
 def controls(framed: DataFrame, kind: str) -> DataFrame:
@@ -512,7 +518,7 @@ def controls(framed: DataFrame, kind: str) -> DataFrame:
     names = [k for k, v in CONTROLS.items() if v == kind]
     rows = rows.where(~F.col("ctrl_id").isin(list(CONTROLS))) if kind == "other" else rows.where(F.col("ctrl_id").isin(names))
     ddl, decode = decoder(kind, CONTROL_LAYOUTS)
-    return _decoded(rows, ddl, decode, skip=4)
+    return _decoded(rows, ddl, decode, skip=4, layout=None if kind in SPECIAL else CONTROL_LAYOUTS[kind])
 
 
 def others(framed: DataFrame) -> DataFrame:

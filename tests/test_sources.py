@@ -98,6 +98,24 @@ def test_layouts_make_columns(kind):
     assert all(f"`{k}`" in layout.ddl() for k in row)
 
 
+@pytest.mark.parametrize("kind", sorted(set(layouts.LAYOUTS) | set(layouts.CONTROL_LAYOUTS)))
+def test_rows_at_once_are_the_same_rows(kind):
+    import numpy as np
+    import pyarrow as pa
+
+    layout = (layouts.LAYOUTS | layouts.CONTROL_LAYOUTS)[kind]
+    fixed = layout.record_type()
+    if fixed is None:
+        assert layout.decode_all(pa.array([bytes(300)], pa.binary())) is None
+        return
+    rng = np.random.default_rng(1)
+    size = max(layout.least, fixed.itemsize)
+    rows = [rng.bytes(4 + size + int(rng.integers(0, 5))) for _ in range(50)]
+    whole = layout.decode_all(pa.array([b"x", *rows], pa.binary()).slice(1), 4)
+    assert {k: v.to_pylist() for k, v in whole.items()} == {k: [layout.decode(r[4:])[k] for r in rows] for k in whole} and set(whole) == set(layout.decode(rows[0][4:]))
+    assert layout.decode_all(pa.array([*rows, bytes(4 + size - 1)], pa.binary()), 4) is None
+
+
 def test_record_vectors(spark):
     char = struct.pack("<7H7B7b7B7b", *range(7), *[100] * 7, *[0] * 7, *[100] * 7, *[0] * 7) + struct.pack("<iIbbIIII", 1000, 0b11 | 1 << 18, 0, 0, 0xFF0000, 0, 0, 0) + struct.pack("<HI", 2, 5)
     row = layouts.LAYOUTS["char_shape"].decode(char)
