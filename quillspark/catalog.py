@@ -115,11 +115,11 @@ def _(spark, d):
 
 @query(
     "f25_gana",
-    f"select *, {_cycle(numbers.SYLLABLES)} as gana, {_cycle(numbers.JAMO)} as jamo, coalesce({_look(numbers.CIRCLED_SYLLABLES)}, {_cycle(numbers.SYLLABLES)}) as circled_gana, coalesce({_look(numbers.CIRCLED_JAMO)}, {_cycle(numbers.JAMO)}) as circled_jamo from {_SIZES} where n >= 0",
+    f"select *, {_cycle(numbers.SYLLABLES)} as gana, {_cycle(numbers.JAMO)} as jamo, coalesce({_look(numbers.CIRCLED_SYLLABLES)}, {_cycle(numbers.SYLLABLES)}) as circled_gana, coalesce({_look(numbers.CIRCLED_JAMO)}, {_cycle(numbers.JAMO)}) as circled_jamo from {_SIZES}",
 )
 def _(spark, d):
     n = "n"
-    return _sizes(spark, d).where("n >= 0").select("*", numbers.gana(n).alias("gana"), numbers.jamo(n).alias("jamo"), numbers.circled_gana(n).alias("circled_gana"), numbers.circled_jamo(n).alias("circled_jamo"))
+    return _sizes(spark, d).select("*", numbers.gana(n).alias("gana"), numbers.jamo(n).alias("jamo"), numbers.circled_gana(n).alias("circled_gana"), numbers.circled_jamo(n).alias("circled_jamo"))
 
 
 @query("f27_hangul_number", f"select *, {_count_sql(numbers.HANGUL_DIGITS, '십')} as word from {_SIZES}")
@@ -135,9 +135,9 @@ def _(spark, d):
     return _sizes(spark, d).select("*", numbers.chinese_number("n").alias("word"), numbers.circled_chinese("n").alias("circled"))
 
 
-@query("f30_stem", f"select *, {_cycle(numbers.STEMS)} as stem, {_cycle(numbers.STEMS_CHINESE)} as chinese from {_SIZES} where n >= 0")
+@query("f30_stem", f"select *, {_cycle(numbers.STEMS)} as stem, {_cycle(numbers.STEMS_CHINESE)} as chinese from {_SIZES}")
 def _(spark, d):
-    return _sizes(spark, d).where("n >= 0").select("*", numbers.heavenly_stem("n").alias("stem"), numbers.heavenly_stem("n", True).alias("chinese"))
+    return _sizes(spark, d).select("*", numbers.heavenly_stem("n").alias("stem"), numbers.heavenly_stem("n", True).alias("chinese"))
 
 
 _SHAPE_SQL = {

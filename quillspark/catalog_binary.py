@@ -59,16 +59,13 @@ def _(spark, d):
     return out.select(F.col("doc").cast("long").alias("doc_id"), "seq", "parent")
 
 
-@query("d32_para_text", f"select doc_id, ord::bigint as seq, line || case when ord % 2 = 0 then '-' || line else chr(9) end as shown from ({_LINES}) where line not like '%' || chr(9) || '%'")
+@query("d32_para_text", f"select doc_id, ord::bigint as seq, x || case when ord % 2 = 0 then '-' || x else chr(9) end as shown from (select doc_id, ord, replace(line, chr(9), ' ') as x from ({_LINES}))")
 def _(spark, d):
-    rows = lines(spark, d).where(~F.contains("line", F.lit("\t")))
+    rows = lines(spark, d).withColumn("line", F.replace("line", F.lit("\t"), F.lit(" ")))
     tab = F.concat(le(9, 2), le(600, 4), F.unhex(F.lit("00" * 8)), le(9, 2))
     payload = F.concat(utf16_units(F.col("line")), F.when(F.col("ord") % 2 == 0, F.concat(le(24, 2), utf16_units(F.col("line")))).otherwise(tab), le(13, 2))
-    # a line's place in its document is not its record's: lines with tabs are left out
-    rows = rows.withColumn("doc", F.concat_ws(":", "doc_id", "ord"))
-    out = records.typed(framed(rows, F.col("doc"), "ord", "para_text", 0, payload), "para_text")
-    parts = F.split("doc", ":")
-    return out.select(parts[0].cast("long").alias("doc_id"), parts[1].cast("long").alias("seq"), documents.text_of_runs(F.col("runs")).alias("shown"))
+    out = records.typed(framed(rows, F.col("doc_id"), "ord", "para_text", 0, payload), "para_text")
+    return out.select(F.col("doc").cast("long").alias("doc_id"), "seq", documents.text_of_runs(F.col("runs")).alias("shown"))
 
 
 @query("d30_para_header", f"select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as seq, l_partkey as chars, l_suppkey::int as para_shape_id, l_linenumber as style_id, l_linenumber & 1 = 1 as divide_section, (l_linenumber >> 2) & 1 = 1 as divide_page, l_partkey * 3 as instance_id from {_CELLS}")

@@ -362,3 +362,9 @@ def _(spark, d):
     captions = rows.where("l_suppkey % 2 = 0").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("caption"))
     out = intervals.positional(rows.where("l_partkey % 2 = 0").select("l_orderkey", "l_linenumber"), captions, "l_orderkey", "l_linenumber")
     return out.select("l_orderkey", "l_linenumber", "caption")
+
+
+@query("f67_package_mime", "select p_partkey, case p_size % 9 when 0 then 'image/jpeg' when 1 then 'image/png' when 2 then 'image/svg+xml' when 3 then 'image/webp' when 4 then 'image/tiff' when 5 then 'image/x-icon' when 6 then 'image/emf' when 7 then 'image/wmf' else 'application/octet-stream' end as mime from part")
+def _(spark, d):
+    ends = F.array(*[F.lit(e) for e in ("JPG", "png", "svg", "webp", "tif", "ico", "emf", "WMF", "xyz")])
+    return table(spark, d, "part").select("p_partkey", media.package_mime(F.get(ends, F.col("p_size") % 9)).alias("mime"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 COMPOUND_MAGIC, PACKAGE_MAGIC = "D0CF11E0A1B11AE1", "504B0304"
-# MIME types by extension.
-MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "svg": "image/svg+xml", "wmf": "image/x-wmf", "emf": "image/x-emf", "tif": "image/tiff", "tiff": "image/tiff"}
+# MIME types by extension, of records' items and, with more kinds, of packages' items.
+MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "bmp": "image/bmp"}
+PACKAGE_MIME = MIME | {"svg": "image/svg+xml", "webp": "image/webp", "tiff": "image/tiff", "tif": "image/tiff", "ico": "image/x-icon", "emf": "image/emf", "wmf": "image/wmf"}
 FILETIME_EPOCH = 116_444_736_000_000_000
 
 
@@ -33,14 +34,24 @@ def mime_of_base64(text: Column | str) -> Column:
     return F.when(text.startswith("iVBORw"), "image/png").when(text.startswith("/9j/"), "image/jpeg").when(text.startswith("Qk"), "image/bmp").otherwise("image/jpeg")
 
 
-def mime_of_extension(extension: Column | str, default: str = "image/jpeg") -> Column:
+def _mime(extension: Column | str, known: dict[str, str], default: str) -> Column:
     out = None
     name = F.lower(_c(extension))
-    for k, v in MIME.items():
+    for k, v in known.items():
         out = F.when(name == k, v) if out is None else out.when(name == k, v)
     return out.otherwise(default)
 
 
+def mime_of_extension(extension: Column | str) -> Column:
+    """Of an item that a record names; others count as JPEG."""
+    return _mime(extension, MIME, "image/jpeg")
+
+
+def package_mime(extension: Column | str) -> Column:
+    """Of an item of a package; others are bytes of no known kind."""
+    return _mime(extension, PACKAGE_MIME, "application/octet-stream")
+
+
 def item_name(index: Column | str, extension: Column | str) -> Column:
     """File name of a binary item."""
     return F.concat(F.lit("BIN"), F.format_string("%04X", _c(index).cast("long")), F.lit("."), F.coalesce(_c(extension), F.lit("jpg")))
