@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,8 +29,8 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 ITEMS = 20_000
 ROUNDS = 3
-#: Parts of words whose ids a worker keeps, about 150 bytes each; beyond that it starts anew.
-KEPT = 1_000_000
+#: Parts of words whose ids a worker keeps, about 35 bytes each; beyond that it starts anew.
+KEPT = 1_500_000
 #: Bytes of text tokenised at once.
 CHUNK = 2_000_000
 
@@ -93,8 +93,21 @@ def parts(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.nda
     return found, plain, np.diff(np.searchsorted(starts, at))
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _keys(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    raw, at = _text.texts(strings)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _text.powers(_BASE, len(raw)), out=sums[1:])
+    return _text.mix((sums[at[1:]] - sums[at[:-1]]) * _text.powers(_INVERSE, len(raw) + 1)[at[:-1]] ^ np.diff(at).astype(np.uint64))
+
+
 class Words:
-    """Ids of texts by their parts: each different part of a chunk of texts is looked up once, and the tokenizer asked only for new ones."""
+    """Ids of texts by their parts: each different part of a chunk of texts is looked up once, by its hash, and the tokenizer asked only
+    for new ones."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -112,7 +125,7 @@ class Words:
 
     def _forget(self) -> None:
         # part 0 is the end of a text
-        self.place: dict[str, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.first, self.count = np.zeros(1, np.int32), np.ones(1, np.int32)
         self.pool = np.zeros(1, np.uint32)
 
@@ -120,7 +133,7 @@ class Words:
         """(unsigned 32-bit ids of all texts, each with its end, where each text's ids end)."""
         found, plain, counts = parts(raw, at)
         coded = found.dictionary_encode()
-        index, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        index, different = coded.indices.to_numpy(), coded.dictionary
         simple = np.zeros(len(different), bool)
         simple[index] = plain
         place = self._places(different, simple)
@@ -148,21 +161,28 @@ class Words:
         ids = np.concatenate([*out, np.zeros(1, np.uint32)])
         return ids, np.array([len(ids)])
 
-    def _places(self, different: list[str], simple: np.ndarray) -> np.ndarray:
-        if len(self.place) + len(different) > KEPT:
+    def _places(self, different: pa.Array, simple: np.ndarray) -> np.ndarray:
+        if len(self.keys) + len(different) > KEPT:
             self._forget()
-        place = np.fromiter(map(self.place.get, different, repeat(-1)), np.int32, len(different))
-        new = place < 0
-        for some, ask in ((new & simple, self._ask_joined), (new & ~simple, self._ask)):
+        keys = _keys(different)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        place = np.empty(len(keys), np.int32)
+        place[known] = self.places[at[known]]
+        for some, ask in ((~known & simple, self._ask_joined), (~known & ~simple, self._ask)):
             some = np.flatnonzero(some)
-            for low in range(0, len(some), 4096):
-                names = [different[k] for k in some[low : low + 4096].tolist()]
-                ids, size = ask(names)
-                now = place[some[low : low + 4096]] = len(self.first) + np.arange(len(names))
-                self.place.update(zip(names, now.tolist(), strict=True))
+            names = different.take(pa.array(some)).to_pylist()
+            found = [ask(names[low : low + 4096]) for low in range(0, len(names), 4096)]
+            if found:
+                ids, size = (np.concatenate(x) for x in zip(*found, strict=True))
+                place[some] = len(self.first) + np.arange(len(some))
                 self.first = np.append(self.first, (len(self.pool) + np.cumsum(size) - size).astype(np.int32))
                 self.count = np.append(self.count, size.astype(np.int32))
                 self.pool = np.append(self.pool, ids)
+        new = np.flatnonzero(~known)
+        new = new[np.argsort(keys[new])]
+        self.keys, self.places = np.insert(self.keys, at[new], keys[new]), np.insert(self.places, at[new], place[new])
         return place
 
     def _ask_joined(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
