@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -390,9 +391,32 @@ def _apply(as_text: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
-    """docs: ``doc_id``, ``th``, ``text`` without nulls. Rows of ``doc_id``, ``th``, ``low``, ``high``, which may overlap."""
-    runs = stage.save(docs.mapInArrow(_find_runs(span), "doc_id long, th long, anchor long, gram long, seen long, near int, far int"), "runs")
+def _through(*steps):
+    """Several steps over batches as one, so that a task needs one Python worker for all."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            source = step(source)
+        return source
+
+    return run
+
+
+def _long(span: int):
+    """Rows whose third column has so many bytes."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield batch.filter(pc.greater_equal(pc.binary_length(batch.column(2)), span))
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, span: int, stage: Stage, *code) -> DataFrame:
+    """docs: ``doc_id``, ``th``, ``text`` without nulls. Rows of ``doc_id``, ``th``, ``low``, ``high``, which may overlap. code: steps over
+    batches that texts go through first."""
+    runs = stage.save(docs.mapInArrow(_through(*code, _find_runs(span)), "doc_id long, th long, anchor long, gram long, seen long, near int, far int"), "runs")
+    stage.expect(runs.count() * 60)
     different = runs.groupBy("gram", "seen", "near", "far").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "anchor")).alias("at"))
     grams = different.groupBy("gram").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("members")).where("n > 1").select("gram", "members")
     different = stage.save(different.join(grams, "gram").select("gram", "seen", "near", "far", "copies", "at.*", "members"), "different")
@@ -403,9 +427,8 @@ def repeated_spans(docs: DataFrame, span: int, stage: Stage) -> DataFrame:
 
     def at_text(rows: DataFrame) -> DataFrame:
         wanted = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "gram", "seen", "near", "far", "copies", F.pmod("gram", F.lit(receivers)).cast("int").alias("receiver"))).alias("wanted"))
-        long = docs.where(F.octet_length("text") >= span)
         # rows that repeat a document meet before they travel
-        packed = long.mapInArrow(_text.squeeze, "doc_id long, th long, packed binary").groupBy("doc_id", "th").agg(F.min("packed").alias("packed"))
+        packed = docs.mapInArrow(_through(*code, _long(span), _text.squeeze), "doc_id long, th long, packed binary").groupBy("doc_id", "th").agg(F.min("packed").alias("packed"))
         return packed.join(wanted, ["doc_id", "th"]).select("packed", "wanted")
 
     sent = at_text(usual).mapInArrow(_read_parts(span), "receiver int, run binary")
@@ -432,8 +455,7 @@ def _code(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_words(docs: DataFrame, words: int, stage: Stage) -> DataFrame:
     """docs: ``doc_id``, ``th``, ``text``. Rows of ``doc_id``, ``th``, ``low``, ``high`` in words, which may overlap."""
-    coded = docs.mapInArrow(_code, "doc_id long, th long, text string").where(F.octet_length("text") >= words * CODE)
-    spans = repeated_spans(coded, words * CODE, stage)
+    spans = repeated_spans(docs, words * CODE, stage, _code)
     # windows that start between two words are of one word less
     spans = spans.select("doc_id", "th", F.ceil(F.col("low") / CODE).alias("low"), F.floor(F.col("high") / CODE).alias("high"))
     return spans.where(F.col("high") - F.col("low") >= words)
