@@ -21,6 +21,7 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "0"
     )
     state, turn = _state(table), 0
+    stage.expect(state[0] * 16)
     while state[0]:
         both = table.union(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.col("k")).alias("m"))

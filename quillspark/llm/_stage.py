@@ -43,17 +43,27 @@ def remove_runs(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes that one file of an intermediate table holds at least, where a table is small for the cluster.
+FILE = 16_000_000
+
+
 class Stage:
     """Intermediate tables of one operator run; ``drop`` removes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.files: int | None = None
         bounded_batches(spark)
         self.base = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
 
+    def expect(self, size: int) -> None:
+        """Tables saved from now on have about so many bytes at most: they get no more files (and tasks that write them) than that
+        takes, or two for each core, so that small tables don't become many tiny files."""
+        self.files = max(2 * self.spark.sparkContext.defaultParallelism, -(-size // FILE))
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        (df if self.files is None else df.coalesce(self.files)).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -163,6 +163,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, width: int | None = N
     # a class has a number of its own, as one vec_id may stand for several vectors
     classes = stage.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    stage.expect(sum(n * d for d, n in sizes.items()) * 40)
     found = [_links(classes.where(F.size("v") == d), n, threshold, width, stage, str(d)) for d, n in sorted(sizes.items()) if n > 1]
     links = spark.createDataFrame([], "a long, b long, m long, n long")
     for some in found:

@@ -202,6 +202,7 @@ def _classes(docs: DataFrame, words: int, percent: int, stage: Stage) -> tuple[D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     sketch = stage.save(docs.mapInArrow(_sketch(words), _SKETCH), "sketch")
+    stage.expect(sketch.count() * BANDS * 40)
     key = ["n_shingles", "f1", "f2"]
     d = F.coalesce("doc_id", F.lit(_NO_ID)).alias("d")
     classes = sketch.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min(F.struct(d, "th")).alias("at"), F.max("signature").alias("signature"))

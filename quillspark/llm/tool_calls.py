@@ -70,8 +70,9 @@ def chain_order(calls: DataFrame, stage: Stage) -> DataFrame:
     state = ids.join(known.withColumn("there", F.lit(True)).hint("shuffle_hash"), "after", "left")
     state = state.select("call_id", F.when(F.col("there"), F.col("after")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
     state = stage.save(state, "order-0")
-    left = state.where("up is not null").count()
-    turn, most = 0, max(1, ids.count()).bit_length() + 1
+    left, n = state.where("up is not null").count(), ids.count()
+    stage.expect(n * 100)
+    turn, most = 0, max(1, n).bit_length() + 1
     while left and turn < most:
         above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         state = state.join(above.hint("shuffle_hash"), "up", "left").select("call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
