@@ -64,6 +64,13 @@ def test_positions_of_styles_count_stored_units():
     assert ["".join(r["text"] for r in row[-2]) for row in d.lines()] == ["a\tb", "cdefghij"]
 
 
+def test_text_of_lines_that_start_at_the_same_place_is_shown_once():
+    # half of one character is none: both lines start at 0
+    raw = compound.read_compound(A.lined_file(1, "A\nbc", "ko", "web"))
+    d = assembly.Document(raw, "images")
+    assert [[r["text"] for r in row[-2]] for row in d.lines()] == [[], ["A"], ["b"], ["c"]]
+
+
 def test_first_style_in_markdown_last_in_html():
     raw = A._units("abcd")
     head = struct.pack("<IIHBBHHHI", 5, 0, 0, 0, 0, 3, 0, 1, 0)
