@@ -403,6 +403,17 @@ def test_lm_scores_by_brute_force(spark, monkeypatch):
         assert got[d] == pytest.approx(total, rel=1e-4, abs=1e-3), d
 
 
+def test_lm_predecessors_with_many_successors_are_asked():
+    few, many = (np.uint64(c) << np.uint64(lm_scoring.NEXT_BITS) for c in (3, 5))
+    keys = np.concatenate([few + np.arange(2, dtype=np.uint64), many + np.arange(3000, dtype=np.uint64)])
+    times = np.where(np.arange(3002) % 2 == 0, 2, 1).astype(np.uint32)
+    part = (0, 7, lm_scoring.pack(np.diff(keys, prepend=np.uint64(0)), times))
+    (answer,) = lm_scoring._successors(iter([lm_scoring._parts([part])]))
+    m, n, d = lm_scoring.unpack(answer.column(3)[0].as_py(), "u4", "u4", "u4")
+    assert m.tolist() == times.tolist()
+    assert n.tolist() == [3] * 2 + [4500] * 3000 and d.tolist() == [2] * 2 + [3000] * 3000
+
+
 def test_lm_texts_that_occur_twice_score_apart(spark):
     rng = random.Random(25)
     rows = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(60))) for k in range(200)]
