@@ -1,13 +1,11 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 Rotations that make sign codes balanced are learned by iterative quantisation
-on a bounded sample. Codes are cut into substrings about log2(n) bits wide, one
-hash table each: a pair of vectors at the threshold differs in few bits, so in
-some table the two substrings differ by at most two. Wider substrings differ by more, so
-there are as many rotations as keep the chance of a pair at the threshold at ``RECALL``. Each vector is entered under
-its substring and all at distance one, so such pairs share an entry. A pair is
-taken from one entry only, kept if the whole codes are near enough, and
-confirmed by the cosine of the original vectors in double precision.
+on a bounded sample. Codes are cut into substrings, one hash table each. Where there are many vectors the first bits of a
+substring deal them into buckets of about ``BUCKET``, and in a bucket those meet whose other bits differ by at most two: a
+pair of vectors at the threshold differs in few bits, so it does in some table. There are as many rotations as keep the
+chance of a pair at the threshold at ``RECALL``. A vector travels once a table, as two 64-bit words of its code; pairs that
+are near enough in both are confirmed by the cosine of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -20,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import _text
 from quillspark.llm._components import connected_components
 from quillspark.llm._stage import Stage
 
@@ -29,8 +28,14 @@ SAMPLE = 10_000
 ROTATIONS = 2
 #: Chance of a pair at the threshold to share an entry, by the binomial law, at any number of vectors.
 RECALL = 0.999
-#: Pairs that are compared at the cost of one entry, about.
-COMPARED = 16
+#: Vectors of a bucket, about.
+BUCKET = 32_768
+#: Microseconds, about, that a row, a look-up and a pair to compare take.
+ROW, LOOK, PAIR = 3.0, 0.01, 0.06
+#: Bits of a substring within a bucket up to which vectors are looked up in an array of all values.
+DENSE = 20
+#: Pairs that are compared at once, and rows of entries that a task takes, about.
+PAIRS, ENTRIES = 1_000_000, 400_000
 ITERATIONS = 30
 
 
@@ -74,23 +79,64 @@ def flipped(threshold: float) -> float:
     return float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
 
 
-def rotations(width: int, threshold: float) -> int:
-    """How many rotations let a pair at the threshold differ by two bits at most in some substring, but for 1 - ``RECALL``."""
-    flip = flipped(threshold)
-    miss = 1 - sum(comb(width, k) * flip**k * (1 - flip) ** (width - k) for k in range(3))
+def prefix_bits(n: int) -> int:
+    """How many bits deal the vectors into buckets."""
+    return max(0, ceil(log(n / BUCKET) / log(2))) if n else 0
+
+
+def rotations(width: int, threshold: float, prefix: int = 0) -> int:
+    """How many rotations let a pair at the threshold, in some substring, have the same prefix and differ by two of the other bits at
+    most, but for 1 - ``RECALL``."""
+    flip, rest = flipped(threshold), width - prefix
+    miss = 1 - (1 - flip) ** prefix * sum(comb(rest, k) * flip**k * (1 - flip) ** (rest - k) for k in range(min(2, rest) + 1))
     tables = 1 if miss <= 1 - RECALL else ceil(log(1 - RECALL) / log(miss))
     return max(ROTATIONS, -(-tables // (64 // width)))
 
 
 def best_width(n: int, threshold: float) -> int:
-    """The width with least work: entries, and pairs at random that share one."""
-    return min(range(8, 33), key=lambda w: rotations(w, threshold) * (64 // w) * (w + 1) * (1 + (w + 1) * n / 2**w / COMPARED))
+    """The width with least work: rows, look-ups, and pairs at random to compare."""
+    prefix = prefix_bits(n)
+
+    def work(w: int) -> float:
+        rest = w - prefix
+        masks = 1 + rest + comb(rest, 2)
+        return rotations(w, threshold, prefix) * (64 // w) * (ROW + masks * (LOOK + PAIR * n / 2 ** (w + 1)))
+
+    return min(range(prefix + 8, max(prefix + 9, min(33, prefix + DENSE + 1))), key=work)
 
 
 def substrings(n: int, threshold: float, width: int | None = None) -> list[tuple[int, int]]:
     """(first bit, width) of each table; a substring stays within one 64-bit word."""
     width = width or best_width(n, threshold)
-    return [(64 * w + width * k, width) for w in range(rotations(width, threshold)) for k in range(64 // width)]
+    return [(64 * w + width * k, width) for w in range(rotations(width, threshold, min(prefix_bits(n), width))) for k in range(64 // width)]
+
+
+def meetings(sub: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """sub: sorted numbers of so many bits. Places of all pairs that differ by two bits at most, each once, in portions."""
+    n = len(sub)
+    stop = np.cumsum(np.bincount(sub, minlength=1 << width)) if width <= DENSE else None
+    bits = [1 << k for k in range(width)]
+    for mask in [0, *bits, *(x | y for k, x in enumerate(bits) for y in bits[:k])]:
+        at = sub ^ mask
+        who = np.flatnonzero(at > sub) if mask else np.arange(n)
+        at = at[who]
+        if stop is None:
+            low, high = np.searchsorted(sub, at, "left"), np.searchsorted(sub, at, "right")
+        else:
+            low, high = np.where(at > 0, stop[at - 1], 0), stop[at]
+        if not mask:
+            low = who + 1
+        some = np.flatnonzero(high > low)
+        who, low, size = who[some], low[some], (high - low)[some]
+        ends = np.cumsum(size)
+        begin = 0
+        while begin < len(who):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+            count = size[begin:end]
+            first = low[begin:end] - (ends[begin:end] - count - done)
+            yield np.repeat(who[begin:end], count), np.repeat(first, count) + np.arange(count.sum())
+            begin = end
 
 
 def _links(classes: DataFrame, n: int, threshold: float, width: int | None, stage: Stage, name: str) -> DataFrame:
@@ -98,40 +144,56 @@ def _links(classes: DataFrame, n: int, threshold: float, width: int | None, stag
     sample = classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     unit = _unit(sample, len(sample))
     tables = substrings(n, threshold, width)
+    width = tables[0][1]
+    prefix = min(prefix_bits(n), width)
+    rest = width - prefix
     turns = tables[-1][0] // 64 + 1
     projections = np.hstack([iterative_quantisation(unit, 64, seed) for seed in range(turns)])
     # Bits that differ at the threshold angle follow a binomial law on average; four deviations more lose next to nothing
     # and still rule out almost all pairs at random.
-    flip, bits = flipped(threshold), 64 * turns
-    near = int(np.ceil(bits * flip + 4 * np.sqrt(bits * flip * (1 - flip))))
-    words = [f"c{k}" for k in range(turns)]
+    flip = flipped(threshold)
+    near = int(np.ceil(128 * flip + 4 * np.sqrt(128 * flip * (1 - flip))))
+    whole = np.uint64((1 << width) - 1)
 
-    def code(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each table: its bucket, and the table's word of the code with the first word, or the second with the first."""
         for batch in source:
-            found = encode(_unit(batch.column(1), batch.num_rows), projections).view(np.int64) if batch.num_rows else np.zeros((0, turns), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(turns))], names=["rep", *words])
-
-    codes = stage.save(classes.select("rep", "v").mapInArrow(code, "rep long, " + ", ".join(f"{w} long" for w in words)), f"codes-{name}")
-    subs = [F.shiftrightunsigned(words[low // 64], low % 64).bitwiseAND(F.lit((1 << width) - 1)) for low, width in tables]
-    entries = codes.select("rep", *words, F.posexplode(F.array(*subs)).alias("t", "sub"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(tables[0][1])])
-    entries = entries.select("rep", *words, "t", "sub", F.explode(F.transform(flips, lambda f: F.col("sub").bitwiseXOR(f))).alias("key"))
-    x, y = entries.alias("x"), entries.alias("y")
-    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
-
-    def apart(a: F.Column, b: F.Column) -> F.Column:
-        return F.bit_count(a.bitwiseXOR(b))
-
-    # of the tables in which the substrings are that near the first counts, and in it one of the entries that they share
-    earlier = F.lit(False)
-    for k, (low, width) in enumerate(tables[:-1]):
-        sub = [F.shiftrightunsigned(f"{side}.{words[low // 64]}", low % 64).bitwiseAND(F.lit((1 << width) - 1)) for side in "xy"]
-        earlier = earlier | ((F.col("x.t") > k) & (apart(*sub) <= 2))
-    diff = F.col("x.sub").bitwiseXOR(F.col("y.sub"))
-    entry = F.when(F.bit_count(diff) == 2, F.col("x.sub").bitwiseXOR(diff.bitwiseAND(-diff))).otherwise(F.col("x.sub"))
-    total = sum((apart(F.col(f"x.{w}"), F.col(f"y.{w}")) for w in words[1:]), apart(F.col(f"x.{words[0]}"), F.col(f"y.{words[0]}")))
-    pairs = pairs.where(total <= near).where((F.col("x.key") == entry) & ~earlier)
-    pairs = stage.save(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), f"pairs-{name}")
+            if batch.num_rows:
+                codes = encode(_unit(batch.column(1), batch.num_rows), projections)
+                for t, (low, _) in enumerate(tables):
+                    own = codes[:, low // 64]
+                    bucket = (own >> np.uint64(low % 64) & whole) >> np.uint64(rest) | np.uint64(t << prefix)
+                    cols = [np.ascontiguousarray(x).view(np.int64) for x in (bucket, own, codes[:, 0 if low >= 64 else 1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), batch.column(0), pa.array(cols[1]), pa.array(cols[2])], names=["bucket", "rep", "own", "other"])
+
+    def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _text.groups(source, 1):
+            t = rows.column(0)[0].as_py() >> prefix
+            low = tables[t][0]
+            rep, own, other = (rows.column(k).to_numpy() for k in (1, 2, 3))
+            own, other = own.view(np.uint64), other.view(np.uint64)
+            sub = (own >> np.uint64(low % 64) & np.uint64((1 << rest) - 1)).astype(np.int64)
+            order = np.argsort(sub, kind="stable")
+            rep, own, other = rep[order], own[order], other[order]
+            # a pair that meets in a table before, of the same word or of the first one, was taken there
+            before = [k for k, _ in tables[:t] if k // 64 == low // 64], [k for k, _ in tables[:t] if k < 64 <= low]
+            for i, j in meetings(sub[order], rest):
+                x, y = own[i] ^ own[j], other[i] ^ other[j]
+                good = np.flatnonzero(np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= near)
+                i, j, x, y = i[good], j[good], x[good], y[good]
+                new = np.ones(len(i), bool)
+                for word, lows in zip((x, y), before, strict=True):
+                    for k in lows:
+                        part = word >> np.uint64(k % 64) & whole
+                        new &= (part >> np.uint64(rest) > 0) | (np.bitwise_count(part) > 2)
+                a, b = rep[i[new]], rep[j[new]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    entries = classes.select("rep", "v").mapInArrow(deal, "bucket long, rep long, own long, other long")
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, -(-n * len(tables) // ENTRIES))
+    entries = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    pairs = stage.save(entries.mapInArrow(meet, "a long, b long").distinct(), f"pairs-{name}")
 
     def rerank(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -139,8 +201,9 @@ def _links(classes: DataFrame, n: int, threshold: float, width: int | None, stag
                 u, v = (_unit(batch.column(k), batch.num_rows) for k in (2, 3))
                 yield batch.filter(pa.array((u * v).sum(1) >= threshold)).select([0, 1, 4, 5])
 
-    full = pairs.join(classes.select(F.col("rep").alias("a"), F.col("v").alias("u"), F.col("copies").alias("m")), "a")
-    full = full.join(classes.select(F.col("rep").alias("b"), "v", F.col("copies").alias("n")), "b").select("a", "b", "u", "v", "m", "n")
+    # joins by sorting: what looks small as a file may be large in the driver, through which a broadcast goes
+    full = pairs.join(classes.select(F.col("rep").alias("a"), F.col("v").alias("u"), F.col("copies").alias("m")).hint("merge"), "a")
+    full = full.join(classes.select(F.col("rep").alias("b"), "v", F.col("copies").alias("n")).hint("merge"), "b").select("a", "b", "u", "v", "m", "n")
     return stage.save(full.mapInArrow(rerank, "a long, b long, m long, n long"), f"links-{name}")
 
 
@@ -170,11 +233,11 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, width: int | None = N
         links = links.union(some)
     linked = links.select(F.col("a").alias("rep"), F.col("n").alias("other")).union(links.select("b", "m")).groupBy("rep").agg(F.sum("other").alias("others"))
     component = connected_components(spark, links.select("a", "b")).withColumnRenamed("node", "rep")
-    names = component.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("name"))
-    component = component.join(names, "component")
-    named = classes.join(linked, "rep", "left").join(component, "rep", "left")
+    names = component.join(classes.select("rep", "first").hint("merge"), "rep").groupBy("component").agg(F.min("first").alias("name"))
+    component = component.join(names.hint("merge"), "component")
+    named = classes.join(linked.hint("merge"), "rep", "left").join(component.hint("merge"), "rep", "left")
     named = named.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "first").alias("component_id"))
-    out = rows.withColumn("v", F.when(F.col("fine"), F.transform("v", lambda x: x + F.lit(0.0)))).join(named, "v", "left")
+    out = rows.withColumn("v", F.when(F.col("fine"), F.transform("v", lambda x: x + F.lit(0.0)))).join(named.hint("merge"), "v", "left")
     component_id = F.coalesce("component_id", "vec_id")
     kept = F.coalesce(F.col("vec_id") == component_id, component_id.isNull())
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), kept.alias("kept"))

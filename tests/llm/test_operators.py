@@ -279,6 +279,33 @@ def test_wide_substrings_lose_no_links(spark, width):
     assert sum(r["n_links"] for r in itq.near_vectors(table, width=width).collect()) >= 2 * 1500 * 0.99
 
 
+def test_vectors_in_many_buckets_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(itq, "BUCKET", 100)
+    monkeypatch.setattr(itq, "PAIRS", 50)
+    rng = np.random.default_rng(16)
+    a = rng.standard_normal((1500, 64))
+    v = np.vstack([a, a + 0.45 * rng.standard_normal(a.shape)])
+    u = itq.units(v)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert itq.prefix_bits(3000) == 5 and near.sum() > 1000
+    assert near.sum() * 0.99 <= sum(r["n_links"] for r in itq.near_vectors(table).collect()) <= near.sum()
+
+
+@pytest.mark.parametrize("width", [8, 30])
+def test_meetings_are_all_pairs_within_two_bits(width):
+    rng = np.random.default_rng(17)
+    sub = np.sort(np.concatenate([rng.integers(0, 256, 60), rng.integers(0, 1 << width, 40)]))
+    got = [(int(i), int(j)) for x, y in itq.meetings(sub, width) for i, j in zip(x, y, strict=True)]
+    want = {(i, j) for i in range(100) for j in range(i) if (int(sub[i]) ^ int(sub[j])).bit_count() <= 2}
+    assert len(got) == len(want) and {(max(p), min(p)) for p in got} == want
+
+
+def test_entries_of_a_vector_stay_few():
+    # 300 to 900 a vector were sent before
+    assert [len(itq.substrings(n, 0.9)) <= most for n, most in ((10**4, 12), (10**6, 36), (10**8, 110))] == [True] * 3
+
+
 def test_recall_does_not_fall_with_size():
     for n in (2, 1000, 10**5, 10**6, 10**7, 10**9):
         tables = itq.substrings(n, 0.9)
