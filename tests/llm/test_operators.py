@@ -172,6 +172,38 @@ def test_repeats(spark, monkeypatch, group):
         assert all(a["high"] < b["low"] for a, b in zip(got[d]["spans"], got[d]["spans"][1:]))
 
 
+def test_repeats_around_a_crowded_gram(spark, monkeypatch):
+    """Copies that end anywhere around a phrase that many texts hold, and how much is looked at where the phrase is all they share."""
+    from quillspark.llm import _stage
+
+    looked: list[int] = []
+
+    def save(self, df, name, save=_stage.Stage.save):
+        out = save(self, df, name)
+        if name not in ("runs", "different", "found"):  # of crowded grams only
+            lists = [f"size({c})" for c, kind in out.dtypes if kind.startswith("array")]
+            looked.append(int(out.selectExpr(f"sum({lists[0] if lists else 1}) as n").first()["n"] or 0))
+        return out
+
+    monkeypatch.setattr(_stage.Stage, "save", save)
+    rng = random.Random(31)
+    noise = lambda n, letters="abcdefgh": "".join(rng.choice(letters) for _ in range(n))
+    phrase = noise(360, "ABCDEFGH")
+    rows = [(k, noise(500) + phrase + noise(500)) for k in range(300)]
+    assert sum(r["n_removed"] for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect()) == 0
+    assert looked and max(looked) < 30 * len(rows)
+    before, after = [noise(400) for _ in range(3)], [noise(400) for _ in range(3)]
+    for k in range(300, 600):
+        a, b = rng.randrange(400), rng.randrange(60) if k % 3 else rng.randrange(400)
+        rows.append((k, noise(30 + k % 7) + rng.choice(before)[a:] + phrase + rng.choice(after)[:b] + noise(30 + k % 5)))
+    rows += [(1000 + k, rows[500][1]) for k in range(3)] + [(1010, rows[501][1][7:]), (1011, rows[502][1][:-31])]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect()}
+    want = repeats_by_brute_force([t.encode() for _, t in rows], 400)
+    for (d, _), (n, gone, kept) in zip(rows, want, strict=True):
+        assert (got[d]["n_bytes"], got[d]["n_removed"], bytes(got[d]["kept"])) == (n, gone, kept), d
+    assert 100 < sum(0 < gone < n for n, gone, _ in want)
+
+
 def test_repeats_awkward(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 100_000)
     got = suffix_dedup.remove_repeats(docs(spark, AWKWARD), carry=("lang", "n_chars")).collect()
